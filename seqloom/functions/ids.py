@@ -9,12 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLANKS = " \t\r\n"
-
-
 def stripped(c: Column) -> Column:
     """The id without blanks around it; null where nothing is left."""
-    t = F.trim(c, F.lit(_BLANKS))
+    t = F.trim(c)
     return F.when(t != "", t)
 
 
@@ -52,11 +49,14 @@ def plain_pairs(pairs: DataFrame, id_map: DataFrame, left: str, right: str, *kee
     of both ids, which matches nothing and spreads over all partitions.  A hash that the dictionary
     lacks stays as it is.
     """
+    # inline() keeps the cleaning from being pushed into every later filter
     base = pairs.select(
-        stripped(F.col(left)).alias("a"), stripped(F.col(right)).alias("b"), *[F.col(k) for k in keep]
+        F.inline(F.array(F.struct(stripped(F.col(left)).alias("a"), stripped(F.col(right)).alias("b"), *[F.col(k) for k in keep])))
     ).where("a is not null and b is not null")
     ca, cb = is_coded(F.col("a")), is_coded(F.col("b"))
-    clear = base.where(~ca & ~cb).select(dashed(F.col("a")).alias("a"), dashed(F.col("b")).alias("b"), *keep)
+    clear = base.where(~ca & ~cb).select(
+        F.inline(F.array(F.struct(dashed(F.col("a")).alias("a"), dashed(F.col("b")).alias("b"), *[F.col(k) for k in keep])))
+    )
     names = names_by_hash(id_map)
     loose = F.concat_ws("-", F.col("a"), F.col("b"))
     coded = base.where(ca | cb)

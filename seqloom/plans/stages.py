@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -46,8 +46,8 @@ class Stages:
         """``df`` as a written table; the shuffle files that made it are freed as soon as it stands."""
         return self.cut_counted(df, name)[0]
 
-    def cut_counted(self, df: DataFrame, name: str, **sums) -> tuple[DataFrame, int]:
-        """As :meth:`cut`, with the number of rows, counted while writing."""
+    def cut_counted(self, df: DataFrame, name: str, flag: Column | None = None) -> tuple[DataFrame, int]:
+        """As :meth:`cut`, with the number of rows (where ``flag`` is true), counted while writing."""
         self._n += 1
         where = f"{self.root}/{self._n:03d}-{name}"
         seen = Observation(f"{name}-{uuid.uuid4().hex}")
@@ -55,7 +55,7 @@ class Stages:
         try:
             if before is not None:
                 self.spark.conf.set(_CLEANUP, "true")
-            df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(where)
+            df.observe(seen, F.count(F.lit(1) if flag is None else F.when(flag, 1)).alias("n")).write.option("compression", "zstd").parquet(where)
         finally:
             if before is not None:
                 self.spark.conf.set(_CLEANUP, before)
