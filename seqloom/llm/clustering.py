@@ -37,18 +37,17 @@ class Conditions:
 
 
 def _tied(ties: DataFrame) -> DataFrame:
-    """Both directions ``(u, w)`` of undirected ties."""
-    return ties.select(
-        F.inline(F.array(F.struct(F.col("u"), F.col("v").alias("w")), F.struct(F.col("v").alias("u"), F.col("u").alias("w"))))
-    )
+    """Both directions ``(u, w)`` of undirected ties, as far as ``w`` is not settled."""
+    one = F.struct(F.col("u").alias("v"), F.col("v").alias("w"), F.col("sv").alias("settled"))
+    two = F.struct(F.col("v").alias("v"), F.col("u").alias("w"), F.col("su").alias("settled"))
+    return ties.select(F.inline(F.array(one, two))).where("not settled").select("v", "w")
 
 
-def _pivots(ties: DataFrame, settled: DataFrame, salt: int, stages: Stages) -> DataFrame:
-    """``(v, label)`` of every record that has a tie and is not settled; the label is its pivot, else itself."""
-    free = ties.join(settled.select(F.col("v").alias("u")), "u", "left_anti").join(settled.select("v"), "v", "left_anti")
+def _pivots(ties: DataFrame, salt: int, stages: Stages) -> DataFrame:
+    """``(v, label)`` of every record that has a free neighbour and is not settled; the label is its pivot, else itself."""
     first = (
-        _tied(free)
-        .groupBy(F.col("u").alias("v"))
+        _tied(ties.where("not su and not sv"))
+        .groupBy("v")
         .agg(F.min(relabelled(F.col("w"), salt)).alias("best"))
         .select("v", relabelled(F.col("v"), salt).alias("own"), "best")
         .select("v", "own", F.least("own", "best").alias("best"))
@@ -60,72 +59,69 @@ def _pivots(ties: DataFrame, settled: DataFrame, salt: int, stages: Stages) -> D
     return labels
 
 
-def _counts(ties: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(v, label, n)``: how many ties a record has with the free members of each cluster."""
-    return (
+def _step(ties: DataFrame, labels: DataFrame, c: Conditions, settle: bool, stages: Stages):
+    """Count the ties of every record with the free members of each cluster; settle clusters, move records.
+
+    The new labels ``(v, label, done)``, and how many records are done.
+    """
+    counts = stages.cut(
         _tied(ties)
         .join(labels.select(F.col("v").alias("w"), "label"), "w")
-        .groupBy(F.col("u").alias("v"), "label")
+        .groupBy("v", "label")
         .agg(F.count(F.lit(1)).cast("int").alias("n"))
-    )
-
-
-def _step(ties: DataFrame, labels: DataFrame, settled: DataFrame, c: Conditions, stages: Stages):
-    """New ties, labels and settled records, and how many records this step settled."""
-    counts = stages.cut(
-        _counts(ties, labels)
-        .join(labels.select("v", F.col("label").alias("own")), "v", "left")
-        .select("v", "own", "label", "n"),
+        .join(labels.select("v", F.col("label").alias("own")), "v", "left"),
         "counts",
     )
-    inside, outside = F.col("own").eqNullSafe(F.col("label")), ~F.col("own").eqNullSafe(F.col("label"))
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("size"))
-    seen = counts.groupBy("label").agg(
-        F.sum(inside.cast("int")).alias("linked"), F.min(F.when(inside, F.col("n"))).alias("least"), F.max(F.when(outside, F.col("n"))).alias("most")
-    )
-    size = F.col("size")
-    good = (
-        (size >= c.least_size)
-        & (F.coalesce("linked", F.lit(0)) == size)
-        & (F.coalesce("least", F.lit(0)) > c.inside_above * (size - 1))
-        & (F.coalesce("most", F.lit(0)) <= c.outside_at_most * size)
-    )
-    clusters = stages.cut(sizes.join(seen, "label", "left").select("label", "size", good.alias("good")), "clusters")
-    new, n_new = stages.cut_counted(
-        labels.join(clusters.where("good").select("label"), "label", "left_semi").select("v", "label"), "settled"
-    )
-    # where each record left gains most; ties: more ties, then the larger label
-    gain = F.col("n") - (size - F.col("own").eqNullSafe(F.col("label")).cast("int")) / 2
+    size, inside = F.col("size"), F.col("own").eqNullSafe(F.col("label"))
+    clusters = labels.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("size"), F.lit(False).alias("good"))
+    if settle:
+        seen = counts.groupBy("label").agg(
+            F.count(F.when(inside, 1)).alias("linked"), F.min(F.when(inside, F.col("n"))).alias("least"), F.max(F.when(~inside, F.col("n"))).alias("most")
+        )
+        good = (
+            (size >= c.least_size)
+            & (F.coalesce("linked", F.lit(0)) == size)
+            & (F.coalesce("least", F.lit(0)) > c.inside_above * (size - 1))
+            & (F.coalesce("most", F.lit(0)) <= c.outside_at_most * size)
+        )
+        clusters = clusters.drop("good").join(seen, "label", "left").select("label", "size", good.alias("good"))
+    # where each record gains most; of equal gains more ties, then the larger label
+    gain = F.col("n") - (size - inside.cast("int")) / 2
     best = (
         counts.where("own is not null")
-        .join(clusters.where("not good"), "label")
+        .join(clusters.where("not good").select("label", "size"), "label")
         .select("v", gain.alias("gain"), "n", "label")
         .where("gain > 0")
-        .withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("gain"), F.desc("n"), F.desc("label"))))
-        .where("place = 1")
-        .select("v", F.col("label").alias("next"))
+        .groupBy("v")
+        .agg(F.max(F.struct("gain", "n", "label")).alias("top"))
+        .select("v", F.col("top.label").alias("next"))
     )
-    free = labels.join(new.select("v"), "v", "left_anti") if n_new else labels
-    moved = stages.cut(free.join(best, "v", "left").select("v", F.coalesce("next", "v").alias("label")), "labels")
-    if n_new:
-        settled = settled.unionByName(new)
-        done = settled.select("v", F.lit(1).alias("dv"))
-        rest = (
-            ties.join(done.select(F.col("v").alias("u"), F.col("dv").alias("du")), "u", "left")
-            .join(done, "v", "left")
-            .where("du is null or dv is null")
-            .select("u", "v")
-        )
-        rest = stages.cut(rest, "ties")
-        stages.drop(ties)
-    else:
-        rest = ties
-    stages.drop(counts, clusters, labels)
-    return rest, moved, settled, n_new
+    moved = (
+        labels.join(clusters.select("label", "good"), "label")
+        .join(best, "v", "left")
+        .select("v", F.when(F.col("good"), F.col("label")).otherwise(F.coalesce("next", "v")).alias("label"), F.col("good").alias("done"))
+    )
+    moved, n_done = stages.cut_counted(moved, "labels", F.col("done"))
+    stages.drop(counts)
+    return moved, n_done
+
+
+def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> DataFrame:
+    """The ties with the newly settled records marked, less those between two settled records."""
+    mark = done.select("v", F.lit(True).alias("m"))
+    marked = (
+        ties.join(mark.select(F.col("v").alias("u"), F.col("m").alias("mu")), "u", "left")
+        .join(mark.select("v", F.col("m").alias("mv")), "v", "left")
+        .select("u", "v", (F.col("su") | F.col("mu").isNotNull()).alias("su"), (F.col("sv") | F.col("mv").isNotNull()).alias("sv"))
+        .where("not (su and sv)")
+    )
+    rest = stages.cut(marked, "ties")
+    stages.drop(ties)
+    return rest
 
 
 def pivot_clusters(
-    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 3, max_cycles: int = 12, seed: int = 11
+    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 2, max_cycles: int = 12, seed: int = 11
 ) -> DataFrame:
     """``(cluster_id, seq_id, size, typicality, place)``: the members of every settled cluster.
 
@@ -139,25 +135,32 @@ def pivot_clusters(
     spark = scores.sparkSession
     stages = Stages(spark, "clusters")
     x, y = F.col(a).cast("string"), F.col(b).cast("string")
-    pairs = (
-        scores.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(score).cast("double").alias("score"))
-        .where("a <> b and score is not null and not isnan(score)")
-        .where(F.col("score") >= F.lit(threshold))  # a pair is tied when any of its rows is
-        .groupBy("a", "b")
-        .agg(F.max("score").alias("score"))
+    # a pair is tied when any of its rows is
+    rows = scores.select(x.alias("a"), y.alias("b"), F.col(score).cast("double").alias("score")).where(
+        (F.col("score") >= F.lit(threshold)) & ~F.isnan("score") & (F.col("a") != F.col("b"))
     )
-    pairs = stages.cut(pairs, "pairs")
-    vertices, hashed, _ = vertex_keys(pairs, "a", "b", stages)
-    keyed = stages.cut(pairs.select(key(F.col("a"), hashed).alias("u"), key(F.col("b"), hashed).alias("v"), "score"), "keyed")
-    stages.drop(pairs)
-    ties = keyed.select("u", "v")
+    rows = stages.cut(rows, "rows")
+    vertices, hashed, _ = vertex_keys(rows, "a", "b", stages)
+    ka, kb = key(F.col("a"), hashed), key(F.col("b"), hashed)
+    pairs = rows.select(F.least(ka, kb).alias("u"), F.greatest(ka, kb).alias("v"), "score").groupBy("u", "v").agg(F.max("score").alias("score"))
+    keyed = stages.cut(pairs, "pairs")
+    stages.drop(rows)
+    ties = keyed.select("u", "v", F.lit(False).alias("su"), F.lit(False).alias("sv"))
     settled = spark.createDataFrame([], "v bigint, label bigint")
     draw, idle = random.Random(seed), 0
-    for _ in range(max_cycles):
-        labels, got = _pivots(ties, settled, draw.getrandbits(63), stages), 0
-        for _ in range(moves):
-            ties, labels, settled, n = _step(ties, labels, settled, conditions, stages)
-            got += n
+    for cycle in range(max_cycles):
+        table, got = _pivots(ties, draw.getrandbits(63), stages), 0
+        labels = table
+        for move in range(moves):
+            old = table
+            table, n = _step(ties, labels, conditions, cycle + move > 0, stages)
+            stages.drop(old)
+            if n:
+                got += n
+                done = stages.cut(table.where("done").select("v", "label"), "settled")
+                settled = settled.unionByName(done)
+                ties = _remaining(ties, done, stages)
+            labels = table.where("not done").select("v", "label")
         idle = 0 if got else idle + 1
         if idle == patience:
             break

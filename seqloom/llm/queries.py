@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.ids import plain_members, plain_pairs
 from seqloom.llm.clustering import pivot_clusters
+from seqloom.llm import near_duplicates as near
 from seqloom.llm.components import connected_components
 from seqloom.llm.set_join import record_pairs, similar_records
 from seqloom.llm.top_n import top_n
@@ -21,6 +22,11 @@ def valid_score(c: str = "score"):
     return (F.col(c) >= 0.0) & (F.col(c) <= 1.0)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, members = near.near_duplicates(_table(spark, sf_dir, "fasta"), "id", near.letters(F.col("seq")))
+    return near.record_pairs(pairs, members).select(F.col("rec1").alias("id1"), F.col("rec2").alias("id2"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, belongs = similar_records(cluster_sets(spark, sf_dir), "cluster_id", "members", 0.8)
     return record_pairs(pairs, belongs).select(F.col("rec1").alias("cluster_id1"), F.col("rec2").alias("cluster_id2"))
@@ -73,7 +79,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p2_found, p3_found, p3_described, p4_found, p5_found)}
+    return {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_described, p4_found, p5_found)}
 
 
 def oracle_sql() -> dict[str, str]:
