@@ -12,6 +12,7 @@ Text is ordinary text throughout: strings that look like special tokens have no
 from __future__ import annotations
 
 import base64
+import itertools
 import struct
 from collections.abc import Iterable
 
@@ -78,6 +79,13 @@ def model_bytes(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _bytes(2, trainer) + _bytes(3, normalizer)
 
 
+def _sums(n: np.ndarray, pre: np.ndarray) -> np.ndarray:
+    """The sums of consecutive stretches of ``pre`` values each."""
+    total = np.concatenate([[0], np.cumsum(n)])
+    ends = np.cumsum(pre)
+    return total[ends] - total[ends - pre]
+
+
 class Tokenizer:
     """Encodes and decodes; remembers the ids of pre-tokens it has met, up to ``remember`` of them."""
 
@@ -104,32 +112,38 @@ class Tokenizer:
             self._flat.extend(ids)
             self._starts.append(len(self._flat))
 
-    def encode_batch(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids in a row, number of ids of each text); a null and an empty text have none."""
+    def _looked_up(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per pre-token its first place in the ids and its number of ids, the pre-tokens of each text, and the ids."""
         cuts = [self._cut(t) if t else [] for t in texts]
         if len(self._known) > self._remember:
             self._known, self._starts, self._flat = {}, [0], []
         new = set().union(*cuts).difference(self._known)
-        long = {p for p in new if len(p) > self.SHORT}
+        long = [p for p in new if len(p) > self.SHORT]
+        self._learn(list(new.difference(long)))
         mark = len(self._starts)
-        self._learn(list(new - long))
-        self._learn(sorted(long))
+        self._learn(long)
         known = self._known
-        where = np.fromiter((known[p] for c in cuts for p in c), dtype=np.int64, count=sum(map(len, cuts)))
+        where = np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, c) for c in cuts), dtype=np.int64, count=sum(map(len, cuts)))
         starts, flat = np.array(self._starts), np.array(self._flat, dtype=np.int32)
-        if long:  # forgotten again
+        if long:  # these are not remembered
             for p in long:
                 del known[p]
-        n = starts[where + 1] - starts[where]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - starts[where], n)]
-        of = np.repeat(np.arange(len(cuts)), [len(c) for c in cuts])
-        counts = np.bincount(of, weights=n, minlength=len(cuts)).astype(np.int64)
-        if long:
-            keep = mark - 1 + len(new) - len(long)
-            del self._starts[keep + 1 :]
+            del self._starts[mark:]
             del self._flat[self._starts[-1] :]
-        return ids, counts
+        first = starts[where]
+        return first, starts[where + 1] - first, np.array([len(c) for c in cuts], dtype=np.int64), flat
+
+    def encode_batch(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in a row, number of ids of each text); a null and an empty text have none."""
+        first, n, pre, flat = self._looked_up(texts)
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return flat[np.arange(total) - np.repeat(ends - n - first, n)], _sums(n, pre)
+
+    def count_batch(self, texts: Iterable[str | None]) -> np.ndarray:
+        """The number of ids of each text."""
+        _, n, pre, _ = self._looked_up(texts)
+        return _sums(n, pre)
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()

@@ -26,17 +26,30 @@ def letters(c: Column) -> Column:
     return F.upper(F.regexp_replace(c, r"[^\p{L}]+", ""))
 
 
-def shingle_codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit hash) of every stretch of ``width`` characters; texts that are too short have none."""
+def shingle_codes(texts: list[str], width: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit code) of every stretch of ``width`` characters; texts that are too short have none.
+
+    Codes are hashes, alike in every call.  With ``exact`` different stretches have different codes, and
+    codes compare only within the call: characters are numbered as they occur in the texts.
+    """
     chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
     length = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     if len(chars) < width:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     n = len(chars) - width + 1
     code = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            code = code * np.uint64(0x100000001B3) + chars[j : j + n]
+    if exact:
+        found = np.unique(chars)
+        if len(found) ** width >= 2**63:
+            raise ValueError("too many different characters for exact codes")
+        number = np.zeros(int(found[-1]) + 1, dtype=np.uint64)
+        number[found] = np.arange(len(found), dtype=np.uint64)
+        chars, base = number[chars], np.uint64(len(found))
+    else:
+        base = np.uint64(0x100000001B3)
+    for j in range(width):
+        code = code * base + chars[j : j + n]
+    if not exact:
         code = dart_minhash.mix(code)
     row = np.repeat(np.arange(len(texts)), length)[:n]
     end = np.cumsum(length)[row] - width
@@ -44,6 +57,16 @@ def shingle_codes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
     return row[inside], code[inside]
 
 
+def _lists(texts: list[str], width: int) -> list[list]:
+    """The shingles of every text, as numbers where the characters are few enough, else as strings."""
+    try:
+        row, code = shingle_codes(texts, width, exact=True)
+    except ValueError:
+        return [[t[j : j + width] for j in range(len(t) - width + 1)] for t in texts]
+    ends, flat = np.searchsorted(row, np.arange(1, len(texts) + 1)), code.tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 def _band_batches(width: int, n_bands: int, rows_per_band: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -51,7 +74,7 @@ def _band_batches(width: int, n_bands: int, rows_per_band: int):
                 part = batch.iloc[at : at + 256]
                 row, code = shingle_codes(part["content"].tolist(), width)
                 sig = dart_minhash.signatures(row, code, len(part), n_bands * rows_per_band)
-                yield pd.DataFrame({"h": part["h"].to_numpy(), "bands": list(dart_minhash.bands(sig, rows_per_band).view(np.int64))})
+                yield pd.DataFrame({"c": part["c"].to_numpy(), "bands": list(dart_minhash.bands(sig, rows_per_band).view(np.int64))})
 
     return run
 
@@ -59,16 +82,17 @@ def _band_batches(width: int, n_bands: int, rows_per_band: int):
 def _pair_batches(width: int, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            xs, ys = batch["x"].tolist(), batch["y"].tolist()
-            keep = np.empty(len(xs), dtype=bool)
-            last, sx = None, frozenset()
-            for i, (x, y) in enumerate(zip(xs, ys)):
-                if x != last:
-                    last, sx = x, {x[j : j + width] for j in range(len(x) - width + 1)}
-                sy = {y[j : j + width] for j in range(len(y) - width + 1)}
-                common = len(sx & sy)
-                keep[i] = common >= threshold * (len(sx) + len(sy) - common) - 1e-9
-            yield batch.loc[keep, ["xh", "xg", "yh", "yg"]]
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at : at + 2000]
+                # a text has several partners: its set is made once
+                different = {t: i for i, t in enumerate(dict.fromkeys([*part["x"], *part["y"]]))}
+                shingles = [frozenset(x) for x in _lists(list(different), width)]
+                keep = []
+                for x, y in zip(part["x"], part["y"]):
+                    sx, sy = shingles[different[x]], shingles[different[y]]
+                    common = len(sx & sy)
+                    keep.append(common >= threshold * (len(sx) + len(sy) - common) - 1e-9)
+                yield part.loc[np.array(keep, dtype=bool), ["xh", "xg", "yh", "yg"]]
 
     return run
 
@@ -88,20 +112,21 @@ def near_duplicates(records: DataFrame, rec: str, content: Column, width: int =
         F.col("rec").isNotNull() & (F.length("content") >= width)
     )
     hashed = rows.select("rec", F.xxhash64("content").alias("h"), F.hash("content").alias("g"), "content")
+    # the number is written with the class: short and fixed from here on
     classes = stages.cut(
-        hashed.repartition("h").groupBy("h", "g").agg(F.first("content").alias("content")), "classes"
+        hashed.groupBy("h", "g").agg(F.first("content").alias("content")).withColumn("c", F.monotonically_increasing_id()), "classes"
     )
     members = hashed.select("rec", "h", "g").distinct()
-    signed = classes.select("h", "content").mapInPandas(_band_batches(width, n_bands, rows_per_band), "h bigint, bands array<bigint>")
-    banded = signed.select("h", F.explode("bands").alias("band")).repartition("band")
+    signed = classes.select("c", "content").mapInPandas(_band_batches(width, n_bands, rows_per_band), "c bigint, bands array<bigint>")
+    banded = signed.select("c", F.explode("bands").alias("band")).repartition("band")
     x, y = banded.alias("x"), banded.alias("y")
     candidates = stages.cut(
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("xh"), F.col("y.h").alias("yh")).distinct(),
+        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("xc"), F.col("y.c").alias("yc")).distinct(),
         "candidates",
     )
-    left = classes.select(F.col("h").alias("xh"), F.col("g").alias("xg"), F.col("content").alias("x"))
-    right = classes.select(F.col("h").alias("yh"), F.col("g").alias("yg"), F.col("content").alias("y"))
-    compared = candidates.join(left, "xh").join(right, "yh").mapInPandas(_pair_batches(width, threshold), "xh bigint, xg int, yh bigint, yg int")
+    left = classes.select(F.col("c").alias("xc"), F.col("h").alias("xh"), F.col("g").alias("xg"), F.col("content").alias("x"))
+    right = classes.select(F.col("c").alias("yc"), F.col("h").alias("yh"), F.col("g").alias("yg"), F.col("content").alias("y"))
+    compared = candidates.join(left, "xc").join(right, "yc").drop("xc", "yc").mapInPandas(_pair_batches(width, threshold), "xh bigint, xg int, yh bigint, yg int")
     pairs = stages.cut(compared, "pairs")
     stages.drop(candidates, classes)
     return pairs, members

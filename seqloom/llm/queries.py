@@ -9,6 +9,8 @@ from seqloom.functions.ids import plain_members, plain_pairs
 from seqloom.llm.clustering import pivot_clusters
 from seqloom.llm import near_duplicates as near
 from seqloom.llm.components import connected_components
+from seqloom.llm.encoding import decoded, encoded, public_vocabulary, token_counts
+from seqloom.llm.packing import fill_containers
 from seqloom.llm.set_join import record_pairs, similar_records
 from seqloom.llm.top_n import top_n
 
@@ -78,8 +80,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("group").alias("seq_id"), "rnk", F.col("item").alias("partner_id"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = encoded(_table(spark, sf_dir, "documents"), "doc_id", "text", public_vocabulary())
+    return ids.withColumnRenamed("key", "doc_id")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that come back from the ids; a null text comes back empty."""
+    return decoded(p6_ids(spark, sf_dir), "doc_id", "ids", public_vocabulary()).withColumnRenamed("key", "doc_id")
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = token_counts(_table(spark, sf_dir, "documents"), "doc_id", "text", public_vocabulary())
+    return fill_containers(sizes, "key", "n_tokens", 2048).withColumnRenamed("key", "doc_id")
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_described, p4_found, p5_found)}
+    return {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_described, p4_found, p5_found, p6_ids, p6_decoded, p7_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
