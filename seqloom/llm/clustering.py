@@ -64,43 +64,50 @@ def _step(ties: DataFrame, labels: DataFrame, c: Conditions, settle: bool, stage
 
     The new labels ``(v, label, done)``, and how many records are done.
     """
+    sized = labels.join(labels.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("size")), "label")
+    size, inside = F.col("size"), F.col("own").eqNullSafe(F.col("label"))
+    gain = F.col("n") - (size - inside.cast("int")) / 2
+    # where each record gains most; of equal gains more ties, then the larger label
+    first = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("gain"), F.desc("n"), F.desc("label")))
     counts = stages.cut(
         _tied(ties)
-        .join(labels.select(F.col("v").alias("w"), "label"), "w")
+        .join(sized.select(F.col("v").alias("w"), "label", "size"), "w")
         .groupBy("v", "label")
-        .agg(F.count(F.lit(1)).cast("int").alias("n"))
-        .join(labels.select("v", F.col("label").alias("own")), "v", "left"),
+        .agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("size").alias("size"))
+        .join(labels.select("v", F.col("label").alias("own")), "v", "left")
+        .withColumn("gain", gain)
+        .withColumn("best", (first == 1) & (F.col("gain") > 0) & F.col("own").isNotNull())
+        .drop("gain"),
         "counts",
     )
-    size, inside = F.col("size"), F.col("own").eqNullSafe(F.col("label"))
-    clusters = labels.groupBy("label").agg(F.count(F.lit(1)).cast("int").alias("size"), F.lit(False).alias("good"))
-    if settle:
+    moves = counts.where("best").select("v", F.col("label").alias("next"))
+    if not settle:
+        moved = labels.join(moves, "v", "left").select("v", F.coalesce("next", "v").alias("label"), F.lit(False).alias("done"))
+    else:
         seen = counts.groupBy("label").agg(
-            F.count(F.when(inside, 1)).alias("linked"), F.min(F.when(inside, F.col("n"))).alias("least"), F.max(F.when(~inside, F.col("n"))).alias("most")
+            F.max("size").alias("size"), F.count(F.when(inside, 1)).alias("linked"), F.min(F.when(inside, F.col("n"))).alias("least"), F.max(F.when(~inside, F.col("n"))).alias("most")
         )
-        good = (
-            (size >= c.least_size)
-            & (F.coalesce("linked", F.lit(0)) == size)
-            & (F.coalesce("least", F.lit(0)) > c.inside_above * (size - 1))
-            & (F.coalesce("most", F.lit(0)) <= c.outside_at_most * size)
+        good = stages.cut(
+            seen.where(
+                (size >= c.least_size)
+                & (F.col("linked") == size)
+                & (F.col("least") > c.inside_above * (size - 1))
+                & (F.coalesce("most", F.lit(0)) <= c.outside_at_most * size)
+            ).select("label"),
+            "good",
+        )
+        mine = good.select("label", F.lit(True).alias("done"))
+        taken = good.select(F.col("label").alias("next"), F.lit(True).alias("taken"))  # nobody else joins a settled cluster
+        moved = (
+            labels.join(mine, "label", "left")
+            .join(moves, "v", "left")
+            .join(taken, "next", "left")
+            .select(
+                "v",
+                F.when(F.col("done"), F.col("label")).when(F.col("taken") | F.col("next").isNull(), F.col("v")).otherwise(F.col("next")).alias("label"),
+                F.coalesce("done", F.lit(False)).alias("done"),
+            )
         )
-        clusters = clusters.drop("good").join(seen, "label", "left").select("label", "size", good.alias("good"))
-    # where each record gains most; of equal gains more ties, then the larger label
-    gain = F.col("n") - (size - inside.cast("int")) / 2
-    best = (
-        counts.where("own is not null")
-        .join(clusters.where("not good").select("label", "size"), "label")
-        .select("v", gain.alias("gain"), "n", "label")
-        .where("gain > 0")
-        .groupBy("v")
-        .agg(F.max(F.struct("gain", "n", "label")).alias("top"))
-        .select("v", F.col("top.label").alias("next"))
-    )
-    moved = (
-        labels.join(clusters.select("label", "good"), "label")
-        .join(best, "v", "left")
-        .select("v", F.when(F.col("good"), F.col("label")).otherwise(F.coalesce("next", "v")).alias("label"), F.col("good").alias("done"))
-    )
     moved, n_done = stages.cut_counted(moved, "labels", F.col("done"))
     stages.drop(counts)
     return moved, n_done
@@ -123,17 +130,35 @@ def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> DataFrame:
 def pivot_clusters(
     scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 2, max_cycles: int = 12, seed: int = 11
 ) -> DataFrame:
-    """``(cluster_id, seq_id, size, typicality, place)``: the members of every settled cluster.
-
-    ``cluster_id`` is the smallest member; ``typicality`` is the sum of a member's similarities to the
-    others over their number, and ``place`` ranks it (1: the medoid), equal values by smaller id.
+    """``(cluster_id, seq_id)``: the members of every settled cluster; ``cluster_id`` is the smallest one.
 
     * Of repeated rows and both directions of a pair the highest similarity counts.  Rows that miss an
       id, compare a record with itself or have a null or NaN score are left out.
     * Records in no settled cluster are left out.  Other columns are ignored.  Empty in, empty out.
     """
+    stages = Stages(scores.sparkSession, "clusters")
+    _, vertices, settled = _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cycles, seed, stages)
+    members = stages.cut(settled.join(vertices, settled["v"] == vertices["key"]).select("label", F.col("id").alias("seq_id")), "named")
+    names = members.groupBy("label").agg(F.min("seq_id").alias("cluster_id"))
+    return members.join(names, "label").select("cluster_id", "seq_id")
+
+
+def described_clusters(
+    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 2, max_cycles: int = 12, seed: int = 11
+) -> DataFrame:
+    """As :func:`pivot_clusters`, with ``size``, ``typicality`` and ``place`` of each member.
+
+    ``typicality`` is the sum of a member's similarities to the others over their number; ``place`` ranks
+    it (1: the medoid), equal values by smaller id.
+    """
+    stages = Stages(scores.sparkSession, "clusters")
+    keyed, vertices, settled = _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cycles, seed, stages)
+    return _described(keyed, vertices, settled, stages)
+
+
+def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cycles, seed, stages: Stages):
+    """The tied pairs by key, the vertices, and the settled records ``(v, label)``."""
     spark = scores.sparkSession
-    stages = Stages(spark, "clusters")
     x, y = F.col(a).cast("string"), F.col(b).cast("string")
     # a pair is tied when any of its rows is
     rows = scores.select(x.alias("a"), y.alias("b"), F.col(score).cast("double").alias("score")).where(
@@ -164,7 +189,7 @@ def pivot_clusters(
         idle = 0 if got else idle + 1
         if idle == patience:
             break
-    return _described(keyed, vertices, stages.cut(settled, "members"), stages)
+    return keyed, vertices, stages.cut(settled, "members")
 
 
 def _described(keyed: DataFrame, vertices: DataFrame, settled: DataFrame, stages: Stages) -> DataFrame:

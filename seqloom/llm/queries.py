@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.ids import plain_members, plain_pairs
-from seqloom.llm.clustering import pivot_clusters
+from seqloom.llm.clustering import described_clusters, pivot_clusters
 from seqloom.llm import near_duplicates as near
 from seqloom.llm.components import connected_components
 from seqloom.llm.encoding import decoded, encoded, public_vocabulary, token_counts
 from seqloom.llm.packing import fill_containers
+from seqloom.llm.quality import mostly_outside_sentences, outlier_scores, text_statistics
 from seqloom.llm.set_join import record_pairs, similar_records
 from seqloom.llm.top_n import top_n
+from seqloom.plans.stages import Stages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,20 +46,19 @@ def cluster_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of the clusters of mutually similar sequences, with size and typicality."""
+def valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(a, b, score)``: the rows with a valid score, in plain ids."""
     rows = _table(spark, sf_dir, "sim_scores").where(valid_score())
-    pairs = plain_pairs(rows, _table(spark, sf_dir, "id_map"), "seq1", "seq2", "score")
-    return pivot_clusters(pairs, "a", "b", "score", 0.5)
+    return plain_pairs(rows, _table(spark, sf_dir, "id_map"), "seq1", "seq2", "score")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_members(spark, sf_dir).select("cluster_id", "seq_id")
+    return pivot_clusters(valid_pairs(spark, sf_dir), "a", "b", "score", 0.5)
 
 
 def p3_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cluster by its size and its up to three most typical members, the medoid first."""
-    top = p3_members(spark, sf_dir).where("place <= 3")
+    top = described_clusters(valid_pairs(spark, sf_dir), "a", "b", "score", 0.5).where("place <= 3")
     return (
         top.groupBy("cluster_id", "size")
         .agg(F.array_sort(F.collect_list(F.struct("place", "seq_id"))).alias("m"))
@@ -71,8 +72,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "sim_scores").where(valid_score())
-    pairs = plain_pairs(rows, _table(spark, sf_dir, "id_map"), "seq1", "seq2", "score").where("a <> b")
+    pairs = valid_pairs(spark, sf_dir).where("a <> b")
     sides = pairs.select(
         F.inline(F.array(F.struct("a", "b", "score"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "score")))
     )
@@ -95,8 +95,19 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(sizes, "key", "n_tokens", 2048).withColumnRenamed("key", "doc_id")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and the outlier score of every document with visible characters."""
+    t = text_statistics(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _table(spark, sf_dir, "common_words"))
+    return outlier_scores(t, Stages(spark, "quality")).withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, words = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "common_words")
+    return mostly_outside_sentences(documents, "doc_id", "text", "lang", words).select(F.col("key").alias("doc_id"))
+
+
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_described, p4_found, p5_found, p6_ids, p6_decoded, p7_pieces)}
+    return {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_described, p4_found, p5_found, p6_ids, p6_decoded, p7_pieces, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
