@@ -10,13 +10,15 @@ Two records are tied when their similarity reaches the threshold.  One cycle:
 3. *Settling.*  Whenever ties are counted, clusters that meet the conditions of the result are settled;
    ties between settled records are not looked at again.
 
-Cycles repeat on what is left, with a fresh order, until ``patience`` of them settle nothing.  Each step
+Cycles repeat on what is left, with a fresh order, until ``patience`` of them settle nothing; records
+with too few ties left for any cluster are set aside between them.  Each step
 is one count of ties by record and cluster, over the remaining ties only; a record with a third of all
 ties is counted with partial aggregates.  Medoids are computed from the similarities to the members.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass
 
@@ -173,7 +175,10 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
     ties = keyed.select("u", "v", F.lit(False).alias("su"), F.lit(False).alias("sv"))
     settled = spark.createDataFrame([], "v bigint, label bigint")
     draw, idle = random.Random(seed), 0
+    least = math.floor(conditions.inside_above * (conditions.least_size - 1)) + 1
     for cycle in range(max_cycles):
+        if cycle:
+            ties = _retired(ties, least, stages)
         table, got = _pivots(ties, draw.getrandbits(63), stages), 0
         labels = table
         for move in range(moves):
@@ -192,6 +197,20 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
     return keyed, vertices, stages.cut(settled, "members")
 
 
+def _retired(ties: DataFrame, least: int, stages: Stages) -> DataFrame:
+    """Marks free records with fewer than ``least`` free neighbours: no cluster can hold them.
+
+    They are marked as if settled, so they move no more and still count as outsiders of other clusters.
+    """
+    few = _tied(ties.where("not su and not sv")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
+    alone = _tied(ties).select("v", "w").select(F.col("w").alias("v")).distinct()  # free records, also without free neighbours
+    free = _tied(ties.where("not su and not sv")).select("v").distinct()
+    gone = stages.cut(few.select("v").unionByName(alone.join(free, "v", "left_anti")), "retired")
+    rest = _remaining(ties, gone, stages)
+    stages.drop(gone)
+    return rest
+
+
 def _described(keyed: DataFrame, vertices: DataFrame, settled: DataFrame, stages: Stages) -> DataFrame:
     """Name the clusters and rank their members; a settled cluster's label is unique to it."""
     mine = settled.select(F.col("v").alias("u"), "label"), settled.select("v", F.col("label").alias("label_v"))
