@@ -39,32 +39,40 @@ def shingle_codes(texts: list[str], width: int, exact: bool = False) -> tuple[np
     n = len(chars) - width + 1
     code = np.zeros(n, dtype=np.uint64)
     if exact:
-        found = np.unique(chars)
-        if len(found) ** width >= 2**63:
+        seen = np.zeros(int(chars.max()) + 1, dtype=bool)
+        seen[chars] = True
+        found = int(seen.sum())
+        if found**width >= 2**63:
             raise ValueError("too many different characters for exact codes")
-        number = np.zeros(int(found[-1]) + 1, dtype=np.uint64)
-        number[found] = np.arange(len(found), dtype=np.uint64)
-        chars, base = number[chars], np.uint64(len(found))
+        chars, base = (np.cumsum(seen) - 1).astype(np.uint64)[chars], np.uint64(found)
     else:
         base = np.uint64(0x100000001B3)
     for j in range(width):
         code = code * base + chars[j : j + n]
     if not exact:
         code = dart_minhash.mix(code)
-    row = np.repeat(np.arange(len(texts)), length)[:n]
-    end = np.cumsum(length)[row] - width
-    inside = np.arange(n) <= end
-    return row[inside], code[inside]
+    ends = np.cumsum(length)
+    inside = np.ones(n, dtype=bool)
+    for j in range(1, width):  # stretches that begin in the last letters of a text
+        cut = ends - j
+        inside[cut[(cut >= ends - length) & (cut < n)]] = False
+    return np.repeat(np.arange(len(texts)), np.maximum(length - width + 1, 0)), code[inside]
 
 
-def _lists(texts: list[str], width: int) -> list[list]:
-    """The shingles of every text, as numbers where the characters are few enough, else as strings."""
+def _sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """The different shingles of every text in ascending order, as codes that are exact within the call."""
     try:
-        row, code = shingle_codes(texts, width, exact=True)
-    except ValueError:
-        return [[t[j : j + width] for j in range(len(t) - width + 1)] for t in texts]
-    ends, flat = np.searchsorted(row, np.arange(1, len(texts) + 1)), code.tolist()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        _, code = shingle_codes(texts, width, exact=True)
+    except ValueError:  # too many characters for 64 bits: number the shingles themselves
+        parts = [[t[j : j + width] for j in range(len(t) - width + 1)] for t in texts]
+        number = {x: i for i, x in enumerate(dict.fromkeys(x for p in parts for x in p))}
+        code = np.array([number[x] for p in parts for x in p], dtype=np.uint64)
+    ends = np.cumsum([max(0, len(t) - width + 1) for t in texts]).tolist()
+    out = []
+    for a, b in zip([0, *ends[:-1]], ends):
+        x = np.sort(code[a:b])
+        out.append(x[np.flatnonzero(np.append(x[1:] != x[:-1], True))] if b > a else x)
+    return out
 
 
 def _band_batches(width: int, n_bands: int, rows_per_band: int):
@@ -86,11 +94,13 @@ def _pair_batches(width: int, threshold: float):
                 part = batch.iloc[at : at + 2000]
                 # a text has several partners: its set is made once
                 different = {t: i for i, t in enumerate(dict.fromkeys([*part["x"], *part["y"]]))}
-                shingles = [frozenset(x) for x in _lists(list(different), width)]
+                shingles = _sets(list(different), width)
                 keep = []
                 for x, y in zip(part["x"], part["y"]):
                     sx, sy = shingles[different[x]], shingles[different[y]]
-                    common = len(sx & sy)
+                    both = np.concatenate((sx, sy))
+                    both.sort()
+                    common = np.count_nonzero(both[1:] == both[:-1])
                     keep.append(common >= threshold * (len(sx) + len(sy) - common) - 1e-9)
                 yield part.loc[np.array(keep, dtype=bool), ["xh", "xg", "yh", "yg"]]
 
