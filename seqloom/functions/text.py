@@ -50,8 +50,8 @@ def spaces_for_tabs(line: Column, width: int = 4) -> Column:
 
 def tidy(text: Column) -> Column:
     """No blanks at line ends, no more than one empty line in a row, one line end at the end."""
-    t = F.regexp_replace(text, "(?m) +$", "")
-    return F.concat(F.regexp_replace(F.regexp_replace(t, "\n\n+", "\n\n"), "\n+$", ""), F.lit("\n"))
+    t = F.regexp_replace(text, "(?dm) +$", "")  # lines end at \\n only
+    return F.concat(F.regexp_replace(F.regexp_replace(t, "\n\n+", "\n\n"), "\n+\\z", ""), F.lit("\n"))
 
 
 def wrap(text: Column, width: int) -> Column:

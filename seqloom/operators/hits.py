@@ -29,13 +29,13 @@ def reciprocal(hits: DataFrame) -> DataFrame:
     return hits.select("a", "b").join(back, ["a", "b"], "left_semi").where("a < b")
 
 
-def summarised(hits: DataFrame, query: str, subject: str, length: str, identity: str, evalue: str, bits: str, shortest: float = 100, strong_above: int = 5) -> DataFrame:
+def summarised(hits: DataFrame, query: str, subject: str, length: str, identity: str, evalue: str, bits: str, shortest: float = 100, strong_above: int = 5, digits: int = 3) -> DataFrame:
     """Per subject the number of long hits and their mean identity, e-value and bits; strong when there are more than ``strong_above``."""
     return (
         hits.where((F.col(length) >= shortest) & F.col(query).isNotNull())
         .groupBy(subject)
         .agg(
-            F.count(F.lit(1)).alias("hits"), F.round(F.avg(identity), 3).alias("identity"), F.round(F.avg(evalue), 3).alias("evalue"), F.round(F.avg(bits), 3).alias("bits")
+            F.count(F.lit(1)).alias("hits"), F.round(F.avg(identity), digits).alias("identity"), F.round(F.avg(evalue), digits).alias("evalue"), F.round(F.avg(bits), digits).alias("bits")
         )
         .withColumn("strong", F.col("hits") > strong_above)
     )

@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.functions.stats import kde_mass, phi, scott, silverman
 from seqloom.operators.dedup import with_row_number
@@ -64,13 +65,13 @@ def regression(values: DataFrame, x: str, y: str, above: float = 600) -> DataFra
     )
 
 
-def running_mean(values: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+def running_mean(values: DataFrame, keys: list[str], value: str, *order: str) -> DataFrame:
     """``(keys, halved, mean)``: ``m <- (m + x) / 2`` in order, and the plain mean beside it.
 
     Written as a weighted sum: of n values the i-th weighs ``2^-(n - i + 1)``, the first one as much as the second.
     """
     w = Window.partitionBy(*keys)
-    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(order))
+    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
     weight = F.pow(F.lit(2.0), -(F.col("n") - F.greatest(F.col("i"), F.lit(2)) + 1))
     base = values.select(*keys, value, n.alias("n"), i.alias("i"))
     return base.groupBy(*keys).agg(F.sum(F.when(F.col("n") == 1, F.col(value)).otherwise(F.col(value) * weight)).alias("halved"), F.avg(value).alias("mean"))
@@ -88,33 +89,27 @@ def kde_pvalues(samples: DataFrame, group: str, sample: str, observed: str) -> D
     return samples.select(group, sample).join(width, group).groupBy(group).agg(F.max("o").alias("observed"), kde_mass(F.col(sample), F.lit(0.0), F.col("o"), F.col("h")).alias("p"))
 
 
-def kde_interval(samples: DataFrame, group: str, sample: str, mass: float = 0.95, steps: int = 40) -> DataFrame:
-    """``(group, h, low, high)``: the central interval of a group's kernel density (Silverman), by bisection on its distribution.
+def kde_interval(samples: DataFrame, group: str, sample: str, mass: float = 0.95, passes: int = 7, parts: int = 16) -> DataFrame:
+    """``(group, h, low, high)``: the central interval of a group's kernel density (Silverman), by search on its distribution.
 
-    Each step is one aggregate over all groups at once; without spread the interval is the value itself.
+    A pass cuts each bracket into ``parts`` and weighs all cuts of all groups in one aggregate; without
+    spread the interval is the value itself.
     """
     from seqloom.plans.stages import Stages
 
     stages = Stages(samples.sparkSession, "interval")
-    base = samples.groupBy(group).agg(silverman(F.col(sample)).alias("h"), F.min(sample).alias("lo"), F.max(sample).alias("hi"))
-    h = F.coalesce("h", F.lit(0.0))
-    ends = base.select(group, h.alias("h"), *[e for k in ("a", "b") for e in ((F.col("lo") - 10 * h).alias(f"lo_{k}"), (F.col("hi") + 10 * h).alias(f"hi_{k}"))])
+    base = samples.groupBy(group).agg(F.coalesce(silverman(F.col(sample)), F.lit(0.0)).alias("h"), F.min(sample).alias("lo"), F.max(sample).alias("hi"))
     tail = (1 - mass) / 2
-    for step in range(steps):
-        mid = ends.withColumns({f"m_{k}": (F.col(f"lo_{k}") + F.col(f"hi_{k}")) / 2 for k in ("a", "b")})
-        cdf = samples.select(group, sample).join(mid, group).where("h > 0").groupBy(group).agg(
-            *[F.avg(phi((F.col(f"m_{k}") - F.col(sample)) / F.col("h"))).alias(f"f_{k}") for k in ("a", "b")]
-        )
-        ends = mid.join(cdf, group, "left").select(
-            group, "h",
-            *[c for k, t in (("a", tail), ("b", 1 - tail)) for c in (
-                F.when(F.col(f"f_{k}") < t, F.col(f"m_{k}")).otherwise(F.col(f"lo_{k}")).alias(f"lo_{k}"),
-                F.when(F.col(f"f_{k}") < t, F.col(f"hi_{k}")).otherwise(F.col(f"m_{k}")).alias(f"hi_{k}"),
-            )],
-        )
-        if step % 8 == 7:
-            ends = stages.cut(ends, "ends")
-    return ends.select(group, "h", F.col("hi_a").alias("low"), F.col("hi_b").alias("high"))
+    sides = F.explode(F.array(F.lit(tail), F.lit(1 - tail))).alias("t")
+    ends = base.select(group, "h", sides, (F.col("lo") - 10 * F.col("h")).alias("lo"), (F.col("hi") + 10 * F.col("h")).alias("hi"))
+    for _ in range(passes):
+        ends = stages.cut(ends, "ends")
+        cuts = ends.where("h > 0").withColumn("m", F.explode(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda j: F.col("lo") + (F.col("hi") - F.col("lo")) * j / parts)))
+        f = samples.select(group, sample).join(cuts.select(group, "t", "h", "m"), group).groupBy(group, "t", "m").agg(F.avg(phi((F.col("m") - F.col(sample)) / F.col("h"))).alias("f"))
+        near = f.groupBy(group, "t").agg(F.max(F.when(F.col("f") < F.col("t"), F.col("m"))).alias("up"), F.min(F.when(F.col("f") >= F.col("t"), F.col("m"))).alias("down"))
+        ends = ends.join(near, [group, "t"], "left").select(group, "h", "t", F.coalesce("up", "lo").alias("lo"), F.coalesce("down", "hi").alias("hi"))
+    out = ends.groupBy(group).agg(F.max("h").alias("h"), F.max(F.when(F.col("t") < 0.5, F.col("hi"))).alias("low"), F.max(F.when(F.col("t") > 0.5, F.col("hi"))).alias("high"))
+    return stages.cut(out, "interval")
 
 
 def kde_overlap(inner: DataFrame, outer: DataFrame, group: str, score: str, below: float = 0.05) -> DataFrame:
@@ -132,7 +127,7 @@ def one_sample_t(values: DataFrame, group: str, value: str, mean: float = 0.0) -
     return out.select(group, "n", t.alias("t")).withColumn("p", _t_pvalue(F.col("t"), F.col("n") - 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_pvalue(t, df):  # type: ignore[no-untyped-def]
     import pandas as pd
 
@@ -224,7 +219,7 @@ def tukey_hsd(values: DataFrame, test: str, group: str, value: str, alpha: float
         test, "group1", "group2", (F.col("m2") - F.col("m1")).alias("diff"), F.try_divide(F.abs(F.col("m2") - F.col("m1")), se).alias("q"), "k", "df"
     )
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def p(q, k, df):  # type: ignore[no-untyped-def]
         import pandas as pd
 
