@@ -88,7 +88,8 @@ def collapse_paralogs(edges: DataFrame, taxon, rounds: int = MAX_ROUNDS) -> tupl
         folded = stages.cut(folded, "folded")
         gone = fold.select(F.col("member"))
         left = stages.cut(
-            left.join(gone.withColumnRenamed("member", "seq1"), "seq1", "left_anti").join(gone.withColumnRenamed("member", "seq2"), "seq2", "left_anti"), "edges"
+            left.join(gone.withColumnRenamed("member", "seq1"), "seq1", "left_anti").join(gone.withColumnRenamed("member", "seq2"), "seq2", "left_anti").select("seq1", "seq2", "score"),
+            "edges",
         )
     if folded is None:
         folded = edges.select(F.col("seq1").alias("member"), F.col("seq1").alias("kept")).limit(0)

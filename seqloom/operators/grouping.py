@@ -55,7 +55,7 @@ def subdivided(edges: DataFrame, members: DataFrame, settings: list[Setting], le
             tried = this if tried is None else tried.unionByName(this)
         if tried is None:
             break
-        best = tried.groupBy("grp").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b")).select("grp", -F.col("b.k").alias("k"), F.col("b.score").alias("score"))
+        best = tried.groupBy("grp").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b")).select("grp", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score"))
         better = best.join(own, "grp").where("size > 2 and score > own").select("grp", "k")
         better, n = stages.cut_counted(better, "better")
         done = level.join(better.select("grp"), "grp", "left_anti")

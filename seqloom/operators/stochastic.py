@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -78,7 +79,7 @@ def mutated(parents: DataFrame, generation: int, seed: int, substitution: dict[s
                         out.extend(rng.choice(letters) for _ in range(size))
                         for _ in range(size):
                             fresh += 1
-                            kept.append((int(generation) << 40) + ((hash(str(child)) & 0xFFFF) << 20) + fresh)
+                            kept.append((int(generation) << 40) + ((zlib.crc32(str(child).encode()) & 0xFFFF) << 20) + fresh)
                     u = rng.random()
                     order, cumulative = substitution.get(aa, (aa, [1.0]))
                     out.append(next((o for o, c in zip(order, cumulative) if u < c), aa))
