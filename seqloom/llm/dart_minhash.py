@@ -43,7 +43,7 @@ def signatures(row: np.ndarray, element: np.ndarray, n_rows: int, k: int, weight
     out = np.full(n_rows * k, EMPTY, dtype=np.uint64)
     mass = np.bincount(row, weights=weight, minlength=n_rows)
     low = np.zeros(n_rows, dtype=np.int64)
-    bound = np.ceil((k * math.log(k) + 2 * k) / np.maximum(mass, 1e-300)).astype(np.int64) * (mass > 0)
+    bound = np.ceil((k * math.log(k) + 2 * k) / np.where(mass > 0, mass, np.inf)).astype(np.int64)
     todo = mass > 0
     while todo.any():
         if todo.all():
