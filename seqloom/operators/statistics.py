@@ -36,7 +36,8 @@ def normalised(values: DataFrame, value: str, trim: float = 1.0, key: str | None
     top = (round(n * t) if by_round else math.ceil(n * t)) if n else 0
     limits = numbered.where(F.col("r").isin(top, n - top + 1)).agg(F.max(value).alias("hi"), F.min(value).alias("lo"))
     scaled = F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo"))
-    return values.crossJoin(F.broadcast(limits)).withColumn("scaled", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("hi", "lo")
+    clamped = F.when(scaled.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
+    return values.crossJoin(F.broadcast(limits)).withColumn("scaled", clamped).drop("hi", "lo")
 
 
 def histogram(values: DataFrame, value: str, bins: int = 100) -> DataFrame:

@@ -30,7 +30,7 @@ def text_records(spark: SparkSession, path: str, separator: str) -> DataFrame:
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
     """``(path, value)``: one row a file; invalid UTF-8 is replaced, a carriage return is a line end."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "\r", "\n").alias("value"))
+    return raw.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r", "\n").alias("value"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
