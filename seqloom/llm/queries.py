@@ -13,6 +13,7 @@ from seqloom.llm.encoding import decoded, encoded, public_vocabulary, token_coun
 from seqloom.llm.packing import fill_containers
 from seqloom.llm.quality import mostly_outside_sentences, outlier_scores, text_statistics
 from seqloom.llm.set_join import record_pairs, similar_records
+from seqloom.llm.sql import ORACLE
 from seqloom.llm.top_n import top_n
 from seqloom.plans.stages import Stages
 
@@ -111,4 +112,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
