@@ -138,3 +138,40 @@ def contiguous(blocks: DataFrame, key: str, start: str, end: str) -> Column:
     """A window column: true where a block begins right after the one before it in its set, or is the first."""
     w = Window.partitionBy(key).orderBy(start)
     return F.coalesce(F.lag(end).over(w) + 1 == F.col(start), F.lit(True))
+
+
+def consensus(votes: DataFrame, keys: list[str], pos: str, symbol: str) -> DataFrame:
+    """``(keys, pos, symbol, votes)``: the most frequent symbol of each position; ties: the smallest one."""
+    n = votes.groupBy(*keys, pos, symbol).agg(F.count(F.lit(1)).alias("votes"))
+    w = Window.partitionBy(*keys, pos).orderBy(F.desc("votes"), symbol)
+    return n.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def residue_scores(scores: DataFrame, columns: DataFrame) -> DataFrame:
+    """``(id, pos, aa, score)``: a profile ``(pos, aa, score)`` for each row's own residues, gap columns left out and renumbered."""
+    own = ungapped_index(columns, "id", "pos", "aa").where("residue is not null").select("id", F.col("pos").alias("column"), "residue")
+    return own.join(scores.withColumnRenamed("pos", "column"), "column").select("id", F.col("residue").alias("pos"), "aa", "score")
+
+
+def leading_alphabet(records: DataFrame, seq: str, order: str, letters: int = 1000, least: float = 0.9) -> DataFrame:
+    """One row ``alphabet`` for a file: the guess from its first records that hold at least so many letters.
+
+    Records are taken in order until they do; lengths before a record are running sums over range partitions.
+    """
+    from seqloom.operators.statistics import cumulative
+
+    clean = records.select(F.col(order).alias("o"), F.regexp_replace(F.col(seq), "[^A-Za-z]", "").alias("s")).where("s <> ''").withColumn("n", F.length("s"))
+    before = cumulative(clean, "n", "o")
+    total = clean.agg(F.sum("n").alias("total"))
+    head = before.crossJoin(F.broadcast(total)).where(F.round(F.col("cumulative") * F.col("total")) - F.col("n") < letters)
+    count = lambda p: F.sum(F.length(F.regexp_replace(F.upper("s"), p, "")))
+    share = head.agg((count("[^ACGT]") / F.sum("n")).alias("share"))
+    return share.select(F.when(F.col("share") > least, "nucl").when(F.col("share").isNotNull(), "prot").alias("alphabet"))
+
+
+def zipped(left: DataFrame, right: DataFrame, place: str, key: str) -> DataFrame:
+    """Two tables side by side by place; a place whose keys differ is an error when its row is read."""
+    r = right.select([F.col(c).alias(c if c == place else f"{c}_right") for c in right.columns])
+    out = left.join(r, place)
+    wrong = F.raise_error(F.concat(F.lit("different records at place "), F.col(place).cast("string")))
+    return out.withColumn(key, F.when(F.col(key).eqNullSafe(F.col(f"{key}_right")), F.col(key)).otherwise(wrong)).drop(f"{key}_right")

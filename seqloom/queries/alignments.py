@@ -167,3 +167,25 @@ def profile_similarity(spark, sf_dir):
     left = p.where((F.col("id") + F.col("pos")) % 7 != 0)
     right = p.where((F.col("id") + F.col("pos")) % 5 != 0).withColumn("id", F.col("id") - 1)
     return al.profile_similarity(left, right, ["id"], "pos", ["x"]).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""SELECT label, pos, symbol, n AS votes FROM (SELECT label, pos, CASE WHEN aa = '-' THEN '.' WHEN aa < 'L' THEN 'A' ELSE 'Z' END AS symbol, count(*) AS n FROM {COLUMNS} GROUP BY 1, 2, 3)
+QUALIFY row_number() OVER (PARTITION BY label, pos ORDER BY n DESC, symbol) = 1""")
+def consensus_by_family(spark, sf_dir):
+    """The most frequent of three residue classes in every column of a family."""
+    kind = F.when(F.col("aa") == "-", ".").when(F.col("aa") < "L", "A").otherwise("Z")
+    return al.consensus(columns(spark, sf_dir).withColumn("symbol", kind), ["label"], "pos", "symbol")
+
+
+@query(f"""SELECT CASE WHEN sum(length(regexp_replace(seq, '[^ACGT]', '', 'g'))) / sum(length(seq)) > 0.9 THEN 'nucl' ELSE 'prot' END AS alphabet
+FROM (SELECT id, seq, sum(length(seq)) OVER (ORDER BY id) - length(seq) AS before FROM {SEQUENCES} WHERE seq <> '') WHERE before < 1000""")
+def file_alphabet(spark, sf_dir):
+    return al.leading_alphabet(sequences(spark, sf_dir), "seq", "id")
+
+
+@query()
+def residue_profiles(spark, sf_dir):
+    """The profile of the alignment for each row's own residues."""
+    from seqloom.queries.profiles import pssm_lod
+
+    return al.residue_scores(pssm_lod(spark, sf_dir), columns(spark, sf_dir).select("id", "pos", "aa"))

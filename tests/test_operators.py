@@ -230,3 +230,17 @@ def test_external_programs(spark):
     p = Program(("cat",), lambda b: "\n".join(b["v"]), lambda t: pd.DataFrame({"v": t.split("\n")}), "v string")
     assert sorted(r.v for r in piped(spark.createDataFrame([("a",), ("b",)], "v string"), p).collect()) == ["a", "b"]
     assert rows(mapped(spark.range(3), lambda r, k: (r.id * k,) if r.id else None, "v bigint", 10)) == [(10,), (20,)]
+
+
+def test_zip_checks_keys(spark):
+    a = spark.createDataFrame([(0, "x", 1), (1, "y", 2)], "n int, id string, v int")
+    assert rows(alignment.zipped(a, a.drop("v"), "n", "id")) == [(0, "x", 1), (1, "y", 2)]
+    with pytest.raises(Exception, match="different records"):
+        alignment.zipped(a, a.withColumn("id", F.lit("x")), "n", "id").collect()
+
+
+def test_contiguous_blocks(spark):
+    b = spark.createDataFrame([("s", 1, 10), ("s", 11, 20), ("s", 22, 30)], "k string, start int, end int")
+    assert [r.ok for r in b.withColumn("ok", alignment.contiguous(b, "k", "start", "end")).orderBy("start").collect()] == [True, True, False]
+    p = spark.createDataFrame([(5,), (15,)], "pos int")
+    assert sorted((r.pos, r.start) for r in alignment.first_segment(p, b, "pos", "start", "end").collect()) == [(5, 1), (15, 11)]
