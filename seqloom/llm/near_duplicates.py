@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import dart_minhash
+from seqloom.llm.components import connected_components
 from seqloom.plans.stages import Stages
 
 
@@ -150,3 +151,15 @@ def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     within = x.join(y, (F.col("xh") == F.col("yh")) & (F.col("xg") == F.col("yg"))).where("x < y").select("x", "y")
     both = across.unionByName(within).where("x <> y")
     return both.select(F.least("x", "y").alias("rec1"), F.greatest("x", "y").alias("rec2")).distinct()
+
+
+def linked_groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``(rec, group_id)``: each record with the smallest record of its group, linked by similar classes.
+
+    Classes are linked, not records: copies cost nothing.
+    """
+    x, y = F.concat_ws(":", "xh", "xg"), F.concat_ws(":", "yh", "yg")
+    linked = connected_components(pairs.select(x.alias("a"), y.alias("b")), "a", "b").select(F.col("id").alias("cls"), F.col("group_id").alias("root"))
+    rooted = members.select("rec", F.concat_ws(":", "h", "g").alias("cls")).join(linked, "cls", "left").select("rec", F.coalesce("root", "cls").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("rec").alias("group_id"))
+    return rooted.join(names, "root").select("rec", "group_id")

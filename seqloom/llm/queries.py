@@ -12,7 +12,7 @@ from seqloom.llm.components import connected_components
 from seqloom.llm.encoding import decoded, encoded, public_vocabulary, token_counts
 from seqloom.llm.packing import fill_containers
 from seqloom.llm.quality import mostly_outside_sentences, outlier_scores, text_statistics
-from seqloom.llm.set_join import record_pairs, similar_records
+from seqloom.llm.set_join import link_counts, record_pairs, similar_records
 from seqloom.llm.sql import ORACLE
 from seqloom.llm.top_n import top_n
 from seqloom.plans.stages import Stages
@@ -32,6 +32,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.record_pairs(pairs, members).select(F.col("rec1").alias("id1"), F.col("rec2").alias("id2"))
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record with the smallest id of its group: what is linked by similar content, directly or over others."""
+    pairs, members = near.near_duplicates(_table(spark, sf_dir, "fasta"), "id", near.letters(F.col("seq")))
+    return near.linked_groups(pairs, members).select(F.col("rec").alias("id"), "group_id")
+
+
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster record with the first record of equal members, and with how many records are similar to it."""
+    pairs, belongs = similar_records(cluster_sets(spark, sf_dir), "cluster_id", "members", 0.8)
+    return link_counts(pairs, belongs).select(F.col("rec").alias("cluster_id"), F.col("cls").alias("class_id"), "links")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, belongs = similar_records(cluster_sets(spark, sf_dir), "cluster_id", "members", 0.8)
     return record_pairs(pairs, belongs).select(F.col("rec1").alias("cluster_id1"), F.col("rec2").alias("cluster_id2"))
@@ -108,7 +120,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p2_found, p3_found, p3_described, p4_found, p5_found, p6_ids, p6_decoded, p7_pieces, p8_found, p8_scores)}
+    return {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_links, p3_found, p3_described, p4_found, p5_found, p6_ids, p6_decoded, p7_pieces, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -175,3 +175,15 @@ def record_pairs(pairs: DataFrame, belongs: DataFrame) -> DataFrame:
     across = pairs.join(x, "cls1").join(y, "cls2").select("x", "y")
     within = x.join(y, F.col("cls1") == F.col("cls2")).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("rec1"), F.greatest("x", "y").alias("rec2"))
+
+
+def link_counts(pairs: DataFrame, belongs: DataFrame) -> DataFrame:
+    """``(rec, cls, links)``: each record with its class and the number of other records that are equal or similar.
+
+    Counts come from class sizes; no pair of records is made.
+    """
+    sizes = belongs.groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    sides = pairs.select(F.inline(F.array(F.struct(F.col("cls1").alias("cls"), F.col("cls2").alias("other")), F.struct(F.col("cls2").alias("cls"), F.col("cls1").alias("other")))))
+    near = sides.join(sizes.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("n").alias("near"))
+    per = sizes.join(near, "cls", "left").select("cls", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    return belongs.join(per, "cls").select("rec", "cls", "links")

@@ -22,4 +22,10 @@ P5 = f"""WITH {_PAIRS}, p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(
 s AS (SELECT a, b, score FROM p UNION ALL SELECT b, a, score FROM p)
 SELECT a AS seq_id, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS INTEGER) AS rnk, b AS partner_id FROM s QUALIFY rnk <= 5"""
 
-ORACLE = {"p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}
+#: Links counted from the pairs of :data:`P2`; the class is the smallest record of equal members.
+P2_LINKS = f"""WITH {_NAMES}, raw AS (SELECT cluster_id, nullif(trim(m), '') AS x FROM (SELECT cluster_id, unnest(cluster) AS m FROM clusters)),
+t AS (SELECT DISTINCT cluster_id, {_PLAIN.format('x', 'n1')} AS m FROM raw LEFT JOIN names n1 ON n1.hash = x WHERE x IS NOT NULL),
+k AS (SELECT cluster_id, string_agg(m, chr(31) ORDER BY m) AS k, count(*) AS n FROM t GROUP BY 1), f AS ({P2})
+SELECT cluster_id, min(cluster_id) OVER (PARTITION BY k) AS class_id, (SELECT count(*) FROM f WHERE cluster_id1 = k.cluster_id OR cluster_id2 = k.cluster_id) AS links FROM k"""
+
+ORACLE = {"p2_links": P2_LINKS, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}

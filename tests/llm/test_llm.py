@@ -72,6 +72,8 @@ def test_near_duplicates_against_brute_force(spark):
             clean[a] = shingles(s)
     want = sorted((a, b) for a, b in itertools.combinations(sorted(clean), 2) if len(clean[a] & clean[b]) >= 0.6 * len(clean[a] | clean[b]))
     assert got == want and len(got) > 30 and ("é1", "é2") in got
+    groups = dict(rows(near_duplicates.linked_groups(pairs, members)))
+    assert groups.keys() == clean.keys() and all(groups[a] == groups[b] for a, b in got) and all(g <= r for r, g in groups.items())
     pairs, members = near_duplicates.near_duplicates(df.limit(0), "id", F.col("seq"))
     assert near_duplicates.record_pairs(pairs, members).count() == 0
 
@@ -97,6 +99,8 @@ def test_set_join_against_brute_force(spark, threshold, small):
     sets = {i: set(m) for i, m in enumerate(records) if m}
     want = [(a, b) for a, b in itertools.combinations(sets, 2) if 2 * len(sets[a] & sets[b]) >= threshold * (len(sets[a]) + len(sets[b])) - 1e-9]
     assert got == sorted(want)
+    links = {r.rec: r.links for r in set_join.link_counts(pairs, belongs).collect()}
+    assert links == {i: sum(i in p for p in want) for i in sets}
 
 
 def test_set_join_of_nothing(spark):
