@@ -14,8 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.spread import spread
+
 #: Rows of a block on average.
 BLOCK = 256
+#: Tiles of a task on average.
+TILES = 16
 
 TILE = "id1 {kind}, id2 {kind}, identical int, alike int, compared int, filled int"
 
@@ -84,7 +88,7 @@ def all_pairs(rows: DataFrame, id_: str, seq: str, alphabet: str, matrix: dict |
     left = own.select("id", "seq", F.lit(0).alias("side"), F.col("block").alias("bi"), F.explode(numbers).alias("bj"))
     right = own.select("id", "seq", F.lit(1).alias("side"), F.explode(numbers).alias("bi"), F.col("block").alias("bj"))
     kind = rows.schema[id_].dataType.simpleString()
-    return left.unionByName(right).groupBy("bi", "bj").applyInPandas(_tiles(alphabet, alike_matrix(alphabet, matrix), True), TILE.format(kind=kind))
+    return spread(left.unionByName(right), n * n, TILES, "bi", "bj").groupBy("bi", "bj").applyInPandas(_tiles(alphabet, alike_matrix(alphabet, matrix), True), TILE.format(kind=kind))
 
 
 def pairs_between(left: DataFrame, right: DataFrame, id_: str, seq: str, alphabet: str, matrix: dict | None = None, block: int = BLOCK) -> DataFrame:
@@ -95,7 +99,7 @@ def pairs_between(left: DataFrame, right: DataFrame, id_: str, seq: str, alphabe
     x = a.select("id", "seq", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(na)).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bj"))
     y = b.select("id", "seq", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("bi"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("bj"))
     kind = left.schema[id_].dataType.simpleString()
-    return x.unionByName(y).groupBy("bi", "bj").applyInPandas(_tiles(alphabet, alike_matrix(alphabet, matrix), False), TILE.format(kind=kind))
+    return spread(x.unionByName(y), na * nb, TILES, "bi", "bj").groupBy("bi", "bj").applyInPandas(_tiles(alphabet, alike_matrix(alphabet, matrix), False), TILE.format(kind=kind))
 
 
 def incremental_pairs(old: DataFrame, new: DataFrame, id_: str, same: Column | None = None) -> DataFrame:
