@@ -20,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.spread import spread
 from seqloom.plans.stages import Stages
 
 #: Items a shard holds on average; a shard is one task's work, so this bounds the task.
 SHARD_ITEMS = 1500
+#: Shards of a task on average.
+SHARDS_A_TASK = 32
 
 
 def difference(sizes: Sequence[int], k: int) -> list[list[int]]:
@@ -168,7 +171,7 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int, shard_
     cut = rows.select("key", "row", full.alias("full"), rest.alias("rest"), shard.alias("shard"))
     kind = items.schema[key].dataType.simpleString()
     packed = (
-        cut.where("rest > 0")
+        spread(cut.where("rest > 0"), shards, SHARDS_A_TASK, "shard")
         .groupBy("shard")
         .applyInPandas(_shard(capacity), f"key {kind}, row bigint, full int, rest bigint, shard bigint, container bigint, place int")
     )
