@@ -181,11 +181,3 @@ def consensus_by_family(spark, sf_dir):
 FROM (SELECT id, seq, sum(length(seq)) OVER (ORDER BY id) - length(seq) AS before FROM {SEQUENCES} WHERE seq <> '') WHERE before < 1000""")
 def file_alphabet(spark, sf_dir):
     return al.leading_alphabet(sequences(spark, sf_dir), "seq", "id")
-
-
-@query()
-def residue_profiles(spark, sf_dir):
-    """The profile of the alignment for each row's own residues."""
-    from seqloom.queries.profiles import pssm_lod
-
-    return al.residue_scores(pssm_lod(spark, sf_dir), columns(spark, sf_dir).select("id", "pos", "aa"))

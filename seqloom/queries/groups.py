@@ -69,7 +69,8 @@ def cluster_overlap(spark, sf_dir):
     return gr.set_overlap(gr.overlaps(*_two_sets(spark, sf_dir))).select(F.round("score", 9).alias("score"))
 
 
-@query()
+@query(f"""WITH {_AB}, x AS (SELECT grp1, sum(2 * common / (size1 + size2) * common / size1) AS tally, any_value(size1) AS s FROM f GROUP BY 1), y AS (SELECT grp2, sum(2 * common / (size1 + size2) * common / size2) AS tally, any_value(size2) AS s FROM f GROUP BY 1)
+SELECT round(((SELECT sum(tally * s) / sum(s) FROM x) + (SELECT sum(tally * s) / sum(s) FROM y)) / 2, 9) AS score""")
 def cluster_overlap_symmetric(spark, sf_dir):
     a, b = _two_sets(spark, sf_dir)
     return gr.symmetric_overlap(a.withColumn("grp", F.col("grp").cast("string")), b).select(F.round("score", 9).alias("score"))

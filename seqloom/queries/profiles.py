@@ -49,9 +49,23 @@ def pssm_lod(spark, sf_dir):
     return pssm.log_odds(pssm.corrected(pssm.column_frequencies(c, w, priors), priors), matrix_table(spark, MATRIX))
 
 
-@query()
+_LOD = f"""{_FREQ}, mixed AS (SELECT pos, aa, prior, (freq + prior) / 2 AS freq FROM freq), subs AS (SELECT pos, aa1 AS aa, sum(freq * m) AS s FROM mixed JOIN {MATRIX_SQL} ON aa2 = aa GROUP BY 1, 2),
+lod AS (SELECT mixed.pos, mixed.aa, round(2 * log2(freq / prior) + coalesce(s, 0), 4) AS score FROM mixed LEFT JOIN subs ON subs.pos = mixed.pos AND subs.aa = mixed.aa)"""
+
+
+@query(f"""WITH {_LOD}, v AS (SELECT x.pos AS p1, y.pos AS p2, sum(x.score * y.score) AS v FROM lod x JOIN lod y USING (aa) GROUP BY 1, 2),
+spans AS (SELECT p1, sum(v) OVER d AS s, count(*) OVER d AS n FROM v WINDOW d AS (PARTITION BY p2 - p1 ORDER BY p1 ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) SELECT p1 AS start1, round(max(s), 4) AS best FROM spans WHERE n = 5 GROUP BY 1""")
 def pssm_windows(spark, sf_dir):
     """The best window of five columns of the profile against itself, for every start."""
     lod = pssm_lod(spark, sf_dir)
     w = pssm.window_products(lod, lod)
     return w.groupBy("start1").agg(F.round(F.max("score"), 4).alias("best"))
+
+
+@query(f"""WITH {_LOD}, r AS (SELECT id, pos, CAST(sum(CASE WHEN aa <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) - 1 AS BIGINT) AS residue, aa AS own FROM c)
+SELECT id, residue AS pos, lod.aa, score FROM r JOIN lod ON lod.pos = r.pos WHERE own <> '-'""")
+def residue_profiles(spark, sf_dir):
+    """The profile of the alignment for each row's own residues."""
+    from seqloom.operators.alignment import residue_scores
+
+    return residue_scores(pssm_lod(spark, sf_dir), columns(spark, sf_dir).select("id", "pos", "aa"))

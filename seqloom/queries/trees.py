@@ -46,14 +46,18 @@ def tree_long_branches(spark, sf_dir):
     return dd.long_branches(tree(spark, sf_dir).select("node", "length"), "length")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_UP}, long AS (SELECT node FROM t WHERE parent IS NOT NULL AND length > (SELECT avg(length) + stddev_samp(length) FROM t WHERE parent IS NOT NULL)),
+n AS (SELECT u.node, ancestor FROM u WHERE steps > 0 AND ancestor NOT IN (SELECT node FROM long) QUALIFY row_number() OVER (PARTITION BY u.node ORDER BY steps) = 1)
+SELECT t.node, n.ancestor AS parent, length FROM t LEFT JOIN n ON n.node = t.node WHERE t.node NOT IN (SELECT node FROM long)""")
 def tree_collapsed(spark, sf_dir):
     t = tree(spark, sf_dir)
     long = dd.long_branches(t.where("parent is not null"), "length")
     return tr.collapsed(t.select("node", "parent", "length"), long, "node", "parent")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_UP}, way AS (SELECT ancestor AS v, steps FROM u WHERE node = 37)
+SELECT t.node, CASE WHEN w.v IS NOT NULL THEN x.v ELSE t.parent END AS parent, CASE WHEN w.v IS NOT NULL THEN y.length ELSE t.length END AS length
+FROM t LEFT JOIN way w ON w.v = t.node LEFT JOIN way x ON x.steps = w.steps - 1 LEFT JOIN t y ON y.node = x.v""")
 def tree_rerooted(spark, sf_dir):
     t = tree(spark, sf_dir)
     return tr.rerooted(t, "node", "parent", "length", 37)
@@ -71,7 +75,10 @@ def newick_text(spark, sf_dir):
 _LINEAGE = "t AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 0 THEN c_custkey // 3 END AS parent FROM customer)"
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINEAGE}, u(node, ancestor, steps) AS (SELECT node, node, 0 FROM t UNION ALL SELECT u.node, t.parent, steps + 1 FROM u JOIN t ON t.node = u.ancestor WHERE t.parent IS NOT NULL),
+g AS (SELECT node, max(steps) AS generation FROM u GROUP BY 1), e AS (SELECT node FROM g WHERE generation = (SELECT max(generation) FROM g)),
+f AS (SELECT steps, min(ancestor) AS ancestor FROM u WHERE node IN (SELECT node FROM e) GROUP BY 1 HAVING count(DISTINCT ancestor) = 1 AND count(*) = (SELECT count(*) FROM e))
+SELECT CAST((SELECT max(generation) FROM g) - steps AS INTEGER) AS generation, ancestor FROM f QUALIFY row_number() OVER (ORDER BY steps) = 1""")
 def common_ancestor(spark, sf_dir):
     """The latest common ancestor of everything in the last generation of a lineage."""
     c = F.col("c_custkey")
