@@ -28,4 +28,7 @@ t AS (SELECT DISTINCT cluster_id, {_PLAIN.format('x', 'n1')} AS m FROM raw LEFT
 k AS (SELECT cluster_id, string_agg(m, chr(31) ORDER BY m) AS k, count(*) AS n FROM t GROUP BY 1), f AS ({P2})
 SELECT cluster_id, min(cluster_id) OVER (PARTITION BY k) AS class_id, (SELECT count(*) FROM f WHERE cluster_id1 = k.cluster_id OR cluster_id2 = k.cluster_id) AS links FROM k"""
 
-ORACLE = {"p2_links": P2_LINKS, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}
+#: What decoding must give back.
+P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+ORACLE = {"p6_decoded": P6_DECODED, "p2_links": P2_LINKS, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}
