@@ -13,9 +13,16 @@ def first_of(records: DataFrame, key: str, *order) -> DataFrame:
 
 
 def numbered(records: DataFrame, key: str, *order) -> DataFrame:
-    """Adds ``unique_id``: the key with its occurrence number, ``id_1``, ``id_2``, ..."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return records.withColumn("unique_id", F.concat_ws("_", F.col(key).cast("string"), n.cast("string")))
+    """Adds ``unique_id``: the key with its occurrence number, ``id_1``, ``id_2``, ...
+
+    Rows are numbered in order of key over range partitions, less the number of the key's first row: a key
+    with a third of all rows is spread like the others.
+    """
+    rows = with_row_number(records, "__n", key, *order)
+    first = rows.groupBy(key).agg(F.min("__n").alias("__first"))
+    out = rows.join(first.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    n = (F.col("__n") - F.col("__first") + 1).cast("string")
+    return out.withColumn("unique_id", F.concat_ws("_", F.col(key).cast("string"), n)).drop("__n", "__first")
 
 
 def greedy_either(records: DataFrame, id_: str, seq: str, order: str) -> DataFrame:

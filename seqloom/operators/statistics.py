@@ -16,13 +16,14 @@ from seqloom.operators.dedup import with_row_number
 def index_percentiles(values: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """``(group, share, value)``: the element at index ``ceil(n p)`` of the sorted values, the last one at most.
 
-    Values are ranked by a window, so a group need not fit in memory.
+    Rows are numbered once, in order of group and value, over range partitions; a wanted element is a
+    number.  So no task holds a group, however large.
     """
-    w = Window.partitionBy(group)
-    ranked = values.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    shares_ = F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share")
-    at = F.least(F.ceil(F.round(F.col("n") * F.col("share"), 9)) + 1, F.col("n"))
-    return ranked.select(group, value, "r", "n", shares_).where(F.col("r") == at).select(group, "share", value)
+    rows = with_row_number(values.where(F.col(value).isNotNull()).select(group, value), "__n", group, value)
+    sizes = rows.groupBy(group).agg(F.min("__n").alias("first"), F.count(F.lit(1)).alias("n"))
+    wanted = sizes.select(group, "first", "n", F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share"))
+    at = F.col("first") + F.least(F.ceil(F.round(F.col("n") * F.col("share"), 9)), F.col("n") - 1)
+    return wanted.select(group, "share", at.alias("__n")).join(rows.select("__n", value), "__n").select(group, "share", value)
 
 
 def normalised(values: DataFrame, value: str, trim: float = 1.0, key: str | None = None, by_round: bool = False) -> DataFrame:
