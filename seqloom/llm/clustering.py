@@ -130,7 +130,7 @@ def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> DataFrame:
 
 
 def pivot_clusters(
-    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 3, max_cycles: int = 16, seed: int = 11
+    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 3, max_cycles: int = 40, seed: int = 11
 ) -> DataFrame:
     """``(cluster_id, seq_id)``: the members of every settled cluster; ``cluster_id`` is the smallest one.
 
@@ -146,7 +146,7 @@ def pivot_clusters(
 
 
 def described_clusters(
-    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 3, max_cycles: int = 16, seed: int = 11
+    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 3, max_cycles: int = 40, seed: int = 11
 ) -> DataFrame:
     """As :func:`pivot_clusters`, with ``size``, ``typicality`` and ``place`` of each member.
 

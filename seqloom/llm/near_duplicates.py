@@ -129,7 +129,8 @@ def near_duplicates(records: DataFrame, rec: str, content: Column, width: int =
     )
     members = hashed.select("rec", "h", "g").distinct()
     signed = classes.select("c", "content").mapInPandas(_band_batches(width, n_bands, rows_per_band), "c bigint, bands array<bigint>")
-    banded = signed.select("c", F.explode("bands").alias("band")).repartition("band")
+    banded = signed.select("c", F.explode("bands").alias("band"))
+    # the join's own exchange is made once for both sides, and AQE can split a hot band in it
     x, y = banded.alias("x"), banded.alias("y")
     candidates = stages.cut(
         x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("xc"), F.col("y.c").alias("yc")).distinct(),
