@@ -83,3 +83,14 @@ def plain_members(members: DataFrame, id_map: DataFrame, member: str, *keep: str
         .select(F.coalesce("plain", "member").alias("member"), *keep)
     )
     return clear.unionByName(named)
+
+
+def short_codes(ids: DataFrame, name: str, size: int = 10) -> DataFrame:
+    """``(hash, name)``: a short code for every id, the same in every run; a code that two ids share is an error.
+
+    Choose ``size`` (hex digits, up to 32) so that this does not come about.
+    """
+    coded = ids.select(F.col(name).alias("name")).where("name is not null").distinct()
+    per = coded.groupBy(F.substr(F.md5("name"), F.lit(1), F.lit(size)).alias("hash")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("n"))
+    shared = F.raise_error(F.concat(F.lit("two ids share the code "), F.col("hash")))
+    return per.select(F.when(F.col("n") == 1, F.col("hash")).otherwise(shared).alias("hash"), "name")

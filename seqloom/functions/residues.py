@@ -93,3 +93,9 @@ def fitness(c: Column) -> Column:
     start = F.when(F.left(c, F.lit(1)) == "M", 1.0).otherwise(0.25)
     size = F.when(F.length(c).between(350, 550), 1.0).otherwise(0.5)
     return 100 * start * size
+
+
+def cut_behind(seq: Column, segments: Column, n: int, extra: int = 0) -> Column:
+    """A sequence up to the end of its n-th segment (from 1) and ``extra`` residues more; null with fewer segments."""
+    end = F.get(segments, F.lit(n - 1))["end"]
+    return F.when(F.size(segments) >= n, F.left(seq, F.least(F.length(seq), end + F.lit(extra))))

@@ -253,6 +253,25 @@ def shapiro_wilk(x) -> float:
     return float((a @ x) ** 2 / ((x - x.mean()) @ (x - x.mean())))
 
 
+def shapiro_tests(values: DataFrame, group: str, value: str, most: int = 5000) -> DataFrame:
+    """``(group, n, w)``: the statistic of every group of 4 to ``most`` values, for which it is defined; null for others.
+
+    Larger groups are told by their count, before any group is gathered.
+    """
+    import pandas as pd
+
+    sizes = values.groupBy(group).agg(F.count(value).alias("n"))
+    fit = sizes.where(F.col("n").between(4, most))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf[value].dropna()
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "w": [shapiro_wilk(x) if x.nunique() > 1 else None]})
+
+    kind = values.schema[group].dataType.simpleString()
+    tested = values.select(group, value).join(fit.select(group), group, "left_semi").groupBy(group).applyInPandas(run, f"{group} {kind}, w double")
+    return sizes.join(tested, group, "left").select(group, "n", "w")
+
+
 def cumulative(values: DataFrame, value: str, order: str) -> DataFrame:
     """Adds ``share`` and ``cumulative``: proportional probabilities and their running sum in a total order.
 

@@ -143,3 +143,8 @@ def top_decile(spark, sf_dir):
     r = with_row_number(o, "r", F.desc("o_totalprice"), "o_orderkey")
     n = o.agg(F.round(F.count(F.lit(1)) / 10).alias("n"))
     return r.crossJoin(F.broadcast(n)).where("r <= n").select("o_orderkey", "o_totalprice")
+
+
+@query()
+def shapiro_statistics(spark, sf_dir):
+    return st.shapiro_tests(_lines(spark, sf_dir), "l_suppkey", "l_extendedprice")

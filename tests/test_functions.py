@@ -72,3 +72,18 @@ def test_residues(spark):
     assert one(spark, residues.codons_on_gaps(F.col("p"), F.col("c")), p="M-A", c="ATGGCT") == "ATG---GCT"
     assert one(spark, residues.alphabet(F.col("c")), c="acgt-acgx") == "prot"
     assert one(spark, residues.fitness(F.col("c")), c="M" * 400) == 100.0 and one(spark, residues.fitness(F.col("c")), c="A") == 12.5
+
+
+def test_cut_behind_a_segment(spark):
+    df = spark.createDataFrame([("ABCDEFGHIJ", [("M", 1, 3), ("M", 5, 7)])], "seq string, segments array<struct<symbol string, start int, end int>>")
+    cut = lambda n, extra: df.select(residues.cut_behind(F.col("seq"), F.col("segments"), n, extra).alias("r")).head().r
+    assert (cut(2, 0), cut(1, 1), cut(2, 99), cut(3, 0)) == ("ABCDEFG", "ABCD", "ABCDEFGHIJ", None)
+
+
+def test_short_codes_tell_collisions(spark):
+    from seqloom.functions.ids import short_codes
+
+    ids = spark.createDataFrame([(f"i{n}",) for n in range(40)] + [("i1",), (None,)], "id string")
+    assert short_codes(ids, "id").count() == 40
+    with pytest.raises(Exception, match="share the code"):
+        short_codes(ids, "id", 1).collect()

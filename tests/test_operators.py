@@ -244,3 +244,10 @@ def test_contiguous_blocks(spark):
     assert [r.ok for r in b.withColumn("ok", alignment.contiguous(b, "k", "start", "end")).orderBy("start").collect()] == [True, True, False]
     p = spark.createDataFrame([(5,), (15,)], "pos int")
     assert sorted((r.pos, r.start) for r in alignment.first_segment(p, b, "pos", "start", "end").collect()) == [(5, 1), (15, 11)]
+
+
+def test_shapiro_by_group(spark):
+    rng = random.Random(2)
+    v = [("normal", rng.gauss(0, 1)) for _ in range(200)] + [("skewed", rng.expovariate(1) ** 2) for _ in range(200)] + [("few", 1.0), ("few", 2.0)]
+    w = {r.g: r.w for r in statistics.shapiro_tests(spark.createDataFrame(v, "g string, x double"), "g", "x").collect()}
+    assert w["normal"] > 0.98 > 0.8 > w["skewed"] and w["few"] is None
