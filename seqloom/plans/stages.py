@@ -7,6 +7,7 @@ session; where that is unset, a temporary folder is used, and only in local mode
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,14 @@ class Stages:
         self._paths[id(out)] = where
         return out, int(seen.get["n"])
 
+    def release(self) -> None:
+        """Let the driver forget what finished steps hold: their plans, broadcasts and shuffles.
+
+        A long loop makes hundreds of plans; without this they stay until the driver's heap is full.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete stage tables that nothing reads any more."""
         for t in tables:
