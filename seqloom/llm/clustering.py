@@ -191,6 +191,7 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
                 settled = settled.unionByName(done)
                 ties = _remaining(ties, done, stages)
             labels = table.where("not done").select("v", "label")
+        stages.release()
         idle = 0 if got else idle + 1
         if idle == patience:
             break

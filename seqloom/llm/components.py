@@ -45,6 +45,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
             raise RuntimeError("contraction did not end")
         hook, graph, n_edges = _contract(graph, draw.getrandbits(63), stages)
         hooks.append(hook)
+        if len(hooks) % 4 == 0:
+            stages.release()
     return _named(vertices, hooks, stages)
 
 
