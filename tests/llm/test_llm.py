@@ -296,6 +296,14 @@ def test_quality_finds_what_is_not_prose(spark):
     assert sorted(r.key for r in found.collect()) == [100, 101]
 
 
+def test_quality_finds_junk_whatever_else_shares_its_language(spark):
+    alone, copies = [(200, JUNK, "fi")], [(300 + i, JUNK, "xx") for i in range(6)] + [(310 + i, PROSE, "xx") for i in range(4)]
+    tables = [(400 + i, JUNK.replace("Bdu", f"Hsa{i}"), "pl") for i in range(5)]
+    more = spark.createDataFrame([(a, b, c, 1.0) for a, b, c in alone + copies + tables], documents(spark).schema)
+    found = quality.mostly_outside_sentences(documents(spark).unionByName(more), "doc", "text", "lang", words(spark))
+    assert sorted(r.key for r in found.collect()) == [100, 101, 200, *range(300, 306), *range(400, 405)]
+
+
 def test_statistics_of_blank_texts_are_null(spark):
     s = {r.key: r for r in quality.text_statistics(documents(spark), "doc", "text", "lang", words(spark)).collect()}
     assert len(s) == 38 and all(s[k].visible == 0 and s[k].outside_share is None for k in (103, 104, 105))
