@@ -10,9 +10,11 @@ Two records are tied when their similarity reaches the threshold.  One cycle:
 3. *Settling.*  Whenever ties are counted, clusters that meet the conditions of the result are settled;
    ties between settled records are not looked at again.
 
-Cycles repeat on what is left, with a fresh order, until ``patience`` of them settle nothing; records
-with too few ties left for any cluster are set aside between them.  Each step
-is one count of ties by record and cluster, over the remaining ties only; a record with a third of all
+Cycles repeat on what is left, with a fresh order; records with too few ties left for any cluster are
+set aside between them.  They end when no tie between free records is left, so that no cluster can be
+missing, or when ``patience`` of them settle nothing.  What is left then is searched exhaustively, each
+connected part in one task (:mod:`~seqloom.llm.exact_clusters`); a part too large for that is an error.
+Each step is one count of ties by record and cluster, over the remaining ties only; a record with a third of all
 ties is counted with partial aggregates.  Medoids are computed from the similarities to the members.
 """
 
@@ -22,13 +24,19 @@ import math
 import random
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm.components import connected_components
+from seqloom.llm.exact_clusters import all_clusters
 from seqloom.llm.graph_keys import key, relabelled, vertex_keys
 from seqloom.plans.stages import Stages
 
 
+#: The ties of a connected part that is searched exhaustively in one task.
+MOST_TIES = 1_000_000
+
+
 @dataclass(frozen=True)
 class Conditions:
     """What a settled cluster fulfils; ties are counted among the *other* members."""
@@ -115,8 +123,11 @@ def _step(ties: DataFrame, labels: DataFrame, c: Conditions, settle: bool, stage
     return moved, n_done
 
 
-def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> DataFrame:
-    """The ties with the newly settled records marked, less those between two settled records."""
+def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> tuple[DataFrame, int]:
+    """The ties with the newly settled records marked, less those between two settled records.
+
+    With the number of ties between two free records.
+    """
     mark = done.select("v", F.lit(True).alias("m"))
     marked = (
         ties.join(mark.select(F.col("v").alias("u"), F.col("m").alias("mu")), "u", "left")
@@ -124,9 +135,9 @@ def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> DataFrame:
         .select("u", "v", (F.col("su") | F.col("mu").isNotNull()).alias("su"), (F.col("sv") | F.col("mv").isNotNull()).alias("sv"))
         .where("not (su and sv)")
     )
-    rest = stages.cut(marked, "ties")
+    rest, n_free = stages.cut_counted(marked, "ties", ~F.col("su") & ~F.col("sv"))
     stages.drop(ties)
-    return rest
+    return rest, n_free
 
 
 def pivot_clusters(
@@ -173,12 +184,15 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
     keyed = stages.cut(pairs, "pairs")
     stages.drop(rows)
     ties = keyed.select("u", "v", F.lit(False).alias("su"), F.lit(False).alias("sv"))
-    settled = spark.createDataFrame([], "v bigint, label bigint")
-    draw, idle = random.Random(seed), 0
+    # a label is unique within the step that settles it
+    settled = spark.createDataFrame([], "v bigint, label struct<step: int, label: bigint>")
+    draw, idle, n_free, steps = random.Random(seed), 0, None, 0
     least = math.floor(conditions.inside_above * (conditions.least_size - 1)) + 1
     for cycle in range(max_cycles):
         if cycle:
-            ties = _retired(ties, least, stages)
+            ties, n_free = _retired(ties, least, stages)
+            if not n_free:
+                break
         table, got = _pivots(ties, draw.getrandbits(63), stages), 0
         labels = table
         for move in range(moves):
@@ -187,29 +201,68 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
             stages.drop(old)
             if n:
                 got += n
-                done = stages.cut(table.where("done").select("v", "label"), "settled")
+                steps += 1
+                done = stages.cut(table.where("done").select("v", _label(steps)), "settled")
                 settled = settled.unionByName(done)
-                ties = _remaining(ties, done, stages)
+                ties, _ = _remaining(ties, done, stages)
             labels = table.where("not done").select("v", "label")
         stages.release()
         idle = 0 if got else idle + 1
         if idle == patience:
             break
+    if n_free != 0:
+        rest = _searched(ties, conditions, least, stages)
+        if rest is not None:
+            settled = settled.unionByName(rest.select("v", _label(steps + 1)))
     return keyed, vertices, stages.cut(settled, "members")
 
 
-def _retired(ties: DataFrame, least: int, stages: Stages) -> DataFrame:
+def _label(step: int) -> Column:
+    return F.struct(F.lit(step).alias("step"), F.col("label")).alias("label")
+
+
+def _searched(ties: DataFrame, conditions: Conditions, least: int, stages: Stages) -> DataFrame | None:
+    """``(v, label)`` of the clusters that the cycles have not found; None where no tie is left for one."""
+    before = None
+    while True:
+        ties, n_free = _retired(ties, least, stages)
+        if not n_free:
+            return None
+        if n_free == before:
+            break
+        before = n_free
+    parts = connected_components(ties.where("not su and not sv"), "u", "v")
+    of = stages.cut(parts.select(F.col("id").cast("long").alias("free"), F.col("group_id").alias("part")), "parts")
+    # both ends of a tie between free records are in one part; a marked end is an outsider of each part it touches
+    free = F.when(F.col("su"), F.col("v")).otherwise(F.col("u"))
+    rest = stages.cut(ties.withColumn("free", free).join(of, "free").select("part", "u", "v", "su", "sv"), "rest")
+    largest = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
+    if largest > MOST_TIES:
+        raise RuntimeError(f"{largest} ties in one part are left after the search for clusters, more than {MOST_TIES}")
+    c = conditions
+
+    def search(pdf):
+        import pandas as pd
+
+        found = all_clusters(pdf[["u", "v", "su", "sv"]].itertuples(index=False, name=None), c.least_size, c.inside_above, c.outside_at_most)
+        return pd.DataFrame([(v, m[0]) for m in found for v in m], columns=["v", "label"]).astype("int64")
+
+    return stages.cut(rest.groupBy("part").applyInPandas(search, "v bigint, label bigint"), "searched")
+
+
+def _retired(ties: DataFrame, least: int, stages: Stages) -> tuple[DataFrame, int]:
     """Marks free records with fewer than ``least`` free neighbours: no cluster can hold them.
 
     They are marked as if settled, so they move no more and still count as outsiders of other clusters.
+    With the number of ties between two records that stay free.
     """
     few = _tied(ties.where("not su and not sv")).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < least)
     alone = _tied(ties).select("v", "w").select(F.col("w").alias("v")).distinct()  # free records, also without free neighbours
     free = _tied(ties.where("not su and not sv")).select("v").distinct()
     gone = stages.cut(few.select("v").unionByName(alone.join(free, "v", "left_anti")), "retired")
-    rest = _remaining(ties, gone, stages)
+    rest, n_free = _remaining(ties, gone, stages)
     stages.drop(gone)
-    return rest
+    return rest, n_free
 
 
 def _described(keyed: DataFrame, vertices: DataFrame, settled: DataFrame, stages: Stages) -> DataFrame:

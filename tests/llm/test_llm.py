@@ -149,6 +149,40 @@ def test_pivot_clusters_find_planted_clusters(spark):
     assert clustering.pivot_clusters(df.limit(0), "label", "v", "n", 0.5).count() == 0
 
 
+def test_clusters_that_the_cycles_leave_are_searched_exactly(spark):
+    # every member of a bipartite cluster is tied to just over half of the others, and the cycles rarely settle it
+    planted = [[f"b{g}-{i:02}" for i in range(2 * m)] for g, m in enumerate((3, 4, 6, 9, 12))]
+    e = [(a, b, 0.8) for m in planted for a, b in itertools.product(m[::2], m[1::2])]
+    e += [(m[0], n[1], 0.7) for m, n in itertools.pairwise(planted)]
+    df = spark.createDataFrame(e, "a string, b string, s double")
+    want = sorted((min(m), x) for m in planted for x in m)
+    for cycles in (0, 1):
+        assert rows(clustering.pivot_clusters(df, "a", "b", "s", 0.5, max_cycles=cycles)) == want
+
+
+def test_exact_clusters_against_brute_force():
+    from seqloom.llm.exact_clusters import all_clusters
+
+    rng = random.Random(12)
+    some = 0
+    for _ in range(150):
+        n = rng.randint(6, 11)
+        near = {frozenset(p) for p in itertools.combinations(range(n), 2) if rng.random() < (0.8 if (p[0] < n // 2) == (p[1] < n // 2) else 0.1)}
+        marked = {v for v in range(n) if rng.random() < 0.1}
+
+        def good(m):
+            inside = all(sum(frozenset((x, y)) in near for y in m) > (len(m) - 1) / 2 for x in m)
+            return inside and all(sum(frozenset((x, y)) in near for y in m) <= len(m) / 4 for x in range(n) if x not in m)
+
+        valid = [set(m) for k in range(5, n + 1) for m in itertools.combinations([v for v in range(n) if v not in marked], k) if good(m)]
+        got = [set(m) for m in all_clusters([(*sorted(p), min(p) in marked, max(p) in marked) for p in near], 5, 0.5, 0.25)]
+        assert all(m in valid for m in got) and all(any(m & g for g in got) for m in valid)
+        some += bool(valid)
+    assert some > 10
+    with pytest.raises(RuntimeError):
+        all_clusters([(a, b, False, False) for a, b in itertools.combinations(range(8), 2) if (a + b) % 4], 5, 0.5, 0.25, most_steps=0)
+
+
 # components
 
 
