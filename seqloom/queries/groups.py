@@ -19,10 +19,11 @@ def taxon_counts(spark, sf_dir):
 
 @query(f"""WITH {_COUNTS} SELECT grp, CASE WHEN max(size) = 1 THEN 0 WHEN count(*) > 1 THEN round(product(CASE WHEN k = 1 THEN 2 * (1 + k / size) ELSE 1 END) - product(CASE WHEN k > 1 THEN k * (k / k) ELSE 1 END), 6) END AS score FROM c WHERE size <= 40 GROUP BY 1""")
 def cluster_score_product(spark, sf_dir):
-    """Groups of up to 40 members: beyond, the product leaves the digits of a double."""
-    m = members(spark, sf_dir)
-    small = m.join(m.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n <= 40").select("grp"), "grp", "left_semi")
-    return gr.product_scores(small).select("grp", F.round("score", 6).alias("score"))
+    """Every group; of large ones the last digits of a double depend on the order of the factors.
+
+    The SQL leaves out groups of more than 40 members.
+    """
+    return gr.product_scores(members(spark, sf_dir)).select("grp", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_COUNTS} SELECT grp, size, CAST(CASE WHEN size = 1 THEN 0 ELSE pow(count(*) FILTER (WHERE k = 1), 2) - coalesce(sum(k) FILTER (WHERE k > 1), 0) END AS BIGINT) AS score FROM c GROUP BY 1, 2")
