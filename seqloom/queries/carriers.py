@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.functions.ids import dashed, stripped, taxon
+from seqloom.functions.ids import plain_members, plain_pairs, taxon
 from seqloom.queries.registry import table
 
 LETTERS = "ARNDCQEGHILKMFPSTWYV"
@@ -48,11 +48,11 @@ TOPOLOGY = """(SELECT vec_id AS id, CAST(pos AS INTEGER) AS pos, CASE WHEN x > 0
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(seq1, seq2, score)``: each pair of ids as written (blanks and ``@`` resolved) with its highest valid score."""
-    a, b = dashed(stripped(F.col("seq1"))), dashed(stripped(F.col("seq2")))
-    rows = table(spark, sf_dir, "sim_scores").where("score >= 0.0 and score <= 1.0").select(F.inline(F.array(F.struct(a.alias("a"), b.alias("b"), "score"))))
+    """``(seq1, seq2, score)``: each pair of plain ids with its highest valid score.  :data:`GRAPH` leaves hashes as written."""
+    rows = table(spark, sf_dir, "sim_scores").where("score >= 0.0 and score <= 1.0")
     return (
-        rows.where("a <> b").groupBy(F.least("a", "b").alias("seq1"), F.greatest("a", "b").alias("seq2")).agg(F.max("score").alias("score"))
+        plain_pairs(rows, table(spark, sf_dir, "id_map"), "seq1", "seq2", "score")
+        .where("a <> b").groupBy(F.least("a", "b").alias("seq1"), F.greatest("a", "b").alias("seq2")).agg(F.max("score").alias("score"))
     )
 
 
@@ -62,10 +62,9 @@ GRAPH = f"""(SELECT least(a, b) AS seq1, greatest(a, b) AS seq2, max(score) AS s
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(grp, member, taxon)`` of the cluster records, each once, ids as written."""
-    m = dashed(stripped(F.col("m")))
+    """``(grp, member, taxon)`` of the cluster records, each once, in plain ids.  :data:`MEMBERS` leaves hashes as written."""
     rows = table(spark, sf_dir, "clusters").select(F.col("cluster_id").alias("grp"), F.explode("cluster").alias("m"))
-    rows = rows.select("grp", F.inline(F.array(F.struct(m.alias("member"))))).where("member is not null").distinct()
+    rows = plain_members(rows, table(spark, sf_dir, "id_map"), "m", "grp").select("grp", "member").distinct()
     return rows.withColumn("taxon", taxon(F.col("member")))
 
 

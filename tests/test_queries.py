@@ -1,6 +1,7 @@
 import pytest
 
 from seqloom.queries import QUERIES
+from seqloom.queries.carriers import graph
 
 
 def written(spark, folder, **tables):
@@ -18,3 +19,16 @@ def test_large_groups_have_a_product_score(spark, tmp_path):
     d = written(spark, tmp_path, clusters=([(1, large), (2, ["A-1", "B-1"])], CLUSTERS), id_map=([("h", "A-9")], ID_MAP))
     got = {r.grp: r.score for r in QUERIES["cluster_score_product"](spark, d).collect()}
     assert got[2] == 8 and got[1] == pytest.approx((2 * (1 + 1 / 140)) ** 130 - 10) and len(got) == 2
+
+
+def test_hashes_in_scores_and_clusters_mean_the_sequence(spark, tmp_path):
+    scores = [("A-1", "B-1", 0.6), ("habc", " B@1", 0.9), ("A-1", "habc", 1.0), ("B-1", "unknown", 0.7)]
+    d = written(
+        spark,
+        tmp_path,
+        sim_scores=(scores, "seq1 string, seq2 string, score double"),
+        clusters=([(1, ["A-1", "habc", " B@1", None, ""])], CLUSTERS),
+        id_map=([("habc", "A-1"), ("habc", "A-1")], ID_MAP),
+    )
+    assert sorted(map(tuple, graph(spark, d).collect())) == [("A-1", "B-1", 0.9), ("B-1", "unknown", 0.7)]
+    assert sorted(map(tuple, QUERIES["taxon_counts"](spark, d).select("grp", "taxon", "k", "size").collect())) == [(1, "A", 1, 2), (1, "B", 1, 2)]
