@@ -111,7 +111,7 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics and the outlier score of every document with visible characters."""
     t = text_statistics(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _table(spark, sf_dir, "common_words"))
-    return outlier_scores(t, Stages(spark, "quality")).withColumnRenamed("key", "doc_id")
+    return outlier_scores(t, Stages(spark, "quality")).drop("h", "g").withColumnRenamed("key", "doc_id")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

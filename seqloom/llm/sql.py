@@ -31,4 +31,21 @@ SELECT cluster_id, min(cluster_id) OVER (PARTITION BY k) AS class_id, (SELECT co
 #: What decoding must give back.
 P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
-ORACLE = {"p6_decoded": P6_DECODED, "p2_links": P2_LINKS, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}
+_BLANK = r"\s\x{0b}\x{a0}\x{ad}\x{85}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}\x{00}-\x{1f}\x{7f}-\x{9f}"
+#: Statistics of every visible text, and scores from exact ranks in its language and in the corpus.
+P8_SCORES = rf"""WITH w AS (SELECT list(DISTINCT lower(word)) AS w FROM common_words WHERE word IS NOT NULL),
+t AS (SELECT doc_id, CASE WHEN regexp_matches(trim(lang), '^[A-Za-z]{{2,3}}([-_].*)?$') THEN lower(regexp_extract(trim(lang), '^([A-Za-z]{{2,3}})', 1)) ELSE 'und' END AS language, length(regexp_replace(text, '[{_BLANK}]+', '', 'g')) AS visible,
+ regexp_extract_all(text, '\p{{L}}+') AS words, list_filter(regexp_split_to_array(text, '[\r\n]'), lambda l: regexp_matches(l, '[^\s\x{{0b}}\x{{a0}}\x{{2000}}-\x{{200f}}\x{{3000}}\x{{feff}}]')) AS lines FROM documents),
+c AS (SELECT doc_id, language, visible, len(words)::DOUBLE AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::DOUBLE AS letters, len(list_filter(words, lambda x: list_contains(w.w, lower(x)))) AS hits,
+ len(lines) AS n_lines, len(list_filter(lines, lambda l: regexp_matches(l, '[.!?…][''"”’)»]*[ \t\x{{a0}}]*$'))) AS ended FROM t, w WHERE visible > 0),
+s AS (SELECT doc_id, language, visible, n_words, CASE WHEN n_words > 0 THEN round(letters / n_words, 6) ELSE 0 END AS mean_word_length, round(1 - letters / visible, 6) AS symbol_share,
+ CASE WHEN n_lines > 0 THEN round(ended / n_lines, 6) ELSE 0 END AS punctuated_lines, CASE WHEN n_words > 0 THEN round(hits / n_words, 6) ELSE 0 END AS common_share FROM c),
+v AS (SELECT doc_id, language, unnest([-symbol_share, punctuated_lines, common_share]) AS value, unnest([1, 2, 3]) AS stat FROM s),
+r AS (SELECT doc_id, greatest(-ln(count(*) OVER (PARTITION BY language, stat ORDER BY value) / count(*) OVER (PARTITION BY language, stat)), -ln(count(*) OVER (PARTITION BY stat ORDER BY value) / count(*) OVER (PARTITION BY stat))) AS tail FROM v)
+SELECT s.*, round(o.score, 6) AS outlier_score FROM s JOIN (SELECT doc_id, sum(tail) AS score FROM r GROUP BY 1) o USING (doc_id)"""
+
+#: Groups by what the pairs of :data:`P1` link, directly or over others.
+P1_GROUPS = f"""WITH RECURSIVE f AS ({P1}), e AS (SELECT id1 AS a, id2 AS b FROM f UNION SELECT id2, id1 FROM f), v AS (SELECT DISTINCT id FROM fasta WHERE length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) >= 5),
+r(id, o) AS (SELECT id, id FROM v UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a) SELECT id, min(o) AS group_id FROM r GROUP BY 1"""
+
+ORACLE = {"p8_scores": P8_SCORES, "p1_groups": P1_GROUPS, "p6_decoded": P6_DECODED, "p2_links": P2_LINKS, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("seqloom.llm")
 
-from seqloom.llm import byte_bpe, clustering, components, dart_minhash, encoding, near_duplicates, packing, quality, set_join, top_n  # noqa: E402
+from seqloom.llm import byte_bpe, clustering, components, dart_minhash, encoding, near_duplicates, packing, quality, sentences, set_join, top_n  # noqa: E402
 from seqloom.plans.stages import Stages  # noqa: E402
 
 VOCABULARY = encoding.public_vocabulary()
@@ -340,20 +340,60 @@ def test_quality_finds_junk_whatever_else_shares_its_language(spark):
 
 def test_statistics_of_blank_texts_are_null(spark):
     s = {r.key: r for r in quality.text_statistics(documents(spark), "doc", "text", "lang", words(spark)).collect()}
-    assert len(s) == 38 and all(s[k].visible == 0 and s[k].outside_share is None for k in (103, 104, 105))
+    assert len(s) == 38 and all(s[k].visible == 0 and s[k].common_share is None for k in (103, 104, 105))
     assert s[0].language == s[1].language == s[2].language == "en" and s[3].language == "de" and s[4].language == "und"
-    assert s[0].outside_share == 0 and s[100].outside_share == 1 and s[0].punctuated_lines == 1
+    assert s[0].n_words == len(PROSE.split()) and s[0].punctuated_lines == 1 and s[100].punctuated_lines == 0
+    letters = sum(c.isalpha() for c in PROSE)
+    assert s[0].mean_word_length == pytest.approx(letters / s[0].n_words, abs=1e-6)
+    assert s[0].symbol_share == pytest.approx(1 - letters / len(PROSE.replace(" ", "")), abs=1e-6)
+
+
+def test_share_outside_sentences():
+    common = frozenset("the was again because one had of its and we do not know why it did is to us if same true other so on for them some first".split())
+    assert sentences.outside_share(PROSE, common) == 0 and sentences.outside_share(JUNK, common) == 1
+    assert sentences.outside_share(" \n\u00a0", common) is None and sentences.outside_share(None, common) is None
 
 
 def test_tail_probabilities_are_exact(spark):
     rng = random.Random(3)
     data = [(rng.choice(["en", "de"]), "a", float(rng.randrange(12))) for _ in range(300)]
     df = spark.createDataFrame(data, "language string, stat string, value double")
-    for language, _, value, low, high in rows(quality.tail_probabilities(df, Stages(spark, "test"))):
-        own = [v for k, _, v in data if k == language]
+    got = rows(quality.tail_probabilities(df, Stages(spark, "test")))
+    assert {r[0] for r in got} == {"en", "de", quality.CORPUS}
+    for language, _, value, low, high in got:
+        own = [v for k, _, v in data if language in (k, quality.CORPUS)]
         assert low == pytest.approx(sum(v <= value for v in own) / len(own)) and high == pytest.approx(sum(v >= value for v in own) / len(own))
 
 
+def test_bars_enclose_what_was_seen_of_both(spark):
+    def of(*x):
+        return quality.bars(spark.createDataFrame([(float(a), float(b)) for a, b in x], "outlier_score double, share double"))
+
+    prose, junk = [(s / 10, 0) for s in range(20)], [(s / 10, 1) for s in range(15, 40)]
+    low, high = of(*prose, *junk)
+    assert 1.3 < low < 1.5 and 1.9 < high < 2.1
+    assert of(*junk) == (float("-inf"), float("inf")) == of()
+    low, high = of(*prose)
+    assert 1.7 <= low <= 1.9 and high == float("inf")
+
+
+def test_quality_between_and_outside_the_bars(spark):
+    """With few labelled documents most are decided by score or by a look between the bars; the result is that of a look at all."""
+    rng = random.Random(5)
+    sentence = ["The second search was run again, and we do not know why it did.", "It is the same for the other one.", "We had some of them, and it was true."]
+    data = []
+    for i in range(400):
+        prose = " ".join(rng.choice(sentence) for _ in range(rng.randint(2, 9)))
+        table = "\n".join(f"{rng.choice('ABC')}du-{rng.randrange(99)};{rng.randrange(999)}.5;NA" for _ in range(rng.randint(3, 30)))
+        data.append((i, [prose, prose, table, prose + "\n" + table][i % 4], rng.choice(["en", "de", "fi"])))
+    df = spark.createDataFrame(data + data[:5], "doc int, text string, lang string")
+    w = words(spark)
+    common = frozenset(r.word for r in w.collect() if r.word)
+    want = sorted(i for i, t, _ in data + data[:5] if sentences.outside_share(t, common) > 0.5)
+    for labelled in (120, 4000):
+        assert sorted(r.key for r in quality.mostly_outside_sentences(df, "doc", "text", "lang", w, labelled).collect()) == want
+
+
 def test_quality_of_nothing(spark):
     d = documents(spark).limit(0)
     assert quality.mostly_outside_sentences(d, "doc", "text", "lang", words(spark)).count() == 0
