@@ -28,6 +28,15 @@ def spans(symbols: DataFrame, key: str, pos: str, symbol: str, wanted: str, pref
     return found.select(key, F.concat(F.lit(prefix), number.cast("string")).alias("name"), "start", "end")
 
 
+def cut_at_span(rows: DataFrame, found: DataFrame, key: str, seq: str, n: int, extra: int = 0, exactly: bool = False) -> DataFrame:
+    """The rows with at least (or ``exactly``) ``n`` spans, each cut ``extra`` behind the end of its n-th span, within its length."""
+    from seqloom.functions.residues import cut_behind
+
+    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__s"))
+    fit = F.size("__s") == n if exactly else F.size("__s") >= n
+    return rows.join(listed.where(fit), key).withColumn(seq, cut_behind(F.col(seq), F.col("__s"), n, extra)).drop("__s")
+
+
 def complement(features: DataFrame, lengths: DataFrame, key: str, length: str) -> DataFrame:
     """``(key, start, end)``: what lies between, before and after the features of each sequence; none of length 0."""
     w = Window.partitionBy(key).orderBy("start")

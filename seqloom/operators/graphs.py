@@ -131,6 +131,14 @@ def markov_clusters(edges: DataFrame, inflation: float = 2.0, threshold: float =
     return groups.unionByName(alone)
 
 
+def few_ids(edges: DataFrame, a: str, b: str, most: int = 5000) -> list[str]:
+    """The ids of a graph in order, for the columns of a matrix; more than ``most`` are an error."""
+    found = edges.select(F.explode(F.array(a, b)).alias("id")).distinct().orderBy("id").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} ids: a matrix is not the form for this graph")
+    return [r.id for r in found]
+
+
 def matrix_form(edges: DataFrame, ids: list[str], diagonal: float = 1.0) -> DataFrame:
     """A square labelled matrix of stated ids (its columns): symmetric, a constant on the diagonal, null without an edge."""
     sides = both_directions(edges, "seq1", "seq2", "score").select(F.col("a").alias("id"), F.col("b").alias("other"), "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.residues import BLOSUM62, matrix_table, parse_half_matrix, translated
 from seqloom.operators import alignment as al
 from seqloom.operators.pairs import all_pairs, incremental_pairs, pairs_between
-from seqloom.queries.carriers import COLUMNS, LETTERS, SEQUENCES, TOPOLOGY, alignment, columns, sequences, topology
+from seqloom.queries.carriers import COLUMNS, LETTERS, SEGMENTS, SEQUENCES, TOPOLOGY, alignment, columns, segments_topology, sequences, topology
 from seqloom.queries.registry import query, table
 
 MATRIX = parse_half_matrix(BLOSUM62)
@@ -98,13 +98,22 @@ def non_tmd_spans(spark, sf_dir):
     return al.complement(features, lengths, "id", "length")
 
 
-@query(f"""WITH w AS (SELECT id, pos, symbol, pos - row_number() OVER (PARTITION BY id, symbol ORDER BY pos) AS island FROM {TOPOLOGY}),
-r AS (SELECT id, min(pos) AS s, max(pos) + 1 AS e, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS k, count(*) OVER (PARTITION BY id) AS n FROM w WHERE symbol = 'M' GROUP BY id, island)
-SELECT id, CAST(least(64, e + 20) AS INTEGER) AS "cut" FROM r WHERE k = 4 AND n >= 4""")
+@query(f"""WITH w AS (SELECT id, pos, symbol, pos - row_number() OVER (PARTITION BY id, symbol ORDER BY pos) AS island FROM {SEGMENTS}),
+r AS (SELECT id, max(pos) + 1 AS e, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS k, count(*) OVER (PARTITION BY id) AS n FROM w WHERE symbol = 'M' GROUP BY id, island),
+q AS (SELECT id, string_agg(aa, '' ORDER BY pos) AS seq FROM {COLUMNS} GROUP BY 1) SELECT id, left(seq, least(64, e + 20)) AS seq FROM r JOIN q USING (id) WHERE k = 4 AND n = 4""")
 def four_tm_cut(spark, sf_dir):
-    """Where a sequence with at least four spans is cut: 20 behind the end of the fourth, within its length."""
-    s = tmd_spans(spark, sf_dir)
-    return s.where("name = 'TMD4'").select("id", F.least(F.lit(64), F.col("end") + 20).alias("cut"))
+    """Rows with exactly four spans, cut 20 behind the end of the fourth, within their length."""
+    s = al.spans(segments_topology(spark, sf_dir), "id", "pos", "symbol", "M")
+    return al.cut_at_span(alignment(spark, sf_dir).select("id", "seq"), s, "id", "seq", 4, 20, exactly=True)
+
+
+@query(f"""WITH w AS (SELECT id, pos, symbol, pos - row_number() OVER (PARTITION BY id, symbol ORDER BY pos) AS island FROM {SEGMENTS}),
+r AS (SELECT id, max(pos) + 1 AS e, row_number() OVER (PARTITION BY id ORDER BY min(pos)) AS k FROM w WHERE symbol = 'M' GROUP BY id, island),
+q AS (SELECT id, string_agg(aa, '' ORDER BY pos) AS seq FROM {COLUMNS} GROUP BY 1) SELECT id, left(seq, e) AS seq FROM r JOIN q USING (id) WHERE k = 2""")
+def second_segment_cut(spark, sf_dir):
+    """Rows cut at the end of their second span; rows with fewer are left out."""
+    s = al.spans(segments_topology(spark, sf_dir), "id", "pos", "symbol", "M")
+    return al.cut_at_span(alignment(spark, sf_dir).select("id", "seq"), s, "id", "seq", 2)
 
 
 @query(f"""SELECT id, pos, aa, CAST(CASE WHEN aa <> '-' THEN sum(CASE WHEN aa <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) - 1 END AS BIGINT) AS residue FROM {COLUMNS}""")

@@ -10,7 +10,9 @@ from seqloom.queries.registry import table
 
 LETTERS = "ARNDCQEGHILKMFPSTWYV"
 
-PLAIN = "regexp_replace(trim({0}), '^([^-@]*)@', '\\1-')"
+#: The names of hashes, and an id in any notation, ``{0}``, with its row of names, ``{1}``, in plain form.
+NAMES = "(SELECT trim(hash) AS hash, min(trim(name)) AS name FROM id_map WHERE trim(hash) <> '' AND trim(name) <> '' GROUP BY 1)"
+PLAIN = "coalesce({1}.name, regexp_replace(trim({0}), '^([^-@]*)@', '\\1-'))"
 
 
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ TOPOLOGY = """(SELECT vec_id AS id, CAST(pos AS INTEGER) AS pos, CASE WHEN x > 0
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(seq1, seq2, score)``: each pair of plain ids with its highest valid score.  :data:`GRAPH` leaves hashes as written."""
+    """``(seq1, seq2, score)``: each pair of plain ids with its highest valid score."""
     rows = table(spark, sf_dir, "sim_scores").where("score >= 0.0 and score <= 1.0")
     return (
         plain_pairs(rows, table(spark, sf_dir, "id_map"), "seq1", "seq2", "score")
@@ -57,19 +59,20 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 GRAPH = f"""(SELECT least(a, b) AS seq1, greatest(a, b) AS seq2, max(score) AS score FROM
-  (SELECT nullif({PLAIN.format('seq1')}, '') AS a, nullif({PLAIN.format('seq2')}, '') AS b, score FROM sim_scores WHERE score >= 0 AND score <= 1 AND NOT isnan(score))
+  (SELECT nullif({PLAIN.format('seq1', 'n1')}, '') AS a, nullif({PLAIN.format('seq2', 'n2')}, '') AS b, score FROM sim_scores
+   LEFT JOIN {NAMES} n1 ON n1.hash = trim(seq1) LEFT JOIN {NAMES} n2 ON n2.hash = trim(seq2) WHERE score >= 0 AND score <= 1 AND NOT isnan(score))
   WHERE a <> b GROUP BY 1, 2)"""
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(grp, member, taxon)`` of the cluster records, each once, in plain ids.  :data:`MEMBERS` leaves hashes as written."""
+    """``(grp, member, taxon)`` of the cluster records, each once, in plain ids."""
     rows = table(spark, sf_dir, "clusters").select(F.col("cluster_id").alias("grp"), F.explode("cluster").alias("m"))
     rows = plain_members(rows, table(spark, sf_dir, "id_map"), "m", "grp").select("grp", "member").distinct()
     return rows.withColumn("taxon", taxon(F.col("member")))
 
 
 MEMBERS = f"""(SELECT DISTINCT grp, member, split_part(member, '-', 1) AS taxon FROM
-  (SELECT cluster_id AS grp, nullif({PLAIN.format('m')}, '') AS member FROM (SELECT cluster_id, unnest(cluster) AS m FROM clusters)) WHERE member IS NOT NULL)"""
+  (SELECT cluster_id AS grp, nullif({PLAIN.format('m', 'n')}, '') AS member FROM (SELECT cluster_id, unnest(cluster) AS m FROM clusters) LEFT JOIN {NAMES} n ON n.hash = trim(m)) WHERE member IS NOT NULL)"""
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,3 +82,14 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEQUENCES = "(SELECT DISTINCT id, upper(regexp_replace(seq, '[^A-Za-z]', '', 'g')) AS seq FROM fasta)"
+
+
+def segments_topology(spark: SparkSession, sf_dir: str, width: int = 4) -> DataFrame:
+    """``(id, pos, symbol)``: M where the mean of a stretch of ``width`` columns is above zero, else o."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("pos", "x"))
+    b = e.groupBy("id", F.floor(F.col("pos") / width).cast("int").alias("b")).agg(F.when(F.sum(F.round(F.col("x").cast("double") * 1e6).cast("long")) > 0, "M").otherwise("o").alias("symbol"))
+    return b.select("id", F.explode(F.sequence(F.col("b") * width, F.col("b") * width + width - 1)).alias("pos"), "symbol")
+
+
+SEGMENTS = """(SELECT id, CAST(unnest([4 * b, 4 * b + 1, 4 * b + 2, 4 * b + 3]) AS INTEGER) AS pos, symbol FROM (SELECT id, pos // 4 AS b, CASE WHEN sum(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT)) > 0 THEN 'M' ELSE 'o' END AS symbol
+  FROM (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2))"""

@@ -75,22 +75,25 @@ def complete_linkage(spark, sf_dir):
     return graphs.linkage(graph(spark, sf_dir), 0.1, "complete")
 
 
-_PANEL_MATRIX = f"WITH g AS (SELECT * FROM {GRAPH} WHERE seq1 IN (SELECT id FROM ref_panel) AND seq2 IN (SELECT id FROM ref_panel))"
+_TAXA = f"(SELECT least(x, y) AS seq1, greatest(x, y) AS seq2, max(score) AS score FROM (SELECT split_part(seq1, '-', 1) AS x, split_part(seq2, '-', 1) AS y, score FROM {GRAPH}) WHERE x <> y GROUP BY 1, 2)"
 
 
-def _panel_ids(spark, sf_dir):
-    return [r.id for r in table(spark, sf_dir, "ref_panel").select("id").orderBy("id").collect()]  # twelve rows, a fixed table
+def _taxon_graph(spark, sf_dir):
+    """The highest score between any two taxa, and the taxa in order; a matrix has a column for each, so there must be few."""
+    x, y = taxon(F.col("seq1")), taxon(F.col("seq2"))
+    g = graph(spark, sf_dir).where(x != y).groupBy(F.least(x, y).alias("seq1"), F.greatest(x, y).alias("seq2")).agg(F.max("score").alias("score"))
+    return g, graphs.few_ids(g, "seq1", "seq2")
 
 
-@query()
+@query(f"WITH t AS {_TAXA}, s AS (SELECT seq1 AS id, seq2 AS other, score FROM t UNION ALL SELECT seq2, seq1, score FROM t UNION ALL SELECT DISTINCT unnest([seq1, seq2]) AS id, id, 1.0::DOUBLE FROM t) PIVOT s ON other USING max(score) GROUP BY id")
 def pivot_matrix(spark, sf_dir):
-    ids = _panel_ids(spark, sf_dir)
-    return graphs.matrix_form(graph(spark, sf_dir), ids)
+    """The taxa's square matrix of highest scores, 1 on the diagonal."""
+    return graphs.matrix_form(*_taxon_graph(spark, sf_dir))
 
 
-@query(f"{_PANEL_MATRIX} SELECT seq1, seq2, score FROM g")
+@query(f"SELECT seq1, seq2, score FROM {_TAXA}")
 def melt_matrix(spark, sf_dir):
-    """The matrix of the reference panel, back as an edge list."""
+    """The taxa's matrix, back as an edge list."""
     return graphs.melted(pivot_matrix(spark, sf_dir), "id")
 
 

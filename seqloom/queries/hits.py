@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.operators import hits as ht
-from seqloom.queries.carriers import GRAPH, graph
+from seqloom.queries.carriers import GRAPH, MEMBERS, graph, members
 from seqloom.queries.registry import query, table
 
 _SIDES = f"(SELECT seq1 AS a, seq2 AS b, score FROM {GRAPH} UNION ALL SELECT seq2, seq1, score FROM {GRAPH})"
@@ -35,7 +35,7 @@ def paralog_pairs(spark, sf_dir):
     return r.where(F.substring_index("a", "-", 1) == F.substring_index("b", "-", 1))
 
 
-_HITS = "SELECT l_partkey AS subject, count(*) AS hits, round(avg(1 - l_discount), 8) AS identity, round(avg(l_tax), 8) AS evalue, round(avg(l_extendedprice), 7) AS bits FROM lineitem WHERE l_quantity >= 20 GROUP BY 1"
+_HITS = "SELECT l_partkey AS subject, count(*) AS hits, round(avg(1 - l_discount), 8) AS identity, round(avg(l_tax), 8) AS evalue, round(avg(l_extendedprice), 7) AS bits FROM lineitem WHERE l_quantity >= 43 GROUP BY 1"
 
 
 def _hits(spark, sf_dir):
@@ -47,33 +47,31 @@ def _hits(spark, sf_dir):
 
 @query(f"SELECT * FROM ({_HITS}) WHERE hits > 5")
 def hit_summary_strong(spark, sf_dir):
-    s = ht.summarised(_hits(spark, sf_dir), "query", "subject", "length", "identity", "evalue", "bits", 20, digits=8)
+    s = ht.summarised(_hits(spark, sf_dir), "query", "subject", "length", "identity", "evalue", "bits", 43, digits=8)
     return s.where("strong").drop("strong").withColumn("bits", F.round("bits", 7))
 
 
 @query(f"SELECT * FROM ({_HITS}) WHERE hits <= 5")
 def hit_summary_weak(spark, sf_dir):
-    s = ht.summarised(_hits(spark, sf_dir), "query", "subject", "length", "identity", "evalue", "bits", 20, digits=8)
+    s = ht.summarised(_hits(spark, sf_dir), "query", "subject", "length", "identity", "evalue", "bits", 43, digits=8)
     return s.where("not strong").drop("strong").withColumn("bits", F.round("bits", 7))
 
 
-@query("""WITH m AS (SELECT hash, min(name) AS name FROM id_map GROUP BY 1), r AS (SELECT trim(seq1) AS seq1, trim(seq2) AS seq2, score, run_no FROM sim_scores)
-SELECT a.name AS seq1, b.name AS seq2, score, run_no FROM r JOIN m a ON a.hash = r.seq1 JOIN m b ON b.hash = r.seq2 WHERE a.name <> b.name""")
+@query("""SELECT l_orderkey, l_linenumber, a.s_name AS query, b.s_name AS subject FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey JOIN supplier b ON b.s_suppkey = l_partkey WHERE a.s_name <> b.s_name""")
 def hits_decode(spark, sf_dir):
-    """Rows whose two ids are both hashes, with names; self hits dropped."""
-    names = table(spark, sf_dir, "id_map").groupBy("hash").agg(F.min("name").alias("name"))
-    rows = table(spark, sf_dir, "sim_scores").select(F.trim("seq1").alias("seq1"), F.trim("seq2").alias("seq2"), "score", "run_no")
-    coded = rows.where("instr(seq1, '-') = 0 and instr(seq1, '@') = 0 and instr(seq2, '-') = 0 and instr(seq2, '@') = 0")
-    return ht.decoded(coded, names, "hash", "name", "seq1", "seq2")[0].where("seq1 <> seq2")
+    """Hits coded by number on both sides, with the names of a dictionary; hits with an unknown code and self hits are dropped."""
+    return _coded(spark, sf_dir)[0].where("query <> subject")
 
 
-@query("""WITH m AS (SELECT DISTINCT hash FROM id_map), r AS (SELECT trim(unnest([seq1, seq2])) AS code FROM sim_scores)
-SELECT code, count(*) AS n FROM r WHERE code <> '' AND strpos(code, '-') = 0 AND strpos(code, '@') = 0 AND code NOT IN (SELECT hash FROM m) GROUP BY 1""")
+@query("""SELECT l_orderkey, l_linenumber, l_suppkey AS query, l_partkey AS subject FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) OR l_partkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def hits_missing_codes(spark, sf_dir):
-    """Hashes that the dictionary lacks."""
-    code = table(spark, sf_dir, "sim_scores").select(F.explode(F.array(F.trim("seq1"), F.trim("seq2"))).alias("code"))
-    code = code.where("code <> '' and instr(code, '-') = 0 and instr(code, '@') = 0")
-    return code.join(table(spark, sf_dir, "id_map").select(F.col("hash").alias("code")).distinct(), "code", "left_anti").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    """The hits of which the dictionary lacks a code."""
+    return _coded(spark, sf_dir)[1]
+
+
+def _coded(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("subject"))
+    return ht.decoded(rows, table(spark, sf_dir, "supplier"), "s_suppkey", "s_name", "query", "subject")
 
 
 @query(f"SELECT seq1, seq2, score FROM {GRAPH} WHERE NOT regexp_matches(seq1, '^Bel[^a-zA-Z0-9]') AND NOT regexp_matches(seq2, '^Bel[^a-zA-Z0-9]')")
@@ -86,10 +84,11 @@ def hits_positive_evalue(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ht.positive_evalue(F.col("l_tax")).alias("evalue"))
 
 
-@query("""WITH a AS (SELECT DISTINCT c_custkey AS key FROM customer), b AS (SELECT DISTINCT o_custkey AS key FROM orders)
+@query(f"""WITH a AS (SELECT DISTINCT id AS key FROM fasta), b AS (SELECT DISTINCT member AS key FROM {MEMBERS})
 SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'left' ELSE 'right' END AS side FROM a FULL OUTER JOIN b ON a.key = b.key WHERE a.key IS NULL OR b.key IS NULL""")
 def id_audit(spark, sf_dir):
-    return ht.one_sided(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")), "key")
+    """Records that no cluster names, and cluster members without a record."""
+    return ht.one_sided(table(spark, sf_dir, "fasta").select(F.col("id").alias("key")), members(spark, sf_dir).select(F.col("member").alias("key")), "key")
 
 
 @query(f"""WITH g AS {GRAPH}, s AS (SELECT seq1 AS a, seq2 AS b, score FROM g UNION ALL SELECT seq2, seq1, score FROM g), p AS (SELECT f.id AS a, r.id AS b FROM fasta f CROSS JOIN ref_panel r GROUP BY 1, 2)

@@ -48,9 +48,8 @@ def tabs_to_spaces(spark, sf_dir):
     return lines.select("doc_id", "n", tx.spaces_for_tabs(F.col("line")).alias("line"))
 
 
-@query(r"SELECT doc_id, concat(regexp_replace(regexp_replace(regexp_replace(text, '(?m) +$', '', 'g'), '\n\n+', chr(10) || chr(10), 'g'), '\n+$', ''), chr(10)) AS text FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%' || chr(13) || '%'")
+@query(r"SELECT doc_id, concat(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m) +$', '', 'g'), '\n\n+', chr(10) || chr(10), 'g'), '\n+$', ''), chr(10)) AS text FROM documents WHERE text IS NOT NULL")
 def tidy_text(spark, sf_dir):
-    """Every text; the SQL leaves out those with a carriage return."""
     return _docs(spark, sf_dir).select("doc_id", tx.tidy(F.col("text")).alias("text"))
 
 
