@@ -85,7 +85,7 @@ def newick(nodes: DataFrame, tree: str, node: str, parent: str, label: str, leng
         info = {}
         roots = []
         for n, p, name, size in zip(pdf[node], pdf[parent], pdf[label], pdf[length]):
-            info[n] = (name or "", size)
+            info[n] = ("" if pd.isna(name) else name, size)
             if pd.isna(p):
                 roots.append(n)
             else:

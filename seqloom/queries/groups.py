@@ -17,10 +17,10 @@ def taxon_counts(spark, sf_dir):
     return gr.taxon_counts(members(spark, sf_dir))
 
 
-@query(f"""WITH {_COUNTS} SELECT grp, CASE WHEN max(size) = 1 THEN 0 WHEN count(*) > 1 THEN CAST(printf('%.8e', product(CASE WHEN k = 1 THEN 2 * (1 + k / size) ELSE 1 END) - product(CASE WHEN k > 1 THEN k * (k / k) ELSE 1 END)) AS DOUBLE) END AS score FROM c GROUP BY 1""")
+@query(f"""WITH {_COUNTS} SELECT grp, CASE WHEN max(size) = 1 THEN 0 WHEN count(*) > 1 THEN CAST(printf('%.11e', product(CASE WHEN k = 1 THEN 2 * (1 + k / size) ELSE 1 END) - product(CASE WHEN k > 1 THEN k * (k / k) ELSE 1 END)) AS DOUBLE) END AS score FROM c GROUP BY 1""")
 def cluster_score_product(spark, sf_dir):
-    """Every group, to nine digits: the last ones of a double depend on the order of the factors."""
-    return gr.product_scores(members(spark, sf_dir)).select("grp", F.when(F.col("score").isNotNull(), F.format_string("%.8e", "score")).cast("double").alias("score"))
+    """Every group, to twelve digits: the last ones of a double depend on the order of the factors."""
+    return gr.product_scores(members(spark, sf_dir)).select("grp", F.when(F.col("score").isNotNull(), F.format_string("%.11e", "score")).cast("double").alias("score"))
 
 
 @query(f"WITH {_COUNTS} SELECT grp, size, CAST(CASE WHEN size = 1 THEN 0 ELSE pow(count(*) FILTER (WHERE k = 1), 2) - coalesce(sum(k) FILTER (WHERE k > 1), 0) END AS BIGINT) AS score FROM c GROUP BY 1, 2")

@@ -10,6 +10,11 @@ def _write(lines: DataFrame, path: str, mode: str = "error", separator: str = "\
     lines.select("value").write.mode(mode).option("lineSep", separator).text(path)
 
 
+def _one_file(lines: DataFrame, path: str, mode: str, *order: str) -> None:
+    """For formats whose head speaks for a whole file: one task sorts (and spills) all lines."""
+    _write(lines.repartition(1).sortWithinPartitions(*order), path, mode)
+
+
 def wrapped(seq: Column, width: int) -> Column:
     """A sequence in lines of a width."""
     return F.when(F.length(seq) > 0, F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")).otherwise(F.lit(""))
@@ -51,7 +56,7 @@ def phylip(alignment: DataFrame, path: str, id_: str = "id", seq: str = "seq", m
     size = alignment.agg(F.count(F.lit(1)).alias("n"), F.max(F.length(seq)).alias("len"), F.max(F.length(id_)).alias("w"))
     rows = alignment.crossJoin(F.broadcast(size)).select(F.lit(1).alias("o"), F.col(id_).alias("k"), F.concat(F.rpad(F.col(id_), F.col("w"), F.lit(" ")), F.lit("  "), F.col(seq)).alias("value"))
     head = size.select(F.lit(0).alias("o"), F.lit("").alias("k"), F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(" "), F.coalesce("len", F.lit(0)).cast("string")).alias("value"))
-    _write(head.unionByName(rows).orderBy("o", "k"), path, mode)
+    _one_file(head.unionByName(rows), path, mode, "o", "k")
 
 
 def pssm(scores: DataFrame, path: str, order: str = "ARNDCQEGHILKMFPSTWYV", mode: str = "error") -> None:
@@ -60,7 +65,7 @@ def pssm(scores: DataFrame, path: str, order: str = "ARNDCQEGHILKMFPSTWYV", mode
     numbers = [F.lpad(F.format_string("%.2f", F.coalesce(F.col(a), F.lit(0.0))), 7, " ") for a in order]
     head = wide.sparkSession.createDataFrame([(-1, "#pos" + "".join(a.rjust(7) for a in order))], "pos int, value string")
     rows = wide.select("pos", F.concat(F.rpad(F.col("pos").cast("string"), 4, " "), *numbers).alias("value"))
-    _write(head.unionByName(rows).orderBy("pos"), path, mode)
+    _one_file(head.unionByName(rows), path, mode, "pos")
 
 
 def delimited(table: DataFrame, path: str, separator: str = "\t", header: bool = True, mode: str = "error") -> None:
@@ -153,11 +158,40 @@ def codon_positions(blocks: DataFrame) -> DataFrame:
     )
 
 
+def zip_files(spark, folder: str, pattern: str, archive: str) -> int:
+    """Puts the files of a folder whose names match into one zip archive; how many.  Bytes are copied, no row is read."""
+    import re
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place, target = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(archive)
+    fs = place.getFileSystem(conf)
+    out = jvm.java.util.zip.ZipOutputStream(target.getFileSystem(conf).create(target, True))
+    n = 0
+    try:
+        for f in sorted(fs.listStatus(place), key=lambda f: f.getPath().getName()):
+            if f.isFile() and re.search(pattern, f.getPath().getName()):
+                out.putNextEntry(jvm.java.util.zip.ZipEntry(f.getPath().getName()))
+                source = fs.open(f.getPath())
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 65536, False)
+                source.close()
+                out.closeEntry()
+                n += 1
+    finally:
+        out.close()
+    return n
+
+
+def similarity_definitions(profiles: DataFrame) -> DataFrame:
+    """``value``: a line of an aligner's definition for each row ``(weight, column, profile1, profile2)``."""
+    return from_template(profiles, "WEIGHT: {weight} TYPE: UniversalProfileSimilarity COLUMN: {column} HEADERLINES: 3 PROFILE1: {profile1} PROFILE2: {profile2}")
+
+
 def ascii_table(table: DataFrame, width: int = 110, rows: int = 1000) -> str:
-    """The first rows as a text table, cells wrapped to share the width.  Meant for screens, so it stops at ``rows``."""
+    """The first rows as a text table, cells wrapped to share the width.  Meant for screens: beyond ``rows`` its last line says that there are more."""
     import textwrap
 
-    data = [[("" if v is None else str(v)) for v in r] for r in table.limit(rows).collect()]
+    found = table.limit(rows + 1).collect()
+    data = [[("" if v is None else str(v)) for v in r] for r in found[:rows]]
     head = list(table.columns)
     longest = [max(map(len, [h, *(r[i] for r in data)])) for i, h in enumerate(head)]
     spare = width - 2 * len(head)
@@ -169,4 +203,6 @@ def ascii_table(table: DataFrame, width: int = 110, rows: int = 1000) -> str:
             out.append("  ".join((c[j] if j < len(c) else "").ljust(n) for c, n in zip(cells, sizes)).rstrip())
         if k == 0:
             out.append("  ".join("-" * n for n in sizes))
+    if len(found) > rows:
+        out.append(f"... more than {rows} rows")
     return "\n".join(out)

@@ -95,6 +95,28 @@ def alignment(spark: SparkSession, path: str, format: str = "fasta") -> DataFram
     return _checked(whole.select("path", "id", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("seq")))
 
 
+#: How the first line of a format begins.
+FIRST_LINES = (("fasta", r"^>"), ("genbank", r"^LOCUS\b"), ("clustal", r"^CLUSTAL"), ("stockholm", r"^# STOCKHOLM"), ("nexus", r"(?i)^#NEXUS"), ("phylip", r"^\s*\d+\s+\d+\s*$"))
+
+
+def guessed_format(spark: SparkSession, path: str) -> str:
+    """The format of sequence files, by the first line that is not blank; an unknown one is an error.  All files of a call have one format."""
+    import re
+
+    head = spark.read.text(path).where("trim(value) <> ''").head(1)
+    found = [name for name, pattern in FIRST_LINES if head and re.search(pattern, head[0].value)]
+    if not found:
+        raise ValueError(f"{path}: no known sequence format")
+    return found[0]
+
+
+def sequences(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
+    """``(id, seq)`` of sequence or alignment files in a stated format, or a guessed one."""
+    format = format or guessed_format(spark, path)
+    reader = {"fasta": fasta, "genbank": genbank}.get(format)
+    return (reader(spark, path) if reader else alignment(spark, path, format)).select("id", "seq")
+
+
 def genbank(spark: SparkSession, path: str) -> DataFrame:
     """``(path, id, description, seq, features)``; features are ``(type, start, end)``, from 0, half-open."""
     t = text_records(spark, path, "\n//")
@@ -170,9 +192,9 @@ def group_report(spark: SparkSession, path: str) -> DataFrame:
 def matrix(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """``(row, column, value)`` of a square labelled matrix; blanks are left out."""
     t = lines(spark, path).where("trim(value) <> ''").select("path", "n", F.split("value", separator, -1).alias("v"))
-    head = t.where("n = 1").select("path", F.col("v").alias("names"))
-    cells = t.where("n > 1").join(F.broadcast(head), "path").select(F.trim(F.col("v")[0]).alias("row"), "names", F.posexplode("v").alias("i", "x"))
-    return cells.where("i > 0 and trim(x) <> ''").select("row", F.trim(F.get("names", F.col("i"))).alias("column"), F.expr("try_cast(trim(x) as double)").alias("value"))
+    head = t.where("n = 1").select("path", F.posexplode("v").alias("i", "name"))
+    cells = t.where("n > 1").select("path", F.trim(F.col("v")[0]).alias("row"), F.posexplode("v").alias("i", "x")).where("i > 0 and trim(x) <> ''")
+    return cells.join(head, ["path", "i"]).select("row", F.trim("name").alias("column"), F.expr("try_cast(trim(x) as double)").alias("value"))
 
 
 def probability_matrix(spark: SparkSession, path: str, order: str = "ARNDCQEGHILKMFPSTWYV*") -> DataFrame:
@@ -184,7 +206,7 @@ def probability_matrix(spark: SparkSession, path: str, order: str = "ARNDCQEGHIL
 
 def newick(spark: SparkSession, path: str) -> DataFrame:
     """``(path, tree, node, parent, label, length, post_order)``: a node a row, of every tree of a file."""
-    text = whole_text(spark, path).select("path", F.posexplode(F.filter(F.split("value", ";"), lambda x: F.trim(x) != "")).alias("tree", "value"))
+    text = whole_text(spark, path).select("path", F.posexplode(F.filter(F.split("value", ";"), lambda x: F.regexp_replace(x, r"\s", "") != "")).alias("tree", "value"))
     return newick_nodes(text)
 
 
@@ -298,9 +320,29 @@ def motifs(spark: SparkSession, path: str) -> DataFrame:
     return x.select("id", "motif", (F.regexp_extract("f", r"^(\d+)", 1).cast("int") - 1).alias("start"), F.regexp_extract("f", r"(\d+)$", 1).cast("int").alias("end"))
 
 
-def topology_report(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, method, topology)`` of a report of several predictors."""
-    t = whole_text(spark, path)
+def zipped_texts(spark: SparkSession, path: str, pattern: str = "") -> DataFrame:
+    """``(path, name, value)``: the members of zip archives whose names match, as text; invalid UTF-8 is replaced."""
+
+    def run(batches):
+        import io
+        import re
+        import zipfile
+
+        import pandas as pd
+
+        for batch in batches:
+            for where, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():  # a member at a time
+                        if re.search(pattern, name) and not name.endswith("/"):
+                            yield pd.DataFrame({"path": [where], "name": [name], "value": [z.read(name).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, value string")
+
+
+def topology_report(spark: SparkSession, path: str, zipped: bool = False, pattern: str = "") -> DataFrame:
+    """``(id, method, topology)`` of a report of several predictors, plain or in zip archives."""
+    t = zipped_texts(spark, path, pattern) if zipped else whole_text(spark, path)
     block = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(Sequence name:.*?)(?=Sequence name:|\z)"), 1)).alias("b")
     b = t.select(block).select(F.regexp_extract("b", r"Sequence name: *(\S+)", 1).alias("id"), F.explode(F.regexp_extract_all("b", F.lit(r"(\S+) predicted topology:\s*\n[ioM]+"), 0)).alias("m"))
     return b.select("id", F.regexp_extract("m", r"^(\S+)", 1).alias("method"), F.regexp_extract("m", r"([ioM]+)\s*$", 1).alias("topology"))
