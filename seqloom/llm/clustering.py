@@ -3,17 +3,21 @@
 Two records are tied when their similarity reaches the threshold.  One cycle:
 
 1. *Pivots.*  In a fresh pseudo-random order every record looks for the first among itself and its
-   neighbours.  A record that finds itself is a pivot and absorbs the neighbours that found it.
-2. *Reassignment.*  Every record moves to the cluster where it gains most under the correlation
-   clustering objective: ties into the cluster less half of the cluster's other members; without a gain
-   it stands alone.  Repeated ``moves`` times.
-3. *Settling.*  Whenever ties are counted, clusters that meet the conditions of the result are settled;
+   neighbours.  A record that finds itself is a pivot; every other one joins the pivot it is closest to, by
+   similarity, among its neighbours.
+2. *Medoids.*  The member with the largest sum of similarities to the others of its cluster becomes its pivot,
+   and every record joins the closest of these.
+3. *Ties.*  A member need not be tied to the medoid, only to more than half of its cluster, so records then
+   move to the cluster where they gain most under the correlation clustering objective: ties into the cluster
+   less half of the cluster's other members; without a gain a record stands alone.  Repeated ``moves`` times.
+4. *Settling.*  Whenever ties are counted, clusters that meet the conditions of the result are settled;
    ties between settled records are not looked at again.
 
 Cycles repeat on what is left, with a fresh order; records with too few ties left for any cluster are
-set aside between them.  They end when no tie between free records is left, so that no cluster can be
-missing, or when ``patience`` of them settle nothing.  What is left then is searched exhaustively, each
-connected part in one task (:mod:`~seqloom.llm.exact_clusters`); a part too large for that is an error.
+set aside between them.  After ``pivot_cycles`` of them small connected parts of what is left are searched
+exhaustively (:mod:`~seqloom.llm.exact_clusters`), each in one task; a part that is too large for that goes
+through more cycles.  They end when no tie between free records is left, so that no cluster can be missing, or
+when ``patience`` of them settle nothing; then larger parts are searched, and one too large is an error.
 Each step is one count of ties by record and cluster, over the remaining ties only; a record with a third of all
 ties is counted with partial aggregates.  Medoids are computed from the similarities to the members.
 """
@@ -28,13 +32,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import connected_components
-from seqloom.llm.exact_clusters import all_clusters
+from seqloom.llm.exact_clusters import MOST_STEPS, all_clusters
 from seqloom.llm.graph_keys import key, relabelled, vertex_keys
 from seqloom.plans.stages import Stages
 
 
-#: The ties of a connected part that is searched exhaustively in one task.
+#: The ties of a connected part that is searched exhaustively in one task, at the end of the cycles and between them.
 MOST_TIES = 1_000_000
+SMALL_TIES = 2_000
+#: The steps of a search between cycles; a part that takes more goes through another cycle.
+SMALL_STEPS = 20_000
 
 
 @dataclass(frozen=True)
@@ -48,9 +55,34 @@ class Conditions:
 
 def _tied(ties: DataFrame) -> DataFrame:
     """Both directions ``(u, w)`` of undirected ties, as far as ``w`` is not settled."""
-    one = F.struct(F.col("u").alias("v"), F.col("v").alias("w"), F.col("sv").alias("settled"))
-    two = F.struct(F.col("v").alias("v"), F.col("u").alias("w"), F.col("su").alias("settled"))
-    return ties.select(F.inline(F.array(one, two))).where("not settled").select("v", "w")
+    one = F.struct(F.col("u").alias("v"), F.col("v").alias("w"), F.col("sv").alias("settled"), "score")
+    two = F.struct(F.col("v").alias("v"), F.col("u").alias("w"), F.col("su").alias("settled"), "score")
+    return ties.select(F.inline(F.array(one, two))).where("not settled").select("v", "w", "score")
+
+
+def _closest(ties: DataFrame, pivots: DataFrame, everyone: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """``(v, label)`` of ``everyone`` (``v``): a pivot stays, another joins the closest pivot it is tied to, else stands alone."""
+    near = (
+        _tied(ties.where("not su and not sv"))
+        .join(pivots.select(F.col("v").alias("w")), "w", "left_semi")
+        .groupBy("v")
+        .agg(F.max(F.struct("score", "w"))["w"].alias("near"))
+    )
+    own = pivots.select("v", F.lit(True).alias("pivot"))
+    joined = everyone.select("v").join(near, "v", "left").join(own, "v", "left")
+    return stages.cut(joined.select("v", F.when(F.col("pivot"), F.col("v")).otherwise(F.coalesce("near", "v")).alias("label")), name)
+
+
+def _medoids(ties: DataFrame, labels: DataFrame, stages: Stages) -> DataFrame:
+    """``(v, label)``: every record with the closest of the recomputed medoids."""
+    at = labels.select(F.col("v").alias("u"), F.col("label").alias("lu")), labels.select("v", F.col("label").alias("lv"))
+    inside = ties.where("not su and not sv").join(at[0], "u").join(at[1], "v").where("lu = lv")
+    sides = inside.select(F.inline(F.array(F.struct(F.col("u").alias("v"), F.col("lu").alias("label"), "score"), F.struct("v", F.col("lu").alias("label"), "score"))))
+    central = sides.groupBy("label", "v").agg(F.sum((F.col("score") * 1e6).cast("long")).alias("s")).groupBy("label").agg(F.max(F.struct("s", "v"))["v"].alias("v"))
+    medoids = stages.cut(central.select("v"), "medoids")
+    out = _closest(ties, medoids, labels, stages, "labels")
+    stages.drop(medoids)
+    return out
 
 
 def _pivots(ties: DataFrame, salt: int, stages: Stages) -> DataFrame:
@@ -59,17 +91,15 @@ def _pivots(ties: DataFrame, salt: int, stages: Stages) -> DataFrame:
         _tied(ties.where("not su and not sv"))
         .groupBy("v")
         .agg(F.min(relabelled(F.col("w"), salt)).alias("best"))
-        .select("v", relabelled(F.col("v"), salt).alias("own"), "best")
-        .select("v", "own", F.least("own", "best").alias("best"))
+        .select("v", (relabelled(F.col("v"), salt) < F.col("best")).alias("pivot"))
     )
     first = stages.cut(first, "first")
-    pivots = first.where("own = best").select(F.col("v").alias("pivot"), F.col("own").alias("best"))
-    labels = stages.cut(first.join(pivots, "best", "left").select("v", F.coalesce("pivot", "v").alias("label")), "labels")
+    labels = _closest(ties, first.where("pivot"), first, stages, "labels")
     stages.drop(first)
     return labels
 
 
-def _step(ties: DataFrame, labels: DataFrame, c: Conditions, settle: bool, stages: Stages):
+def _step(ties: DataFrame, labels: DataFrame, c: Conditions, stages: Stages):
     """Count the ties of every record with the free members of each cluster; settle clusters, move records.
 
     The new labels ``(v, label, done)``, and how many records are done.
@@ -91,33 +121,30 @@ def _step(ties: DataFrame, labels: DataFrame, c: Conditions, settle: bool, stage
         "counts",
     )
     moves = counts.where("best").select("v", F.col("label").alias("next"))
-    if not settle:
-        moved = labels.join(moves, "v", "left").select("v", F.coalesce("next", "v").alias("label"), F.lit(False).alias("done"))
-    else:
-        seen = counts.groupBy("label").agg(
-            F.max("size").alias("size"), F.count(F.when(inside, 1)).alias("linked"), F.min(F.when(inside, F.col("n"))).alias("least"), F.max(F.when(~inside, F.col("n"))).alias("most")
-        )
-        good = stages.cut(
-            seen.where(
-                (size >= c.least_size)
-                & (F.col("linked") == size)
-                & (F.col("least") > c.inside_above * (size - 1))
-                & (F.coalesce("most", F.lit(0)) <= c.outside_at_most * size)
-            ).select("label"),
-            "good",
-        )
-        mine = good.select("label", F.lit(True).alias("done"))
-        taken = good.select(F.col("label").alias("next"), F.lit(True).alias("taken"))  # nobody else joins a settled cluster
-        moved = (
-            labels.join(mine, "label", "left")
-            .join(moves, "v", "left")
-            .join(taken, "next", "left")
-            .select(
-                "v",
-                F.when(F.col("done"), F.col("label")).when(F.col("taken") | F.col("next").isNull(), F.col("v")).otherwise(F.col("next")).alias("label"),
-                F.coalesce("done", F.lit(False)).alias("done"),
-            )
+    seen = counts.groupBy("label").agg(
+        F.max("size").alias("size"), F.count(F.when(inside, 1)).alias("linked"), F.min(F.when(inside, F.col("n"))).alias("least"), F.max(F.when(~inside, F.col("n"))).alias("most")
+    )
+    good = stages.cut(
+        seen.where(
+            (size >= c.least_size)
+            & (F.col("linked") == size)
+            & (F.col("least") > c.inside_above * (size - 1))
+            & (F.coalesce("most", F.lit(0)) <= c.outside_at_most * size)
+        ).select("label"),
+        "good",
+    )
+    mine = good.select("label", F.lit(True).alias("done"))
+    taken = good.select(F.col("label").alias("next"), F.lit(True).alias("taken"))  # nobody else joins a settled cluster
+    moved = (
+        labels.join(mine, "label", "left")
+        .join(moves, "v", "left")
+        .join(taken, "next", "left")
+        .select(
+            "v",
+            F.when(F.col("done"), F.col("label")).when(F.col("taken") | F.col("next").isNull(), F.col("v")).otherwise(F.col("next")).alias("label"),
+            F.coalesce("done", F.lit(False)).alias("done"),
         )
+    )
     moved, n_done = stages.cut_counted(moved, "labels", F.col("done"))
     stages.drop(counts)
     return moved, n_done
@@ -132,7 +159,7 @@ def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> tuple[DataFr
     marked = (
         ties.join(mark.select(F.col("v").alias("u"), F.col("m").alias("mu")), "u", "left")
         .join(mark.select("v", F.col("m").alias("mv")), "v", "left")
-        .select("u", "v", (F.col("su") | F.col("mu").isNotNull()).alias("su"), (F.col("sv") | F.col("mv").isNotNull()).alias("sv"))
+        .select("u", "v", "score", (F.col("su") | F.col("mu").isNotNull()).alias("su"), (F.col("sv") | F.col("mv").isNotNull()).alias("sv"))
         .where("not (su and sv)")
     )
     rest, n_free = stages.cut_counted(marked, "ties", ~F.col("su") & ~F.col("sv"))
@@ -141,7 +168,7 @@ def _remaining(ties: DataFrame, done: DataFrame, stages: Stages) -> tuple[DataFr
 
 
 def pivot_clusters(
-    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 3, max_cycles: int = 40, seed: int = 11
+    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, pivot_cycles: int = 2, patience: int = 3, max_cycles: int = 40, seed: int = 11
 ) -> DataFrame:
     """``(cluster_id, seq_id)``: the members of every settled cluster; ``cluster_id`` is the smallest one.
 
@@ -150,14 +177,14 @@ def pivot_clusters(
     * Records in no settled cluster are left out.  Other columns are ignored.  Empty in, empty out.
     """
     stages = Stages(scores.sparkSession, "clusters")
-    _, vertices, settled = _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cycles, seed, stages)
+    _, vertices, settled = _settled(scores, a, b, score, threshold, conditions, moves, pivot_cycles, patience, max_cycles, seed, stages)
     members = stages.cut(settled.join(vertices, settled["v"] == vertices["key"]).select("label", F.col("id").alias("seq_id")), "named")
     names = members.groupBy("label").agg(F.min("seq_id").alias("cluster_id"))
     return members.join(names, "label").select("cluster_id", "seq_id")
 
 
 def described_clusters(
-    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, patience: int = 3, max_cycles: int = 40, seed: int = 11
+    scores: DataFrame, a: str, b: str, score: str, threshold: float, conditions: Conditions = Conditions(), moves: int = 3, pivot_cycles: int = 2, patience: int = 3, max_cycles: int = 40, seed: int = 11
 ) -> DataFrame:
     """As :func:`pivot_clusters`, with ``size``, ``typicality`` and ``place`` of each member.
 
@@ -165,11 +192,11 @@ def described_clusters(
     it (1: the medoid), equal values by smaller id.
     """
     stages = Stages(scores.sparkSession, "clusters")
-    keyed, vertices, settled = _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cycles, seed, stages)
+    keyed, vertices, settled = _settled(scores, a, b, score, threshold, conditions, moves, pivot_cycles, patience, max_cycles, seed, stages)
     return _described(keyed, vertices, settled, stages)
 
 
-def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cycles, seed, stages: Stages):
+def _settled(scores, a, b, score, threshold, conditions, moves, pivot_cycles, patience, max_cycles, seed, stages: Stages):
     """The tied pairs by key, the vertices, and the settled records ``(v, label)``."""
     spark = scores.sparkSession
     x, y = F.col(a).cast("string"), F.col(b).cast("string")
@@ -183,7 +210,7 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
     pairs = rows.select(F.least(ka, kb).alias("u"), F.greatest(ka, kb).alias("v"), "score").groupBy("u", "v").agg(F.max("score").alias("score"))
     keyed = stages.cut(pairs, "pairs")
     stages.drop(rows)
-    ties = keyed.select("u", "v", F.lit(False).alias("su"), F.lit(False).alias("sv"))
+    ties = keyed.select("u", "v", F.col("score").cast("float").alias("score"), F.lit(False).alias("su"), F.lit(False).alias("sv"))
     # a label is unique within the step that settles it
     settled = spark.createDataFrame([], "v bigint, label struct<step: int, label: bigint>")
     draw, idle, n_free, steps = random.Random(seed), 0, None, 0
@@ -191,13 +218,19 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
     for cycle in range(max_cycles):
         if cycle:
             ties, n_free = _retired(ties, least, stages)
+            if n_free and cycle >= pivot_cycles:
+                steps += 1
+                got, ties, n_free = _search(ties, conditions, SMALL_TIES, SMALL_STEPS, stages)
+                settled = settled.unionByName(got.where("label is not null").select("v", _label(steps)))
             if not n_free:
                 break
         table, got = _pivots(ties, draw.getrandbits(63), stages), 0
-        labels = table
-        for move in range(moves):
+        labels = _medoids(ties, table, stages)
+        stages.drop(table)
+        table = labels
+        for _ in range(moves):
             old = table
-            table, n = _step(ties, labels, conditions, cycle + move > 0, stages)
+            table, n = _step(ties, labels, conditions, stages)
             stages.drop(old)
             if n:
                 got += n
@@ -210,10 +243,15 @@ def _settled(scores, a, b, score, threshold, conditions, moves, patience, max_cy
         idle = 0 if got else idle + 1
         if idle == patience:
             break
-    if n_free != 0:
-        rest = _searched(ties, conditions, least, stages)
-        if rest is not None:
-            settled = settled.unionByName(rest.select("v", _label(steps + 1)))
+    while n_free != 0:  # what no cycle settled: in parts of any size up to the bound
+        before = n_free
+        ties, n_free = _retired(ties, least, stages)
+        if n_free and n_free == before:
+            steps += 1
+            got, ties, n_free = _search(ties, conditions, MOST_TIES, MOST_STEPS, stages)
+            settled = settled.unionByName(got.where("label is not null").select("v", _label(steps)))
+            if n_free:
+                raise RuntimeError(f"{n_free} ties are left in parts too large to be searched for clusters, in one of more than {MOST_TIES} ties or {MOST_STEPS} steps")
     return keyed, vertices, stages.cut(settled, "members")
 
 
@@ -221,33 +259,35 @@ def _label(step: int) -> Column:
     return F.struct(F.lit(step).alias("step"), F.col("label")).alias("label")
 
 
-def _searched(ties: DataFrame, conditions: Conditions, least: int, stages: Stages) -> DataFrame | None:
-    """``(v, label)`` of the clusters that the cycles have not found; None where no tie is left for one."""
-    before = None
-    while True:
-        ties, n_free = _retired(ties, least, stages)
-        if not n_free:
-            return None
-        if n_free == before:
-            break
-        before = n_free
+def _search(ties: DataFrame, conditions: Conditions, most_ties: int, most_steps: int, stages: Stages) -> tuple[DataFrame, DataFrame, int]:
+    """Searches the connected parts of at most ``most_ties`` ties for clusters.
+
+    ``(v, label)`` of all free records of the parts that were searched to the end within ``most_steps``, the label
+    null for records in no cluster; the ties that are left, and the number of those between free records.
+    """
     parts = connected_components(ties.where("not su and not sv"), "u", "v")
     of = stages.cut(parts.select(F.col("id").cast("long").alias("free"), F.col("group_id").alias("part")), "parts")
     # both ends of a tie between free records are in one part; a marked end is an outsider of each part it touches
     free = F.when(F.col("su"), F.col("v")).otherwise(F.col("u"))
     rest = stages.cut(ties.withColumn("free", free).join(of, "free").select("part", "u", "v", "su", "sv"), "rest")
-    largest = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
-    if largest > MOST_TIES:
-        raise RuntimeError(f"{largest} ties in one part are left after the search for clusters, more than {MOST_TIES}")
+    fit = rest.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_ties)
     c = conditions
 
     def search(pdf):
         import pandas as pd
 
-        found = all_clusters(pdf[["u", "v", "su", "sv"]].itertuples(index=False, name=None), c.least_size, c.inside_above, c.outside_at_most)
-        return pd.DataFrame([(v, m[0]) for m in found for v in m], columns=["v", "label"]).astype("int64")
-
-    return stages.cut(rest.groupBy("part").applyInPandas(search, "v bigint, label bigint"), "searched")
+        rows = list(pdf[["u", "v", "su", "sv"]].itertuples(index=False, name=None))
+        try:
+            found = all_clusters(rows, c.least_size, c.inside_above, c.outside_at_most, most_steps)
+        except RuntimeError:
+            return pd.DataFrame({"v": [], "label": []}).astype({"v": "int64", "label": "Int64"})
+        label = {v: m[0] for m in found for v in m}
+        records = sorted({x for u, v, su, sv in rows for x, marked in ((u, su), (v, sv)) if not marked})
+        return pd.DataFrame({"v": records, "label": pd.array([label.get(v) for v in records], dtype="Int64")})
+
+    got = stages.cut(rest.join(fit.select("part"), "part", "left_semi").groupBy("part").applyInPandas(search, "v bigint, label bigint"), "searched")
+    left, n_free = _remaining(ties, got, stages)
+    return got, left, n_free
 
 
 def _retired(ties: DataFrame, least: int, stages: Stages) -> tuple[DataFrame, int]:
