@@ -5,11 +5,11 @@ Two records are tied when their similarity reaches the threshold.  One cycle:
 1. *Pivots.*  In a fresh pseudo-random order every record looks for the first among itself and its
    neighbours.  A record that finds itself is a pivot; every other one joins the pivot it is closest to, by
    similarity, among its neighbours.
-2. *Medoids.*  The member with the largest sum of similarities to the others of its cluster becomes its pivot,
-   and every record joins the closest of these.
-3. *Ties.*  A member need not be tied to the medoid, only to more than half of its cluster, so records then
-   move to the cluster where they gain most under the correlation clustering objective: ties into the cluster
-   less half of the cluster's other members; without a gain a record stands alone.  Repeated ``moves`` times.
+2. *Reassignment.*  A member need not be tied to its pivot, only to more than half of its cluster, so records
+   then move to the cluster where they gain most under the correlation clustering objective: ties into the
+   cluster less half of the cluster's other members; without a gain a record stands alone.
+3. *Medoids.*  The member with the most ties to the others of its cluster becomes its pivot and names it.
+   Both steps are repeated ``moves`` times.
 4. *Settling.*  Whenever ties are counted, clusters that meet the conditions of the result are settled;
    ties between settled records are not looked at again.
 
@@ -53,48 +53,32 @@ class Conditions:
     outside_at_most: float = 0.25
 
 
-def _tied(ties: DataFrame) -> DataFrame:
-    """Both directions ``(u, w)`` of undirected ties, as far as ``w`` is not settled."""
-    one = F.struct(F.col("u").alias("v"), F.col("v").alias("w"), F.col("sv").alias("settled"), "score")
-    two = F.struct(F.col("v").alias("v"), F.col("u").alias("w"), F.col("su").alias("settled"), "score")
-    return ties.select(F.inline(F.array(one, two))).where("not settled").select("v", "w", "score")
-
-
-def _closest(ties: DataFrame, pivots: DataFrame, everyone: DataFrame, stages: Stages, name: str) -> DataFrame:
-    """``(v, label)`` of ``everyone`` (``v``): a pivot stays, another joins the closest pivot it is tied to, else stands alone."""
-    near = (
-        _tied(ties.where("not su and not sv"))
-        .join(pivots.select(F.col("v").alias("w")), "w", "left_semi")
-        .groupBy("v")
-        .agg(F.max(F.struct("score", "w"))["w"].alias("near"))
-    )
-    own = pivots.select("v", F.lit(True).alias("pivot"))
-    joined = everyone.select("v").join(near, "v", "left").join(own, "v", "left")
-    return stages.cut(joined.select("v", F.when(F.col("pivot"), F.col("v")).otherwise(F.coalesce("near", "v")).alias("label")), name)
-
-
-def _medoids(ties: DataFrame, labels: DataFrame, stages: Stages) -> DataFrame:
-    """``(v, label)``: every record with the closest of the recomputed medoids."""
-    at = labels.select(F.col("v").alias("u"), F.col("label").alias("lu")), labels.select("v", F.col("label").alias("lv"))
-    inside = ties.where("not su and not sv").join(at[0], "u").join(at[1], "v").where("lu = lv")
-    sides = inside.select(F.inline(F.array(F.struct(F.col("u").alias("v"), F.col("lu").alias("label"), "score"), F.struct("v", F.col("lu").alias("label"), "score"))))
-    central = sides.groupBy("label", "v").agg(F.sum((F.col("score") * 1e6).cast("long")).alias("s")).groupBy("label").agg(F.max(F.struct("s", "v"))["v"].alias("v"))
-    medoids = stages.cut(central.select("v"), "medoids")
-    out = _closest(ties, medoids, labels, stages, "labels")
-    stages.drop(medoids)
-    return out
+def _tied(ties: DataFrame, *keep: str) -> DataFrame:
+    """Both directions ``(v, w, *keep)`` of undirected ties, as far as ``w`` is not settled."""
+    one = F.struct(F.col("u").alias("v"), F.col("v").alias("w"), F.col("sv").alias("settled"), *keep)
+    two = F.struct(F.col("v").alias("v"), F.col("u").alias("w"), F.col("su").alias("settled"), *keep)
+    return ties.select(F.inline(F.array(one, two))).where("not settled").select("v", "w", *keep)
 
 
 def _pivots(ties: DataFrame, salt: int, stages: Stages) -> DataFrame:
-    """``(v, label)`` of every record that has a free neighbour and is not settled; the label is its pivot, else itself."""
+    """``(v, label)`` of every record that has a free neighbour and is not settled; the label is its closest pivot, else itself."""
+    free = ties.where("not su and not sv")
     first = (
-        _tied(ties.where("not su and not sv"))
+        _tied(free)
         .groupBy("v")
         .agg(F.min(relabelled(F.col("w"), salt)).alias("best"))
         .select("v", (relabelled(F.col("v"), salt) < F.col("best")).alias("pivot"))
     )
     first = stages.cut(first, "first")
-    labels = _closest(ties, first.where("pivot"), first, stages, "labels")
+    pivots = first.where("pivot")
+    near = (
+        _tied(free, "score")
+        .join(pivots.select(F.col("v").alias("w")), "w", "left_semi")
+        .groupBy("v")
+        .agg(F.max(F.struct("score", "w"))["w"].alias("near"))
+    )
+    # no two pivots are neighbours, so a pivot is near to none
+    labels = stages.cut(first.join(near, "v", "left").select("v", F.coalesce("near", "v").alias("label")), "labels")
     stages.drop(first)
     return labels
 
@@ -135,6 +119,7 @@ def _step(ties: DataFrame, labels: DataFrame, c: Conditions, stages: Stages):
     )
     mine = good.select("label", F.lit(True).alias("done"))
     taken = good.select(F.col("label").alias("next"), F.lit(True).alias("taken"))  # nobody else joins a settled cluster
+    central = counts.where(inside).groupBy("label").agg(F.max(F.struct("n", "v"))["v"].alias("medoid"))
     moved = (
         labels.join(mine, "label", "left")
         .join(moves, "v", "left")
@@ -145,6 +130,7 @@ def _step(ties: DataFrame, labels: DataFrame, c: Conditions, stages: Stages):
             F.coalesce("done", F.lit(False)).alias("done"),
         )
     )
+    moved = moved.join(central, "label", "left").select("v", F.coalesce("medoid", "label").alias("label"), "done")
     moved, n_done = stages.cut_counted(moved, "labels", F.col("done"))
     stages.drop(counts)
     return moved, n_done
@@ -225,9 +211,7 @@ def _settled(scores, a, b, score, threshold, conditions, moves, pivot_cycles, pa
             if not n_free:
                 break
         table, got = _pivots(ties, draw.getrandbits(63), stages), 0
-        labels = _medoids(ties, table, stages)
-        stages.drop(table)
-        table = labels
+        labels = table
         for _ in range(moves):
             old = table
             table, n = _step(ties, labels, conditions, stages)
