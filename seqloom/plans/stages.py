@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -34,7 +35,6 @@ class Stages:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
         path, fs = self._fs(self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
@@ -43,25 +43,32 @@ class Stages:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a written table; the shuffle files that made it are freed as soon as it stands."""
-        return self.cut_counted(df, name)[0]
+    def cut(self, df: DataFrame, name: str, partitions: int = 0) -> DataFrame:
+        """``df`` as a written table; the shuffle files that made it are freed as soon as it stands.
 
-    def cut_counted(self, df: DataFrame, name: str, flag: Column | None = None) -> tuple[DataFrame, int]:
+        Its shuffles have at least ``partitions`` partitions, for a step whose rows are known to be many.
+        """
+        return self.cut_counted(df, name, partitions=partitions)[0]
+
+    def cut_counted(self, df: DataFrame, name: str, flag: Column | None = None, partitions: int = 0) -> tuple[DataFrame, int]:
         """As :meth:`cut`, with the number of rows (where ``flag`` is true), counted while writing."""
         self._n += 1
         where = f"{self.root}/{self._n:03d}-{name}"
         seen = Observation(f"{name}-{uuid.uuid4().hex}")
-        before = self.spark.conf.get(_CLEANUP, None)
+        before, usual = self.spark.conf.get(_CLEANUP, None), self.spark.conf.get(_PARTITIONS)
         try:
             if before is not None:
                 self.spark.conf.set(_CLEANUP, "true")
+            if partitions > int(usual):
+                self.spark.conf.set(_PARTITIONS, str(partitions))
             df.observe(seen, F.count(F.lit(1) if flag is None else F.when(flag, 1)).alias("n")).write.option("compression", "zstd").parquet(where)
         finally:
             if before is not None:
                 self.spark.conf.set(_CLEANUP, before)
+            if partitions > int(usual):
+                self.spark.conf.set(_PARTITIONS, usual)
         out = self.spark.read.schema(df.schema).parquet(where)
-        self._paths[id(out)] = where
+        out._stage_path = where
         return out, int(seen.get["n"])
 
     def release(self) -> None:
@@ -73,9 +80,9 @@ class Stages:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete stage tables that nothing reads any more."""
+        """Delete stage tables that nothing reads any more; other tables are left alone."""
         for t in tables:
-            where = self._paths.pop(id(t), None)
-            if where:
+            where = getattr(t, "_stage_path", None)
+            if where and where.startswith(self.root):
                 path, fs = self._fs(where)
                 fs.delete(path, True)
