@@ -21,6 +21,9 @@ from seqloom.llm import dart_minhash
 from seqloom.llm.components import connected_components
 from seqloom.plans.stages import Stages
 
+#: Band rows of a shuffle partition on average: their number grows with the rows, a partition does not.
+BAND_ROWS = 400_000
+
 
 def letters(c: Column) -> Column:
     """The letters of a text, in upper case."""
@@ -124,9 +127,9 @@ def near_duplicates(records: DataFrame, rec: str, content: Column, width: int =
     )
     hashed = rows.select("rec", F.xxhash64("content").alias("h"), F.hash("content").alias("g"), "content")
     # the number is written with the class: short and fixed from here on
-    classes = stages.cut(
-        hashed.groupBy("h", "g").agg(F.first("content").alias("content")).withColumn("c", F.monotonically_increasing_id()), "classes"
-    )
+    one = hashed.groupBy("h", "g").agg(F.min("content").alias("content"), F.max("content").alias("other"))
+    same = F.when(F.col("content") == F.col("other"), F.col("content")).otherwise(F.raise_error(F.lit("two contents share their hashes")))
+    classes, n = stages.cut_counted(one.select("h", "g", same.alias("content")).withColumn("c", F.monotonically_increasing_id()), "classes")
     members = hashed.select("rec", "h", "g").distinct()
     signed = classes.select("c", "content").mapInPandas(_band_batches(width, n_bands, rows_per_band), "c bigint, bands array<bigint>")
     banded = signed.select("c", F.explode("bands").alias("band"))
@@ -135,6 +138,7 @@ def near_duplicates(records: DataFrame, rec: str, content: Column, width: int =
     candidates = stages.cut(
         x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select(F.col("x.c").alias("xc"), F.col("y.c").alias("yc")).distinct(),
         "candidates",
+        partitions=n * n_bands // BAND_ROWS,
     )
     left = classes.select(F.col("c").alias("xc"), F.col("h").alias("xh"), F.col("g").alias("xg"), F.col("content").alias("x"))
     right = classes.select(F.col("c").alias("yc"), F.col("h").alias("yh"), F.col("g").alias("yg"), F.col("content").alias("y"))
