@@ -91,44 +91,65 @@ def collapse_paralogs(edges: DataFrame, taxon, rounds: int = MAX_ROUNDS) -> tupl
             left.join(gone.withColumnRenamed("member", "seq1"), "seq1", "left_anti").join(gone.withColumnRenamed("member", "seq2"), "seq2", "left_anti").select("seq1", "seq2", "score"),
             "edges",
         )
+    else:
+        raise RuntimeError(f"paralogs are still to be folded after {rounds} rounds")
     if folded is None:
         folded = edges.select(F.col("seq1").alias("member"), F.col("seq1").alias("kept")).limit(0)
     return folded, left
 
 
-def markov_clusters(edges: DataFrame, inflation: float = 2.0, threshold: float = 0.0, keep: int = 50, prune: float = 1e-4, rounds: int = 30) -> DataFrame:
-    """``(member, grp)``: Markov clustering of the edges at or above the threshold.
+def markov_clusters(edges: DataFrame, inflation: float = 2.0, threshold: float = 0.0, prune: float = 1e-4, rounds: int = 100) -> DataFrame:
+    """``(member, grp)``: Markov clustering of the edges at or above the threshold; see :func:`markov_grid`."""
+    return markov_grid(edges, [(inflation, threshold)], prune, rounds).select("member", "grp")
 
-    The flow is a table ``(i, j, v)`` of columns j that sum to one.  A round expands it (a join and a sum),
-    inflates, and prunes values below ``prune`` and beyond the ``keep`` largest of a column.  It ends when the
-    flow hardly changes; the groups are the components of what flow is left.
+
+def markov_grid(edges: DataFrame, settings: list[tuple[float, float]], prune: float = 1e-4, rounds: int = 100) -> DataFrame:
+    """``(k, member, grp)``: Markov clustering under each setting (inflation, edge threshold), all of them in one plan.
+
+    The flow is a table ``(k, i, j, v)`` of columns j that sum to one.  A round expands it (a join and a sum),
+    inflates, and leaves out values below ``prune``; so a column has at most ``1 / prune`` entries, however many
+    edges its vertex has.  A setting is done when its flow hardly changes; one that is not after ``rounds`` is an
+    error.  The groups are the components of what flow is left.
     """
     stages = Stages(edges.sparkSession, "flow")
-    strong = edges.where(F.col("score") >= threshold)
-    sides = both_directions(strong, "seq1", "seq2", "score").select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("score").alias("v"))
-    loops = sides.groupBy("j").agg(F.max("v").alias("v")).select(F.col("j").alias("i"), "j", "v")
+    table = edges.sparkSession.createDataFrame([(k, float(i), float(t)) for k, (i, t) in enumerate(settings)], "k int, p double, threshold double")
+    strong = edges.crossJoin(F.broadcast(table)).where(F.col("score") >= F.col("threshold"))
+    sides = both_directions(strong, "seq1", "seq2", "score", "k", "p").select("k", "p", F.col("a").alias("i"), F.col("b").alias("j"), F.col("score").alias("v"))
+    loops = sides.groupBy("k", "p", "j").agg(F.max("v").alias("v")).select("k", "p", F.col("j").alias("i"), "j", "v")
 
     def columns(flow: DataFrame) -> DataFrame:
-        return flow.withColumn("v", F.col("v") / F.sum("v").over(Window.partitionBy("j")))
+        return flow.withColumn("v", F.try_divide(F.col("v"), F.sum("v").over(Window.partitionBy("k", "j"))))
+
+    def pruned(flow: DataFrame) -> DataFrame:
+        return columns(columns(flow).where(F.col("v") >= prune))
 
-    flow = stages.cut(columns(sides.unionByName(loops).groupBy("i", "j").agg(F.max("v").alias("v"))), "flow")
+    flow = stages.cut(pruned(sides.unionByName(loops).groupBy("k", "p", "i", "j").agg(F.max("v").alias("v"))), "flow")
+    done, todo = None, set(range(len(settings)))
     for _ in range(rounds):
-        right = flow.select(F.col("i").alias("k"), "j", F.col("v").alias("w"))
-        spread = flow.select("i", F.col("j").alias("k"), "v").join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
-        inflated = columns(spread.withColumn("v", F.pow("v", F.lit(inflation)))).where(F.col("v") >= prune)
-        place = F.row_number().over(Window.partitionBy("j").orderBy(F.desc("v"), "i"))
-        new = columns(inflated.withColumn("place", place).where(F.col("place") <= keep).drop("place"))
-        old = flow.select("i", "j", F.col("v").alias("before"))
-        joined = new.join(old, ["i", "j"], "left").select("i", "j", "v", (F.abs(F.col("v") - F.coalesce("before", F.lit(0.0))) > 1e-3).alias("moving"))
-        next_flow, moving = stages.cut_counted(joined, "flow", F.col("moving"))
+        right = flow.select("k", F.col("i").alias("via"), "j", F.col("v").alias("w"))
+        spread = flow.select("k", "p", "i", F.col("j").alias("via"), "v").join(right, ["k", "via"]).groupBy("k", "p", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        new = pruned(spread.withColumn("v", F.pow("v", "p")))
+        old = flow.select("k", "i", "j", F.col("v").alias("before"))
+        moving = F.abs(F.col("v") - F.coalesce("before", F.lit(0.0))) > 1e-3
+        new = stages.cut(new.join(old, ["k", "i", "j"], "left").select("k", "p", "i", "j", "v", moving.alias("moving")), "flow")
         stages.drop(flow)
-        flow = next_flow
-        if not moving:
+        still = {r.k for r in new.where("moving").select("k").distinct().collect()}  # a row a setting
+        if still != todo:
+            ended = new.where(F.col("k").isin(list(todo - still))).select("k", "i", "j")
+            done = ended if done is None else done.unionByName(ended)
+            todo = still
+        if not todo:
             break
-    linked = flow.select(F.col("i").alias("seq1"), F.col("j").alias("seq2"))
+        flow = new.where(F.col("k").isin(list(todo))).drop("moving")
+    if todo:
+        raise RuntimeError(f"Markov clustering has not settled after {rounds} rounds under {sorted(settings[k] for k in todo)}")
+    mark = lambda c: F.concat_ws("\x1f", F.col("k").cast("string"), c).alias
+    linked = stages.cut(done.select(mark("i")("seq1"), mark("j")("seq2")), "linked")
     groups = components(linked)
     alone = linked.select(F.col("seq1").alias("member")).distinct().join(groups, "member", "left_anti").select("member", F.col("member").alias("grp"))
-    return groups.unionByName(alone)
+    both = groups.unionByName(alone)
+    plain = lambda c: F.expr(f"substr({c}, instr({c}, '\x1f') + 1)").alias(c)
+    return both.select(F.substring_index("member", "\x1f", 1).cast("int").alias("k"), plain("member"), plain("grp"))
 
 
 def few_ids(edges: DataFrame, a: str, b: str, most: int = 5000) -> list[str]:

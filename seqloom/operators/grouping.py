@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.ids import taxon
 from seqloom.operators import groups as gr
-from seqloom.operators.graphs import best_hit_closure, induced, markov_clusters
+from seqloom.operators.graphs import best_hit_closure, markov_grid
 from seqloom.operators.hits import both_directions
 from seqloom.operators.statistics import kde_overlap, tukey_hsd
 from seqloom.plans.stages import Stages
@@ -31,48 +31,57 @@ def _within(edges: DataFrame, members: DataFrame) -> DataFrame:
     return inner.select("g1", "seq1", "seq2", "score")
 
 
-def subdivided(edges: DataFrame, members: DataFrame, settings: list[Setting], levels: int = 3, separator: str = "-") -> DataFrame:
-    """``(grp, member, name)``: groups split as long as the best sampled clustering scores more than the group itself.
+#: Levels of a subdivision; each has smaller groups than the one before, so this is never met in earnest.
+MAX_LEVELS = 200
 
-    A level clusters all open groups together under each setting; for every group the setting of the
-    highest summed score is taken if it beats the group's own score.  Groups of one or two members, and
-    groups that no setting improves, are final.  Names extend the parent's: ``group_0_1``.
+
+def _summed(level: DataFrame, separator: str) -> DataFrame:
+    """``(grp, score)``: product scores; a group of one taxon, which has none, counts as if its members were copies."""
+    tagged = level.withColumn("taxon", taxon(F.col("member"), separator))
+    sizes = tagged.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    return gr.product_scores(tagged).join(sizes, "grp").select("grp", F.coalesce("score", 1.0 - F.col("n")).alias("score"))
+
+
+def subdivided(edges: DataFrame, members: DataFrame, settings: list[Setting], least: int = 3, separator: str = "-", names: DataFrame | None = None) -> DataFrame:
+    """``(grp, member)``: groups split as long as the best sampled clustering scores more than the group itself.
+
+    A level clusters all open groups together, under all settings at once; for every group the setting of the
+    highest summed score is taken if it beats the group's own score.  Groups below ``least`` members, and groups
+    that no setting improves, are final; the search ends when none is open.  Names extend the parent's:
+    ``group_0_1``; the first level is one group, or what ``names`` ``(grp, member)`` says.
     """
     stages = Stages(edges.sparkSession, "subdivision")
-    tag = lambda m: m.withColumn("taxon", taxon(F.col("member"), separator))
-    level = stages.cut(members.select(F.lit("group_0").alias("grp"), "member").distinct(), "level")
+    start = members.select(F.lit("group_0").alias("grp"), "member") if names is None else names.select("grp", "member")
+    level = stages.cut(start.distinct(), "level")
     final = None
-    for _ in range(levels):
-        own = gr.squared_scores(tag(level)).select("grp", F.col("score").alias("own"), "size")
-        inner = stages.cut(_within(edges, level), "inner")
-        tried = None
-        for k, s in enumerate(settings):
-            found = markov_clusters(inner.select("seq1", "seq2", "score"), s.inflation, s.threshold).withColumnRenamed("grp", "part")
-            all_ = level.join(found, "member", "left").select("grp", "member", F.coalesce("part", "member").alias("part"))
-            one = tag(all_.select(F.concat_ws("\x1f", "grp", "part").alias("grp"), "member"))
-            score = gr.squared_scores(one).groupBy(F.substring_index("grp", "\x1f", 1).alias("grp")).agg(F.sum("score").alias("score"))
-            this = stages.cut(all_.join(score, "grp").withColumn("k", F.lit(k)), "tried")
-            tried = this if tried is None else tried.unionByName(this)
-        if tried is None:
-            break
-        best = tried.groupBy("grp").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b")).select("grp", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score"))
-        better = best.join(own, "grp").where("size > 2 and score > own").select("grp", "k")
-        better, n = stages.cut_counted(better, "better")
-        done = level.join(better.select("grp"), "grp", "left_anti")
-        final = done if final is None else final.unionByName(done)
+    for _ in range(MAX_LEVELS):
+        sizes = level.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+        own = stages.cut(_summed(level, separator).join(sizes, "grp").where(F.col("size") >= least).select("grp", F.col("score").alias("own")), "own")
+        open_ = level.join(own.select("grp"), "grp", "left_semi")
+        inner = stages.cut(_within(edges, open_), "inner")
+        found = stages.cut(markov_grid(inner.select("seq1", "seq2", "score"), [(s.inflation, s.threshold) for s in settings]).withColumnRenamed("grp", "part"), "found")
+        every = open_.crossJoin(F.broadcast(edges.sparkSession.range(len(settings)).select(F.col("id").cast("int").alias("k"))))
+        tried = stages.cut(every.join(found, ["k", "member"], "left").select("k", "grp", F.coalesce("part", "member").alias("part"), "member"), "tried")
+        mark = F.concat_ws("\x1f", F.col("k").cast("string"), "grp", "part")
+        scores = _summed(tried.select(mark.alias("grp"), "member"), separator)
+        per = scores.groupBy(F.split("grp", "\x1f")[0].cast("int").alias("k"), F.split("grp", "\x1f")[1].alias("grp")).agg(F.sum("score").alias("score"))
+        best = per.groupBy("grp").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("b")).select("grp", (-F.col("b.k")).alias("k"), F.col("b.score").alias("score"))
+        better, n = stages.cut_counted(best.join(own, "grp").where(F.col("score") > F.col("own") + 1e-9).select("grp", "k"), "better")
+        rest = level.join(better.select("grp"), "grp", "left_anti")
+        final = rest if final is None else final.unionByName(rest)
         if not n:
             return final
         parts = tried.join(better, ["grp", "k"]).select("grp", "part", "member")
-        names = gr.named(parts.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n")), "grp", [F.desc("n"), "part"])
-        level = stages.cut(parts.join(names.select("grp", "part", "name"), ["grp", "part"]).select(F.col("name").alias("grp"), "member"), "level")
-    return level if final is None else final.unionByName(level)
+        new = gr.named(parts.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n")), "grp", [F.desc("n"), "part"])
+        level = stages.cut(parts.join(new.select("grp", "part", "name"), ["grp", "part"]).select(F.col("name").alias("grp"), "member"), "level")
+    raise RuntimeError(f"groups are still open after {MAX_LEVELS} levels")
 
 
 def significant_cliques(edges: DataFrame, members: DataFrame, least: int = 3, below: float = 0.05) -> DataFrame:
     """``(grp, clique, member)``: groups of best hits within a group whose inner scores hardly overlap the others'.
 
-    Candidates have at least ``least`` members and are not the whole group.  A candidate without spread in its
-    scores cannot be told apart and is left out.
+    Candidates have at least ``least`` members and are not the whole group.  Scores without spread are moved by a
+    ten-millionth of their value, up and down by turns, so that they have a density.
     """
     inner = _within(edges, members)
     closure = best_hit_closure(inner.select("seq1", "seq2", "score")).withColumnRenamed("grp", "clique")
@@ -83,10 +92,18 @@ def significant_cliques(edges: DataFrame, members: DataFrame, least: int = 3, be
     scored = inner.join(side(1), "seq1", "left").join(side(2), "seq2", "left")
     inside = scored.where("c1 = c2").select(F.col("c1").alias("clique"), "score")
     touching = scored.where("c1 is not null or c2 is not null").where("not (c1 <=> c2)").select(F.explode(F.array_compact(F.array("c1", "c2"))).alias("clique"), "score")
+    inside, touching = _perturbed(inside, "clique", "score"), _perturbed(touching, "clique", "score")
     test = kde_overlap(inside, touching, "clique", "score", below).where("apart")
     return open_.join(test.select("clique"), "clique", "left_semi").select("grp", "clique", "member")
 
 
+def _perturbed(values: DataFrame, group: str, value: str) -> DataFrame:
+    flat = values.groupBy(group).agg((F.min(value) == F.max(value)).alias("__flat"))
+    sign = F.when(F.row_number().over(Window.partitionBy(group).orderBy(value)) % 2 == 0, 1.0).otherwise(-1.0)
+    moved = values.join(flat.where("__flat").select(group), group, "left_semi").withColumn(value, F.col(value) * (1 + sign * 1e-7))
+    return values.join(flat.where("__flat").select(group), group, "left_anti").unionByName(moved)
+
+
 def merged_small(members: DataFrame, edges: DataFrame, large_from: int = 3, alpha: float = 0.05) -> DataFrame:
     """``(grp, member)``: groups below ``large_from`` members join the large group of the highest mean score to them,
     if that differs from every other large group's (Tukey); pairs without an edge score 0."""
@@ -124,7 +141,3 @@ def scored_clustering(members: DataFrame, cliques: DataFrame, separator: str = "
 def records_of(records: DataFrame, members: DataFrame, id_: str = "id") -> DataFrame:
     """The records of listed ids, by a semi-join (ids are no patterns)."""
     return records.join(members.select(F.col("member").alias(id_)), id_, "left_semi")
-
-
-def clique_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
-    return induced(edges, members)

@@ -8,7 +8,7 @@ from seqloom.functions.ids import taxon
 from seqloom.functions.residues import matrix_table
 from seqloom.operators import grouping, stochastic
 from seqloom.operators.alignment import alignment_bits
-from seqloom.operators.graphs import components, markov_clusters
+from seqloom.operators.graphs import components, markov_grid
 from seqloom.queries.alignments import MATRIX
 from seqloom.queries.carriers import TOPOLOGY, columns, graph, sequences, topology
 from seqloom.queries.registry import query, table
@@ -64,27 +64,32 @@ def mc3_trace(spark, sf_dir):
 
 @query()
 def mcl_grid(spark, sf_dir):
-    """How many groups Markov clustering makes over a grid of settings."""
-    g = graph(spark, sf_dir)
-    out = None
-    for inflation in (1.5, 3.0):
-        for threshold in (0.6, 0.8):
-            n = markov_clusters(g, inflation, threshold, rounds=12).agg(F.count_distinct("grp").alias("groups"), F.count(F.lit(1)).alias("members"))
-            one = n.select(F.lit(inflation).alias("inflation"), F.lit(threshold).alias("threshold"), "groups", "members")
-            out = one if out is None else out.unionByName(one)
-    return out
+    """How many groups Markov clustering makes over a grid of settings, all in one plan."""
+    grid = [tuple(r) for r in stochastic.parameter_grid(spark, inflation=(1.5, 4.0, 3), threshold=(0.6, 0.9, 3)).select("inflation", "threshold").orderBy("inflation", "threshold").collect()]
+    found = markov_grid(graph(spark, sf_dir), grid).groupBy("k").agg(F.count_distinct("grp").alias("groups"), F.count(F.lit(1)).alias("members"))
+    settings = spark.createDataFrame([(k, *x) for k, x in enumerate(grid)], "k int, inflation double, threshold double")
+    return found.join(F.broadcast(settings), "k").select("inflation", "threshold", "groups", "members")
 
 
 def _groups(spark, sf_dir):
     g = graph(spark, sf_dir)
-    return g, components(g.where("score >= 0.9"))
+    return g, components(g.where("score >= 0.7"))
 
 
 @query()
 def recursive_groups(spark, sf_dir):
     """Components of close pairs, subdivided while a sampled clustering scores better."""
     g, members = _groups(spark, sf_dir)
-    return grouping.subdivided(g.where("score >= 0.5"), members, [grouping.Setting(1.5, 0.6), grouping.Setting(3.0, 0.8)], levels=2)
+    return grouping.subdivided(g.where("score >= 0.5"), members, [grouping.Setting(1.5, 0.6), grouping.Setting(3.0, 0.8)])
+
+
+@query()
+def ortholog_groups(spark, sf_dir):
+    """Components of tied pairs, divided by coupled chains over Markov clustering, with their cliques."""
+    from seqloom.operators.orthologs import orthogroups
+
+    g = graph(spark, sf_dir).where("score >= 0.5")
+    return orthogroups(g, components(g).select(F.concat(F.lit("group_"), "grp").alias("grp"), "member"), steps=20)
 
 
 @query()

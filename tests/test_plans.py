@@ -13,7 +13,7 @@ def test_stage_tables_are_counted_read_back_and_deleted(spark):
     assert stages.root.startswith(shared_folder(spark))
     table, n = stages.cut_counted(spark.range(10).withColumn("k", F.col("id") % 2), "ten", F.col("k") == 1)
     assert n == 5 and table.count() == 10
-    (path,) = stages._paths.values()
+    path = table._stage_path
     assert os.path.isdir(path.removeprefix("file://"))
     stages.drop(table)
     assert not os.path.exists(path.removeprefix("file://"))
