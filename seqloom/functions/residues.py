@@ -99,3 +99,9 @@ def cut_behind(seq: Column, segments: Column, n: int, extra: int = 0) -> Column:
     """A sequence up to the end of its n-th segment (from 1) and ``extra`` residues more; null with fewer segments."""
     end = F.get(segments, F.lit(n - 1))["end"]
     return F.when(F.size(segments) >= n, F.left(seq, F.least(F.length(seq), end + F.lit(extra))))
+
+
+def reading_frame(coding: Column) -> Column:
+    """A coding sequence whose length is a multiple of three; any other one is an error when its row is read."""
+    wrong = F.raise_error(F.concat(F.lit("length is no multiple of three: "), F.length(coding).cast("string")))
+    return F.when(F.length(coding) % 3 == 0, coding).when(coding.isNotNull(), wrong)

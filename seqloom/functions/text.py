@@ -102,3 +102,45 @@ def boxed(title: Column, width: int = 80) -> Column:
 def hidden_spaces(c: Column) -> Column:
     """Byte order marks, non-breaking blanks and carriage returns in plain form."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "\uFEFF", ""), "\u00A0", " "), "\r\n?", "\n")
+
+
+#: The look commands that a history leaves out.
+LOOK_COMMANDS = ("ls", "la", "ll", "hs", "js", "cat", "head", "tail")
+
+
+def kept_command(command: Column, skipped: tuple[str, ...] = LOOK_COMMANDS) -> Column:
+    """A command as it enters a history, null where it does not: commands that begin with a look command stay out unless piped.
+
+    ``:;`` in front overrides that and is taken off.
+    """
+    look = command.rlike(f"^(?:{'|'.join(skipped)}) *") & ~command.contains("|")
+    return F.when(~look, F.when(command.startswith(":;"), F.trim(F.substr(command, F.lit(3)))).otherwise(command))
+
+
+def routed(c: Column, routes: list[tuple[str, object]]) -> Column:
+    """The value of the first pattern that a text matches; a text that matches none is an error when its row is read."""
+    out = None
+    for pattern, value in routes:
+        out = F.when(c.rlike(pattern), F.lit(value)) if out is None else out.when(c.rlike(pattern), F.lit(value))
+    wrong = F.raise_error(F.concat(F.lit("no route for "), F.coalesce(c, F.lit("null"))))
+    return wrong if out is None else out.otherwise(wrong)
+
+
+def replaced_by(c: Column, pattern: str, function) -> Column:
+    """Every match replaced by what a Python function makes of it (a match object), in Arrow batches."""
+    import re
+
+    compiled = re.compile(pattern)
+
+    @F.pandas_udf("string")
+    def run(texts):  # type: ignore[no-untyped-def]
+        return texts.map(lambda t: compiled.sub(function, t), na_action="ignore")
+
+    return run(c)
+
+
+def repaired_encoding(c: Column) -> Column:
+    """A text whose UTF-8 bytes were read as Latin-1, read again as UTF-8; any other text as it is."""
+    again = F.encode(c, "ISO-8859-1")
+    latin = F.when(~c.rlike("[^\\x00-\\xff]"), F.try_validate_utf8(again.cast("string")))
+    return F.coalesce(latin, c)

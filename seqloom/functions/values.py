@@ -71,3 +71,43 @@ def support_colour(support: Column) -> Column:
     blue = two(175 * (1 - F.abs(0.5 - support)))
     coloured = F.when((support >= 0) & (support <= 1), F.concat(red, green, blue))
     return F.when(support.isNull() | (support == 0), F.lit("000000")).otherwise(coloured)
+
+
+# fixed values: twenty colours of greatest contrast, in order
+CONTRAST = (
+    "#f2f3f4", "#222222", "#f3c300", "#875692", "#f38400", "#a1caf1", "#be0032", "#c2b280", "#848482", "#008856",
+    "#e68fac", "#0067a5", "#f99379", "#604e97", "#f6a600", "#b3446c", "#dcd300", "#882d17", "#8db600", "#654522",
+)
+
+
+def contrast_colour(n: Column) -> Column:
+    """The n-th colour (from 0) of the palette, which begins again after its last one."""
+    return F.element_at(F.array(*[F.lit(c) for c in CONTRAST]), F.pmod(n, F.lit(len(CONTRAST))).cast("int") + 1)
+
+
+def jittered_colour(red: Column, green: Column, blue: Column, key: Column, spread: int = 20, seed: int = 1) -> Column:
+    """A colour moved by up to ``spread`` in each part, within 0..255, by a seeded hash of a key."""
+    part = lambda c, k: F.greatest(F.lit(0), F.least(F.lit(255), c + F.pmod(F.xxhash64(F.lit(seed), F.lit(k), key), F.lit(2 * spread + 1)) - spread))
+    return hex_colour(part(red, 1), part(green, 2), part(blue, 3))
+
+
+def epoch(c: Column, pattern: str = "MM/dd/yyyy") -> Column:
+    """A date in seconds since 1970; ``n/a``, empty and other texts give null."""
+    return F.unix_timestamp(F.try_to_timestamp(F.when(F.trim(c).rlike("[0-9]"), F.trim(c)), F.lit(pattern)))
+
+
+def outside_band(now: Column, before: Column, early: int, late: int, year: int = 31_536_000, day: int = 80_640) -> Column:
+    """True where a date (in seconds) comes more than ``early`` days before, or ``late`` days after, one year after another one."""
+    moved = now - before - F.lit(year)
+    return F.coalesce((moved + F.lit(day * early) < 0) | (moved - F.lit(day * late) > 0), F.lit(False))
+
+
+def reversed_map(c: Column) -> Column:
+    """Values as keys; of several keys of a value the last one in order."""
+    groups = F.map_from_entries(F.transform(F.array_distinct(F.map_values(c)), lambda v: F.struct(v, F.array_max(F.map_keys(F.map_filter(c, lambda k, x: x == v))))))
+    return F.when(F.size(c) > 0, groups)
+
+
+def get_or(c: Column, key: Column, default: Column) -> Column:
+    """A map's value for a key, else a default."""
+    return F.coalesce(F.try_element_at(c, key), default)

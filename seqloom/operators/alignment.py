@@ -123,9 +123,14 @@ def alignment_bits(aligned: DataFrame, matrix: DataFrame, inner: DataFrame | Non
         F.count(F.when(~(one & two), 1)).alias("gaps"),
         (F.count(F.when(one, 1)) + F.count(F.when(two, 1))).alias("residues"),
     )
+    return bits_of(sums).select("id1", "id2", "matches", "gaps", "bits")
+
+
+def bits_of(sums: DataFrame) -> DataFrame:
+    """Adds ``bits`` to ``(total, matches, gaps, residues)`` of pairs."""
     t, n, g = F.col("total"), F.col("matches"), F.col("gaps")
     full = t + F.try_divide(t, n) * (1 - F.try_divide(g, F.col("residues"))) * g
-    return sums.select("id1", "id2", "matches", "gaps", (bit_score(full) / (n + g)).alias("bits"))
+    return sums.withColumn("bits", bit_score(full) / (n + g))
 
 
 def profile_similarity(left: DataFrame, right: DataFrame, keys: list[str], pos: str, values: list[str]) -> DataFrame:
@@ -138,9 +143,27 @@ def profile_similarity(left: DataFrame, right: DataFrame, keys: list[str], pos:
     return joined.join(size, keys).select(*keys, (F.col("total") / (F.col("size") + F.col("unmatched"))).alias("similarity"))
 
 
-def first_segment(positions: DataFrame, segments: DataFrame, pos: str, start: str, end: str) -> DataFrame:
-    """Each position with the segment that holds it; segments are contiguous and few, so they are sent to all tasks."""
-    return positions.join(F.broadcast(segments), (F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end)))
+def gap_bonus_similarity(aligned: DataFrame, keys: list[str], left: list[str], right: list[str]) -> DataFrame:
+    """``(keys, similarity)`` of paired profile columns; a value that is null is a gap.
+
+    Matched columns give ``1 - |difference|`` a value.  Gaps give the mean of the matched ones, less their share of
+    the residues of both sides; then the mean over columns and values, to five decimals.  Null without a match.
+    """
+    one, two = F.col(left[0]).isNotNull(), F.col(right[0]).isNotNull()
+    value = sum((1 - F.abs(F.col(a) - F.col(b)) for a, b in zip(left, right)), F.lit(0.0))
+    s = aligned.groupBy(*keys).agg(
+        F.sum(F.when(one & two, value)).alias("t"), F.count(F.when(one & two, 1)).alias("n"), F.count(F.when(~(one & two), 1)).alias("g"), (F.count(left[0]) + F.count(right[0])).alias("r")
+    )
+    t, n, g = F.col("t"), F.col("n"), F.col("g")
+    full = t + F.try_divide(t, n) * (1 - F.try_divide(g, F.col("r"))) * g
+    return s.select(*keys, F.round(F.try_divide(full, n + g) / len(left), 5).alias("similarity"))
+
+
+def first_segment(positions: DataFrame, segments: DataFrame, pos: str, start: str, end: str, width: int = 1024) -> DataFrame:
+    """Each position with the segments that hold it: a join on stretches of ``width`` positions, then on the bounds."""
+    cut = segments.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    found = positions.withColumn("__b", F.floor(F.col(pos) / width)).join(cut, "__b")
+    return found.where((F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end))).drop("__b")
 
 
 def contiguous(blocks: DataFrame, key: str, start: str, end: str) -> Column:

@@ -85,8 +85,111 @@ def without_listed(records: DataFrame, listed: DataFrame, key: str) -> tuple[Dat
 
 
 def chunks(records: DataFrame, n: int, *order) -> DataFrame:
-    """Adds ``chunk`` 1..n of nearly equal size, larger ones first.  For tables of one driver's work only: one order of all rows."""
-    return records.withColumn("chunk", F.ntile(n).over(Window.orderBy(*order)))
+    """Adds ``chunk`` 1..n of nearly equal size, larger ones first, in a stated order; numbered over range partitions."""
+    numbered_, total = with_row_number(records, "__n", *order), records.count()
+    size, large = divmod(total, n)
+    at = F.col("__n") - 1
+    first = F.floor(at / F.lit(size + 1))
+    rest = F.lit(large) + F.floor((at - F.lit(large * (size + 1))) / F.lit(max(size, 1)))
+    return numbered_.withColumn("chunk", (F.when(at < large * (size + 1), first).otherwise(rest) + 1).cast("int")).drop("__n")
+
+
+def by_load(records: DataFrame, n: int, size: Column, *order) -> DataFrame:
+    """Adds ``share`` 0..n-1: records by size, largest first, are dealt out in turn, there and back."""
+    dealt = with_row_number(records.withColumn("__size", size), "__n", F.desc("__size"), *order)
+    k = (F.col("__n") - 1) % (2 * n)
+    return dealt.withColumn("share", F.when(k < n, k).otherwise(2 * n - 1 - k).cast("int")).drop("__n", "__size")
+
+
+def selected(records: DataFrame, c: Column, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """(records whose text matches a pattern, the others); a null text matches nothing."""
+    hit = F.coalesce(c.rlike(pattern), F.lit(False))
+    return records.where(hit), records.where(~hit)
+
+
+def unique_names(records: DataFrame, name: str) -> DataFrame:
+    """The records; a name that comes twice is an error when its row is read."""
+    n = records.groupBy(F.col(name).alias("__name")).agg(F.count(F.lit(1)).alias("__k"))
+    checked = F.when(F.col("__k") == 1, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("repeated name "), F.col(name))))
+    return records.join(n, F.col(name) == F.col("__name")).withColumn(name, checked).drop("__name", "__k")
+
+
+def greedy_unlike(records: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
+    """Records in order, without those that are alike (``pairs`` of their orders, ``(a, b)``) to an earlier *kept* one.
+
+    Decided in rounds over the pairs: a record whose earlier likes are all dropped is kept, one with a kept earlier
+    like is dropped.  Every round decides at least the first open record of each chain of likes.
+    """
+    from seqloom.plans.stages import Stages
+
+    stages = Stages(records.sparkSession, "greedy")
+    likes = stages.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "likes")
+    gone, open_ = None, likes
+    for _ in range(10_000):
+        open_, n = stages.cut_counted(open_, "open")
+        if not n:
+            break
+        kept = open_.select(F.col("a").alias("x")).distinct().join(open_.select(F.col("b").alias("x")), "x", "left_anti")
+        now = stages.cut(open_.join(kept.withColumnRenamed("x", "a"), "a", "left_semi").select("b").distinct(), "gone")
+        gone = now if gone is None else gone.unionByName(now)
+        open_ = open_.join(now, "b", "left_anti").join(now.withColumnRenamed("b", "a"), "a", "left_anti").join(kept.withColumnRenamed("x", "a"), "a", "left_anti")
+    else:
+        raise RuntimeError("likes are still open")
+    return records if gone is None else records.join(gone.withColumnRenamed("b", order), order, "left_anti")
+
+
+def skip_groups(rows: DataFrame, order: str, hits: str) -> DataFrame:
+    """``(order, grp)``: rows in order begin a group and skip as many of the next rows as they have hits.
+
+    A row's group is known when the rows before it are, so one task goes through the order; ``(order, hits)`` is
+    all that it holds.  ``grp`` is the order of the row that began it.
+    """
+
+    def run(pdf):
+        pdf = pdf.sort_values("o", ignore_index=True)
+        groups, left, now = [], 0, None
+        for o, h in zip(pdf["o"], pdf["h"]):
+            if left:
+                left -= 1
+            else:
+                now, left = o, int(h)
+            groups.append(now)
+        return pdf.assign(grp=groups)[["o", "grp"]]
+
+    kind = rows.schema[order].dataType.simpleString()
+    out = rows.select(F.col(order).alias("o"), F.col(hits).cast("long").alias("h")).groupBy().applyInPandas(run, f"o {kind}, grp {kind}")
+    return out.select(F.col("o").alias(order), "grp")
+
+
+def first_match_groups(lists: DataFrame, order: str, members: str) -> DataFrame:
+    """``(grp, member)``: lists in order join the first group that holds their first known member, else begin one; not transitive.
+
+    Lists that share no member, directly or over others, never meet, so each connected part is decided in its own
+    task.  ``grp`` is the order of the list that began the group.
+    """
+    from seqloom.operators.graphs import components
+
+    flat = lists.select(F.col(order).cast("string").alias("o"), F.explode(members).alias("m")).select(F.concat(F.lit("l:"), "o").alias("seq1"), F.concat(F.lit("m:"), F.col("m").cast("string")).alias("seq2"))
+    parts = components(flat).where("member like 'l:%'").select(F.expr("substr(member, 3)").alias("__o"), "grp")
+    kind, item = lists.schema[order].dataType.simpleString(), lists.schema[members].dataType.elementType.simpleString()
+
+    def run(pdf):
+        import pandas as pd
+
+        groups: list[tuple] = []
+        first: dict = {}  # of every member the first group that holds it
+        for o, ms in pdf.sort_values("o")[["o", "ms"]].itertuples(index=False):
+            found = next((first[m] for m in ms if m in first), None)
+            if found is None:
+                found = len(groups)
+                groups.append((o, {}))
+            groups[found][1].update(dict.fromkeys(ms))
+            for m in ms:
+                first[m] = min(found, first.get(m, found))
+        return pd.DataFrame([(o, m) for o, g in groups for m in g], columns=["grp", "member"])
+
+    rows = lists.select(F.col(order).alias("o"), F.col(members).alias("ms"), F.col(order).cast("string").alias("__o")).join(parts, "__o")
+    return rows.groupBy("grp").applyInPandas(run, f"grp {kind}, member {item}")
 
 
 def fixed_batches(records: DataFrame, size: int, *order) -> DataFrame:

@@ -26,7 +26,7 @@ def index_percentiles(values: DataFrame, group: str, value: str, shares: list[fl
     return wanted.select(group, "share", at.alias("__n")).join(rows.select("__n", value), "__n").select(group, "share", value)
 
 
-def normalised(values: DataFrame, value: str, trim: float = 1.0, key: str | None = None, by_round: bool = False) -> DataFrame:
+def normalised(values: DataFrame, value: str, trim: float = 1.0, by_round: bool = False) -> DataFrame:
     """Adds ``scaled``: min-max scaling to 0..1 with a share of both ends cut off, clamped; null where the range is zero.
 
     The limits are elements by index: the one at ``ceil(n t) - 1`` (or ``round(n t) - 1``) and its mirror image.
@@ -253,23 +253,60 @@ def shapiro_wilk(x) -> float:
     return float((a @ x) ** 2 / ((x - x.mean()) @ (x - x.mean())))
 
 
-def shapiro_tests(values: DataFrame, group: str, value: str, most: int = 5000) -> DataFrame:
-    """``(group, n, w)``: the statistic of every group of 4 to ``most`` values, for which it is defined; null for others.
+@F.pandas_udf(T.DoubleType())
+def _normal_quantile(p):  # type: ignore[no-untyped-def]
+    from statistics import NormalDist
 
-    Larger groups are told by their count, before any group is gathered.
-    """
-    import pandas as pd
+    return p.map(NormalDist().inv_cdf, na_action="ignore")
 
-    sizes = values.groupBy(group).agg(F.count(value).alias("n"))
-    fit = sizes.where(F.col("n").between(4, most))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[value].dropna()
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "w": [shapiro_wilk(x) if x.nunique() > 1 else None]})
+def shapiro_tests(values: DataFrame, group: str, value: str) -> DataFrame:
+    """``(group, n, w, p)``: Royston's statistic and its p-value, for groups of any size; null below 4 values or without spread.
 
-    kind = values.schema[group].dataType.simpleString()
-    tested = values.select(group, value).join(fit.select(group), group, "left_semi").groupBy(group).applyInPandas(run, f"{group} {kind}, w double")
-    return sizes.join(tested, group, "left").select(group, "n", "w")
+    Ranks come from range partitions, the rest is sums, so no task holds a group.  The p-value's formula was fitted
+    to 4..5000 values.
+    """
+    rows = with_row_number(values.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("x")), "__n", group, "x")
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("__n").alias("first"), F.avg("x").alias("mean"), F.var_pop("x").alias("v"))
+    ranked = rows.join(sizes.where("n >= 4 and v > 0"), group).withColumn("i", F.col("__n") - F.col("first") + 1)
+    m = ranked.withColumn("m", _normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
+    edge = lambda k, c: F.max(F.when(F.col("i") == F.col("n") - k, F.col(c)))
+    low = lambda k: F.max(F.when(F.col("i") == 1 + k, F.col("x")))
+    s = m.groupBy(group).agg(
+        F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * F.col("x")).alias("mx"), edge(0, "m").alias("m1"), edge(1, "m").alias("m2"),
+        edge(0, "x").alias("x1"), edge(1, "x").alias("x2"), low(0).alias("y1"), low(1).alias("y2"), F.max("n").alias("n"), F.max("v").alias("v"),
+    )
+    n, mm, m1, m2 = F.col("n").cast("double"), F.col("mm"), F.col("m1"), F.col("m2")
+    u = 1 / F.sqrt(n)
+    poly = lambda *c: sum((F.lit(x) * F.pow(u, F.lit(k + 1)) for k, x in enumerate(c)), F.lit(0.0))
+    a1 = m1 / F.sqrt(mm) + poly(0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+    a2 = m2 / F.sqrt(mm) + poly(0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+    ends1, ends2 = F.col("x1") - F.col("y1"), F.col("x2") - F.col("y2")
+    wide = (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
+    narrow = (mm - 2 * m1 * m1) / (1 - 2 * a1 * a1)
+    many = a1 * ends1 + a2 * ends2 + (F.col("mx") - m1 * ends1 - m2 * ends2) / F.sqrt(wide)
+    few = a1 * ends1 + (F.col("mx") - m1 * ends1) / F.sqrt(narrow)
+    top = F.when(n > 5, many).otherwise(few)
+    w = F.least(F.lit(1.0), top * top / (n * F.col("v")))
+    ln, lw = F.log(n), F.log(F.greatest(1 - F.col("w"), F.lit(1e-300)))
+    z = F.when(
+        n > 11, (lw - (0.0038915 * ln * ln * ln - 0.083751 * ln * ln - 0.31082 * ln - 1.5861)) / F.exp(0.0030302 * ln * ln - 0.082676 * ln - 0.4803)
+    ).otherwise((-F.log(0.459 * n - 2.273 - lw) - (0.5440 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * n * n * n)) / F.exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n))
+    tested = s.withColumn("w", w).select(group, "w", (1 - phi(z)).alias("p"))
+    return sizes.join(tested, group, "left").select(group, "n", "w", "p")
+
+
+def subset_t(values: DataFrame, value: str, key: str, size: int = 1000, subsets: int = 3, mean: float = 0.0, seed: int = 1) -> DataFrame:
+    """``(subset, n, t, p)``: the t-test repeated on seeded random subsets of ``size`` values, each without replacement.
+
+    A subset is the values of smallest hash, numbered over range partitions.
+    """
+    out = None
+    for k in range(subsets):
+        mixed = values.where(F.col(value).isNotNull()).select(F.col(value).alias("x"), F.xxhash64(F.lit(seed), F.lit(k), key).alias("h"), F.col(key).alias("key"))
+        one = mixed.orderBy("h", "key").limit(size).select(F.lit(k).alias("subset"), "x")
+        out = one if out is None else out.unionByName(one)
+    return one_sample_t(out, "subset", "x", mean)
 
 
 def cumulative(values: DataFrame, value: str, order: str) -> DataFrame:
@@ -292,10 +329,16 @@ def cumulative(values: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def picked(cumulated: DataFrame, draws: DataFrame, key: str, draw: str = "u") -> DataFrame:
-    """Each draw in 0..1 with the first record whose cumulative probability is above it, by a range join on buckets."""
-    buckets = 1000
-    low = F.col("cumulative") - F.col("share")
-    spread = cumulated.where("share > 0").select(key, low.alias("lo"), F.col("cumulative").alias("hi"))
-    spread = spread.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") * buckets).cast("int"), F.least(F.floor(F.col("hi") * buckets).cast("int"), F.lit(buckets - 1)))))
-    asked = draws.withColumn("bucket", F.least(F.floor(F.col(draw) * buckets).cast("int"), F.lit(buckets - 1)))
+    """Each draw in 0..1 with the first record whose cumulative probability is above it, by a range join on buckets.
+
+    There are about as many buckets as records, so a bucket meets few.  The last record's range is closed: no draw is lost.
+    """
+    kept = cumulated.where("share > 0")
+    n = kept.agg(F.count(F.lit(1)).alias("n"), F.max("cumulative").alias("top")).head()
+    buckets = max(1, min(n["n"], 2**30))
+    top = F.col("cumulative") == F.lit(n["top"])
+    spread = kept.select(key, (F.col("cumulative") - F.col("share")).alias("lo"), F.when(top, F.lit(float("inf"))).otherwise(F.col("cumulative")).alias("hi"))
+    at = lambda c: F.greatest(F.lit(0), F.least(F.floor(F.least(c, F.lit(1.0)) * buckets).cast("int"), F.lit(buckets - 1)))
+    spread = spread.withColumn("bucket", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
+    asked = draws.withColumn("bucket", at(F.col(draw)))
     return asked.join(spread, "bucket").where((F.col(draw) >= F.col("lo")) & (F.col(draw) < F.col("hi"))).drop("bucket", "lo", "hi")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -53,12 +52,27 @@ def null_distribution(pairs: DataFrame, columns: DataFrame, region: str, shuffle
     return observed.join(null, ["id1", "id2"])
 
 
+def null_distributions(columns: DataFrame, region: str, shuffles: int, seed: int, score: Callable, schema: str, value: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(id1, id2, observed, shuffled)`` of all pairs of rows of one length, scored in tiles (:func:`~seqloom.operators.pairs.scored_pairs`).
+
+    ``score`` and ``schema`` are those of a tile; ``value`` adds a column ``value``.  Shuffle -1 is the rows as they are.
+    """
+    from seqloom.operators.pairs import scored_pairs
+
+    mixed = region_shuffle(columns, region, shuffles, seed)
+    every = mixed.unionByName(columns.select(F.lit(-1).alias("shuffle"), "id", "pos", "aa"))
+    rows = every.groupBy("shuffle", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "aa"))), lambda x: x["aa"]), "").alias("seq"))
+    scored = value(scored_pairs(rows, "id", "seq", score, schema, "shuffle")).select("id1", "id2", "shuffle", "value")
+    null = F.transform(F.array_sort(F.collect_list(F.when(F.col("shuffle") >= 0, F.struct("shuffle", "value")))), lambda x: x["value"])
+    return scored.groupBy("id1", "id2").agg(F.max(F.when(F.col("shuffle") < 0, F.col("value"))).alias("observed"), null.alias("shuffled"))
+
+
 def mutated(parents: DataFrame, generation: int, seed: int, substitution: dict[str, tuple[str, list[float]]], indel_rate: float = 0.001, letters: str = "ARNDCQEGHILKMFPSTWYV") -> DataFrame:
     """``(id, parent, seq, positions)``: children of ``(id, parent, seq, positions)`` with substitutions and heavy-tailed indels.
 
     ``substitution`` gives for a residue the letters and their cumulative probabilities.  A child's
-    randomness comes from (seed, generation, id) only.  ``positions`` tells homologous positions; a new one
-    gets a number that is unique to the child.
+    randomness comes from (seed, generation, id) only.  ``positions`` tells homologous positions as
+    ``(child, n)``: the child that first had it, and its number there.
     """
 
     def run(batches: Iterable[pd.DataFrame]):
@@ -79,17 +93,17 @@ def mutated(parents: DataFrame, generation: int, seed: int, substitution: dict[s
                         out.extend(rng.choice(letters) for _ in range(size))
                         for _ in range(size):
                             fresh += 1
-                            kept.append((int(generation) << 40) + ((zlib.crc32(str(child).encode()) & 0xFFFF) << 20) + fresh)
+                            kept.append({"child": int(child), "n": fresh})
                     u = rng.random()
                     order, cumulative = substitution.get(aa, (aa, [1.0]))
                     out.append(next((o for o, c in zip(order, cumulative) if u < c), aa))
-                    kept.append(int(p))
+                    kept.append({"child": p["child"], "n": p["n"]})
                 seqs.append("".join(out))
                 places.append(kept)
             yield batch[["id", "parent"]].assign(seq=seqs, positions=places)
 
     kind = parents.schema["id"].dataType.simpleString()
-    return parents.select("id", "parent", "seq", "positions").mapInPandas(run, f"id {kind}, parent {kind}, seq string, positions array<bigint>")
+    return parents.select("id", "parent", "seq", "positions").mapInPandas(run, f"id {kind}, parent {kind}, seq string, positions {POSITIONS}")
 
 
 def next_generation(population: DataFrame, size: int, generation: int, seed: int, substitution: dict, unchanged: float = 0.1) -> DataFrame:
@@ -98,7 +112,7 @@ def next_generation(population: DataFrame, size: int, generation: int, seed: int
 
     weighed = cumulative(population.withColumn("fitness", fitness(F.col("seq"))).select("id", "fitness"), "fitness", "id")
     spark = population.sparkSession
-    children = spark.range(size).select((F.col("id") + F.lit(generation) * F.lit(10**9)).alias("child"))
+    children = spark.range(size).select((F.col("id") + F.lit(generation * 10**9)).alias("child"))
     u = F.pmod(F.xxhash64(F.lit(seed), F.lit(generation), "child"), F.lit(2**52)) / F.lit(float(2**52))
     drawn = picked(weighed.select("id", "share", "cumulative"), children.select("child", u.alias("u")), "id")
     born = drawn.select("child", F.col("id").alias("p")).join(population.select(F.col("id").alias("p"), "seq", "positions"), "p")
@@ -112,7 +126,7 @@ def simulate(ancestor: str, size: int, generations: int, seed: int, substitution
     from seqloom.plans.stages import Stages
 
     stages = Stages(spark, "generations")
-    first = spark.createDataFrame([(0, None, ancestor, list(range(len(ancestor))))], "id bigint, parent bigint, seq string, positions array<bigint>")
+    first = spark.createDataFrame([(0, None, ancestor, [(0, n) for n in range(len(ancestor))])], f"id bigint, parent bigint, seq string, positions {POSITIONS}")
     population, out = first, first.withColumn("generation", F.lit(0))
     for g in range(1, generations + 1):
         population = stages.cut(next_generation(population, size, g, seed, substitution), "generation")
@@ -126,6 +140,10 @@ def sampled(records: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     return records.orderBy(order, *key).limit(n)
 
 
+#: Homologous positions: the record that first had one, and its number there.
+POSITIONS = "array<struct<child: bigint, n: bigint>>"
+
+
 @dataclass
 class Variable:
     """A bounded variable of a chain; proposals are Gaussian, folded back into the bounds."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.functions.residues import BLOSUM62, matrix_table, parse_half_matrix, translated
+from seqloom.functions.residues import BLOSUM62, degapped, parse_half_matrix, translated
 from seqloom.operators import alignment as al
-from seqloom.operators.pairs import all_pairs, incremental_pairs, pairs_between
+from seqloom.operators import pairs as pr
+from seqloom.operators.pairs import all_pairs, incremental_pairs, pairs_between, pairs_within
 from seqloom.queries.carriers import COLUMNS, LETTERS, SEGMENTS, SEQUENCES, TOPOLOGY, alignment, columns, segments_topology, sequences, topology
 from seqloom.queries.registry import query, table
 
@@ -38,49 +39,58 @@ def msa_identity_between_families(spark, sf_dir):
  count(*) FILTER (WHERE x.aa = y.aa AND x.aa <> '-')::DOUBLE AS identical, count(*) FILTER (WHERE x.aa <> '-' AND y.aa <> '-') AS filled
 FROM {COLUMNS} x JOIN {COLUMNS} y ON x.pos = y.pos AND x.id < y.id AND x.label = y.label GROUP BY 1, 2, 3) WHERE filled > 0 GROUP BY 1""")
 def group_mean_identity(spark, sf_dir):
-    a = alignment(spark, sf_dir)
-    labels = a.select(F.col("id"), "label")
-    p = all_pairs(a, "id", "seq", LETTERS).where(F.col("filled") > 0)
-    same = p.join(labels.select(F.col("id").alias("id1"), F.col("label").alias("l1")), "id1").join(labels.select(F.col("id").alias("id2"), "label"), "id2").where("l1 = label")
-    return same.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("identical") / F.col("filled")), 6).alias("identity"))
+    p = pairs_within(alignment(spark, sf_dir), "label", "id", "seq", LETTERS).where("filled > 0")
+    return p.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("identical") / F.col("filled")), 6).alias("identity"))
 
 
 @query(f"""SELECT id1, id2, round(identical / own, 6) AS identity FROM (SELECT x.id AS id1, y.id AS id2, count(*) FILTER (WHERE x.aa = y.aa AND x.aa <> '-')::DOUBLE AS identical,
- count(*) FILTER (WHERE x.aa <> '-') AS own FROM {COLUMNS} x JOIN {COLUMNS} y ON x.pos = y.pos AND y.id = x.id + 1 GROUP BY 1, 2) WHERE own > 0""")
+ count(*) FILTER (WHERE x.aa <> '-') AS own FROM {COLUMNS} x JOIN {COLUMNS} y ON x.pos = y.pos AND x.id < y.id GROUP BY 1, 2) WHERE own > 0""")
 def identity_asymmetric(spark, sf_dir):
-    """Identity over the residues of the first of two neighbouring rows."""
-    c = columns(spark, sf_dir).select("id", "pos", "aa")
-    pairs = c.select("id").distinct().select(F.col("id").alias("id1"), (F.col("id") + 1).alias("id2"))
-    a = al.aligned_columns(c, pairs)
-    s = a.groupBy("id1", "id2").agg(F.count(F.when((F.col("aa1") == F.col("aa2")) & (F.col("aa1") != "-"), 1)).alias("n"), F.count(F.when(F.col("aa1") != "-", 1)).alias("own"))
-    return s.where("own > 0").select("id1", "id2", F.round(F.col("n") / F.col("own"), 6).alias("identity"))
+    """Identity over the residues of the first of two rows, for all pairs."""
+    a = alignment(spark, sf_dir)
+    own = a.select(F.col("id").alias("id1"), F.length(degapped(F.col("seq"))).alias("own")).where("own > 0")
+    return all_pairs(a, "id", "seq", LETTERS).join(own, "id1").select("id1", "id2", F.round(F.col("identical") / F.col("own"), 6).alias("identity"))
 
 
-_ALIGNED = f"(SELECT x.id AS id1, y.id AS id2, x.pos AS pos, x.aa AS aa1, y.aa AS aa2 FROM {COLUMNS} x JOIN {COLUMNS} y ON x.pos = y.pos AND y.id = x.id + 1)"
+_ALIGNED = f"(SELECT x.id AS id1, y.id AS id2, x.pos AS pos, x.aa AS aa1, y.aa AS aa2 FROM {COLUMNS} x JOIN {COLUMNS} y ON x.pos = y.pos AND x.id < y.id)"
 
 
-def _neighbours(spark, sf_dir):
-    c = columns(spark, sf_dir).select("id", "pos", "aa")
-    return al.aligned_columns(c, c.select("id").distinct().select(F.col("id").alias("id1"), (F.col("id") + 1).alias("id2")))
+@query(f"""WITH a AS {_ALIGNED}, b AS (SELECT *, aa1 = '-' OR aa2 = '-' AS gapped, coalesce(lag(aa1 = '-' OR aa2 = '-') OVER (PARTITION BY id1, id2 ORDER BY pos), true) AS prev FROM a),
+r AS (SELECT id1, id2, CAST(sum(CASE WHEN gapped AND prev THEN 0 WHEN gapped THEN -5 ELSE coalesce(p.m, 0) END) AS BIGINT) AS raw FROM b LEFT JOIN {MATRIX_SQL.replace('AS mat', 'AS p')} ON p.aa1 = b.aa1 AND p.aa2 = b.aa2 GROUP BY 1, 2),
+o AS (SELECT id, CAST(coalesce(sum(m), 0) AS BIGINT) AS own FROM {COLUMNS} c LEFT JOIN {MATRIX_SQL} ON aa1 = aa AND aa2 = aa GROUP BY 1)
+SELECT id1, id2, raw, x.own AS self1, y.own AS self2, CASE WHEN x.own <> 0 AND y.own <> 0 THEN round((raw / x.own + raw / y.own) / 2, 9) END AS score FROM r JOIN o x ON x.id = id1 JOIN o y ON y.id = id2""")
+def affine_gap_score(spark, sf_dir):
+    """Every pair of rows: the raw score, those of the rows with themselves, and the score over their mean."""
+    s = pr.scored_pairs(alignment(spark, sf_dir), "id", "seq", pr.affine(MATRIX, -5, 0), "raw double, self1 double, self2 double")
+    n = (F.try_divide("raw", "self1") + F.try_divide("raw", "self2")) / 2
+    return s.select("id1", "id2", *[F.col(c).cast("bigint").alias(c) for c in ("raw", "self1", "self2")], F.round(n, 9).alias("score"))
 
 
-@query(f"""WITH a AS {_ALIGNED}, b AS (SELECT *, aa1 = '-' OR aa2 = '-' AS gapped, coalesce(lag(aa1 = '-' OR aa2 = '-') OVER (PARTITION BY id1, id2 ORDER BY pos), true) AS prev FROM a)
-SELECT id1, id2, CAST(sum(CASE WHEN gapped AND prev THEN 0 WHEN gapped THEN -5 ELSE coalesce(p.m, 0) END) AS BIGINT) AS raw,
- CAST(coalesce(sum(s.m), 0) AS BIGINT) AS self1, CAST(coalesce(sum(t.m), 0) AS BIGINT) AS self2 FROM b
-LEFT JOIN {MATRIX_SQL.replace('AS mat', 'AS p')} ON p.aa1 = b.aa1 AND p.aa2 = b.aa2 LEFT JOIN {MATRIX_SQL.replace('AS mat', 'AS s')} ON s.aa1 = b.aa1 AND s.aa2 = b.aa1
-LEFT JOIN {MATRIX_SQL.replace('AS mat', 'AS t')} ON t.aa1 = b.aa2 AND t.aa2 = b.aa2 GROUP BY 1, 2""")
-def affine_gap_score(spark, sf_dir):
-    s = al.affine_scores(_neighbours(spark, sf_dir), matrix_table(spark, MATRIX), -5, 0)
-    return s.select("id1", "id2", F.col("raw").cast("bigint").alias("raw"), F.col("self1").cast("bigint").alias("self1"), F.col("self2").cast("bigint").alias("self2"))
+_BITS = """round((0.252::DOUBLE * (t + (t / n) * (1 - g / r) * g) - ln(0.035::DOUBLE)) / ln(2) / (n + g), 6) AS bits"""
+_SUMS = "count(*) FILTER (WHERE a.aa1 <> '-' AND a.aa2 <> '-') AS n, count(*) FILTER (WHERE a.aa1 = '-' OR a.aa2 = '-') AS g, count(*) FILTER (WHERE a.aa1 <> '-') + count(*) FILTER (WHERE a.aa2 <> '-') AS r"
+_TILE = "total double, matches bigint, gaps bigint, residues bigint"
 
 
-@query(f"""WITH a AS {_ALIGNED}, s AS (SELECT a.id1, a.id2, coalesce(sum(m) FILTER (WHERE a.aa1 <> '-' AND a.aa2 <> '-'), 0)::DOUBLE AS t, count(*) FILTER (WHERE a.aa1 <> '-' AND a.aa2 <> '-') AS n,
- count(*) FILTER (WHERE a.aa1 = '-' OR a.aa2 = '-') AS g, count(*) FILTER (WHERE a.aa1 <> '-') + count(*) FILTER (WHERE a.aa2 <> '-') AS r
- FROM a LEFT JOIN {MATRIX_SQL} ON mat.aa1 = a.aa1 AND mat.aa2 = a.aa2 GROUP BY 1, 2)
-SELECT id1, id2, n AS matches, g AS gaps, round((0.252::DOUBLE * (t + (t / n) * (1 - g / r) * g) - ln(0.035::DOUBLE)) / ln(2) / (n + g), 6) AS bits FROM s""")
+@query(f"""WITH a AS {_ALIGNED}, s AS (SELECT a.id1, a.id2, coalesce(sum(m) FILTER (WHERE a.aa1 <> '-' AND a.aa2 <> '-'), 0)::DOUBLE AS t, {_SUMS}
+ FROM a LEFT JOIN {MATRIX_SQL} ON mat.aa1 = a.aa1 AND mat.aa2 = a.aa2 GROUP BY 1, 2) SELECT id1, id2, n AS matches, g AS gaps, {_BITS} FROM s""")
 def alignment_bits(spark, sf_dir):
-    b = al.alignment_bits(_neighbours(spark, sf_dir), matrix_table(spark, MATRIX))
-    return b.select("id1", "id2", "matches", "gaps", F.round("bits", 6).alias("bits"))
+    s = pr.scored_pairs(alignment(spark, sf_dir), "id", "seq", pr.substitution(MATRIX), _TILE)
+    return al.bits_of(s).select("id1", "id2", "matches", "gaps", F.round("bits", 6).alias("bits"))
+
+
+#: Scores within a membrane: those of the matrix doubled.
+_INNER = {k: 2 * v for k, v in MATRIX.items()}
+
+
+@query(f"""WITH c AS (SELECT c.id, c.pos, c.aa, t.symbol FROM {COLUMNS} c JOIN {TOPOLOGY} t ON t.id = c.id AND t.pos = c.pos), a AS (SELECT x.id AS id1, y.id AS id2, x.aa AS aa1, y.aa AS aa2, x.symbol = 'M' AND y.symbol = 'M' AS inner_ FROM c x JOIN c y ON x.pos = y.pos AND x.id < y.id),
+s AS (SELECT a.id1, a.id2, coalesce(sum(CASE WHEN inner_ THEN 2 * m ELSE m END) FILTER (WHERE a.aa1 <> '-' AND a.aa2 <> '-'), 0)::DOUBLE AS t, {_SUMS}
+ FROM a LEFT JOIN {MATRIX_SQL} ON mat.aa1 = a.aa1 AND mat.aa2 = a.aa2 GROUP BY 1, 2) SELECT id1, id2, n AS matches, g AS gaps, {_BITS} FROM s""")
+def membrane_bits(spark, sf_dir):
+    """As alignment_bits, with a second matrix for columns that lie in a membrane in both rows."""
+    t = topology(spark, sf_dir).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "symbol"))), lambda x: x["symbol"]), "").alias("t"))
+    rows = alignment(spark, sf_dir).join(t, "id").select("id", F.concat_ws("|", "seq", "t").alias("row"))
+    s = pr.scored_pairs(rows, "id", "row", pr.substitution(MATRIX, _INNER), _TILE)
+    return al.bits_of(s).select("id1", "id2", "matches", "gaps", F.round("bits", 6).alias("bits"))
 
 
 @query(f"""WITH w AS (SELECT id, pos, symbol, pos - row_number() OVER (PARTITION BY id, symbol ORDER BY pos) AS island FROM {TOPOLOGY})
@@ -158,24 +168,51 @@ def incremental_pairs_added(spark, sf_dir):
     return incremental_pairs(e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0"), "vec_id")
 
 
-@query(f"""WITH p AS (SELECT id, pos, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings))
-SELECT a.id AS id1, b.id AS id2, round(sum(abs(a.x - b.x)), 4) AS distance FROM p a JOIN p b ON a.pos = b.pos AND b.id = a.id + 1 GROUP BY 1, 2""")
+_X = "(SELECT id, pos, CASE WHEN abs(x) >= 0.01 THEN x END AS x FROM (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))"
+_PROFILE = "distance double, matched bigint, left_only bigint, right_only bigint"
+
+
+def _profiles(spark, sf_dir):
+    """Rows of numbers; those next to zero are missing."""
+    x = F.transform("embedding", lambda v: F.when(F.abs(v.cast("double")) >= 0.01, v.cast("double")).otherwise(F.lit(float("nan"))))
+    return pr.scored_pairs(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), x.alias("x")), "id", "x", pr.profiles, _PROFILE)
+
+
+@query(f"SELECT a.id AS id1, b.id AS id2, round(coalesce(sum(abs(a.x - b.x)), 0), 4) AS distance FROM {_X} a JOIN {_X} b ON a.pos = b.pos AND a.id < b.id GROUP BY 1, 2")
 def profile_distance(spark, sf_dir):
-    p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    a, b = p.select(F.col("id").alias("id1"), "pos", F.col("x").alias("x1")), p.select((F.col("id") - 1).alias("id1"), F.col("id").alias("id2"), "pos", F.col("x").alias("x2"))
-    return a.join(b, ["id1", "pos"]).groupBy("id1", "id2").agg(F.round(F.sum(F.abs(F.col("x1") - F.col("x2"))), 4).alias("distance"))
+    """All pairs of profiles: the summed differences over the columns that both have."""
+    return _profiles(spark, sf_dir).select("id1", "id2", F.round("distance", 4).alias("distance"))
 
 
-@query(f"""WITH p AS (SELECT id, pos, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id AS id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings)),
-l AS (SELECT * FROM p WHERE (id + pos) % 7 <> 0), r AS (SELECT id - 1 AS id, pos, x AS y FROM p WHERE (id + pos) % 5 <> 0)
-SELECT l.id, round(sum(CASE WHEN y IS NOT NULL THEN 1 - abs(x - y) ELSE 0 END) / (any_value(n) + count(*) FILTER (WHERE y IS NULL)), 6) AS similarity
-FROM l LEFT JOIN r ON l.id = r.id AND l.pos = r.pos JOIN (SELECT id, count(*) AS n FROM r GROUP BY 1) s ON s.id = l.id GROUP BY 1""")
+@query(f"""SELECT a.id AS id1, b.id AS id2, round(coalesce(sum(1 - abs(a.x - b.x)), 0) / (count(b.x) + count(*) FILTER (WHERE a.x IS NOT NULL AND b.x IS NULL)), 6) AS similarity
+FROM {_X} a JOIN {_X} b ON a.pos = b.pos AND a.id < b.id GROUP BY 1, 2""")
 def profile_similarity(spark, sf_dir):
-    """Profiles of neighbouring rows, each with positions missing."""
-    p = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    left = p.where((F.col("id") + F.col("pos")) % 7 != 0)
-    right = p.where((F.col("id") + F.col("pos")) % 5 != 0).withColumn("id", F.col("id") - 1)
-    return al.profile_similarity(left, right, ["id"], "pos", ["x"]).select("id", F.round("similarity", 6).alias("similarity"))
+    """All pairs of profiles, over the columns of the second and those that only the first has."""
+    s = (F.col("matched") - F.col("distance")) / (F.col("matched") + F.col("right_only") + F.col("left_only"))
+    return _profiles(spark, sf_dir).select("id1", "id2", F.round(s, 6).alias("similarity"))
+
+
+@query(f"""WITH s AS (SELECT a.id AS id1, b.id AS id2, sum(1 - abs(a.x - b.x)) AS t, count(*) FILTER (WHERE a.x IS NOT NULL AND b.x IS NOT NULL) AS n, count(*) FILTER (WHERE a.x IS NULL OR b.x IS NULL) AS g, count(a.x) + count(b.x) AS r
+FROM {_X} a JOIN {_X} b ON a.pos = b.pos AND a.id < b.id GROUP BY 1, 2) SELECT id1, id2, round((t + t / n * (1 - g / r) * g) / (n + g), 5) AS similarity FROM s""")
+def gap_bonus_similarity(spark, sf_dir):
+    """All pairs of profiles, with a bonus for gaps."""
+    t, n, r = F.col("matched") - F.col("distance"), F.col("matched"), 2 * F.col("matched") + F.col("left_only") + F.col("right_only")
+    g = F.lit(64) - n
+    full = t + F.try_divide(t, n) * (1 - F.try_divide(g, r)) * g
+    return _profiles(spark, sf_dir).select("id1", "id2", F.round(full / (n + g), 5).alias("similarity"))
+
+
+@query(f"""WITH c AS {COLUMNS}, k AS (SELECT label, pos, aa FROM (SELECT label, pos, aa, count(*) AS n FROM c GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY label, pos ORDER BY n DESC, aa) = 1),
+s AS (SELECT c.label, c.id, count(*) FILTER (WHERE c.aa = k.aa AND c.aa <> '-') / count(*) FILTER (WHERE c.aa <> '-' OR k.aa <> '-') AS identity FROM c JOIN k ON k.label = c.label AND k.pos = c.pos GROUP BY 1, 2)
+SELECT label, count(*) AS members, round(avg(identity), 6) AS identity FROM s GROUP BY 1""")
+def ancestor_identity(spark, sf_dir):
+    """The mean identity of a family's members with its consensus, which stands for their ancestor."""
+    c = columns(spark, sf_dir)
+    k = al.consensus(c, ["label"], "pos", "aa").select("label", "pos", F.col("aa").alias("root"))
+    s = c.join(k, ["label", "pos"]).groupBy("label", "id").agg(
+        (F.count(F.when((F.col("aa") == F.col("root")) & (F.col("aa") != "-"), 1)) / F.count(F.when((F.col("aa") != "-") | (F.col("root") != "-"), 1))).alias("identity")
+    )
+    return s.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.round(F.avg("identity"), 6).alias("identity"))
 
 
 @query(f"""SELECT label, pos, symbol, n AS votes FROM (SELECT label, pos, CASE WHEN aa = '-' THEN '.' WHEN aa < 'L' THEN 'A' ELSE 'Z' END AS symbol, count(*) AS n FROM {COLUMNS} GROUP BY 1, 2, 3)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqloom.functions.ids import taxon
-from seqloom.functions.residues import matrix_table
 from seqloom.operators import grouping, stochastic
-from seqloom.operators.alignment import alignment_bits
+from seqloom.operators.alignment import bits_of
 from seqloom.operators.graphs import components, markov_grid
+from seqloom.operators.pairs import substitution
 from seqloom.queries.alignments import MATRIX
 from seqloom.queries.carriers import TOPOLOGY, columns, graph, sequences, topology
 from seqloom.queries.registry import query, table
@@ -33,21 +33,28 @@ def region_shuffle(spark, sf_dir):
 
 @query()
 def null_distributions(spark, sf_dir):
-    """Alignment scores of neighbouring rows against ten shuffles of both."""
+    """Alignment scores of all pairs of rows against ten shuffles of both."""
     c = columns(spark, sf_dir).select("id", "pos", "aa").join(topology(spark, sf_dir), ["id", "pos"])
-    pairs = c.select("id").distinct().select(F.col("id").alias("id1"), (F.col("id") + 1).alias("id2"))
-    m = matrix_table(spark, MATRIX)
-    return stochastic.null_distribution(pairs, c, "symbol", 10, 5, lambda a: alignment_bits(a, m), "bits")
+    tile = "total double, matches bigint, gaps bigint, residues bigint"
+    return stochastic.null_distributions(c, "symbol", 10, 5, substitution(MATRIX), tile, lambda s: bits_of(s).withColumn("value", F.round("bits", 9)))
 
 
 @query()
 def simulate_generation(spark, sf_dir):
     """One generation of as many children as there are sequences."""
-    s = sequences(spark, sf_dir).where("seq <> ''").withColumn("positions", F.sequence(F.lit(0), F.length("seq") - 1))
+    s = sequences(spark, sf_dir).where("seq <> ''").withColumn("positions", F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda n: F.struct(F.xxhash64("id").alias("child"), n.cast("bigint").alias("n"))))
     n = s.count()
     return stochastic.next_generation(s.withColumn("id", F.xxhash64("id")), n, 1, 7, SUBSTITUTION)
 
 
+@query()
+def simulated_population(spark, sf_dir):
+    """Five generations of two hundred from the first sequence that begins with M: how many, and how long, in each."""
+    first = sequences(spark, sf_dir).where("seq like 'M%'").orderBy("id").head()
+    found = stochastic.simulate(first.seq, 200, 5, 7, SUBSTITUTION, spark)
+    return found.groupBy("generation").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("seq")), 3).alias("length"), F.count_distinct("parent").alias("parents"))
+
+
 @query()
 def sampled_records(spark, sf_dir):
     """A sample of 1000 rows, the same ones for one seed."""

@@ -33,10 +33,9 @@ def refresh_pairs(spark: SparkSession, known: str, pairs: str, id_: str = "id"):
 
     def run(batch: DataFrame, number: int) -> None:
         new = batch.select(id_).distinct()
-        try:
-            old = spark.read.parquet(known).where(F.col("batch") < number).select(id_)
-        except Exception:  # the first batch: nothing is known yet
-            old = new.limit(0)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(known)
+        begun = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        old = spark.read.parquet(known).where(F.col("batch") < number).select(id_) if begun else new.limit(0)
         new = new.join(old, id_, "left_anti")
         incremental_pairs(old, new, id_).write.mode("overwrite").parquet(f"{pairs}/batch={number}")
         new.write.mode("overwrite").parquet(f"{known}/batch={number}")
