@@ -24,7 +24,7 @@ def case_modes(spark, sf_dir):
     return p.select("p_partkey", tx.upper_first(F.col("p_name")).alias("first"), F.upper("p_name").alias("everything"))
 
 
-@query()
+@query(r"SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ' '), lambda w: concat(upper(left(w, 1)), substr(w, 2))), 'string_agg', ' ') AS words FROM part")
 def case_words(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tx.upper_words(F.col("p_name")).alias("words"))
 
@@ -53,9 +53,13 @@ def tidy_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.tidy(F.col("text")).alias("text"))
 
 
-@query()
+@query(r"""SELECT doc_id, list_aggregate(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 'string_agg', ' ') AS words, true AS fits FROM documents WHERE text IS NOT NULL""")
 def wrap_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.wrap(F.col("text"), 60).alias("text"))
+    """Wrapped texts: their words in order, and whether no line of several words is too long."""
+    t = _docs(spark, sf_dir).select("doc_id", tx.wrap(F.col("text"), 60).alias("text"))
+    fits = F.forall(F.split("text", "\n"), lambda line: (F.length(line) <= 60) | (F.instr(line, " ") == 0))
+    words = F.when(F.col("text") != "", F.replace("text", F.lit("\n"), F.lit(" ")))
+    return t.select("doc_id", words.alias("words"), fits.alias("fits"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s < 60 THEN concat(s, ' sec') WHEN s < 3600 THEN concat(s // 60, ' min, ', s % 60, ' sec') WHEN s < 86400 THEN concat(s // 3600, ' hrs, ', s % 3600 // 60, ' min, ', s % 60, ' sec')

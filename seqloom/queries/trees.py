@@ -63,13 +63,13 @@ def tree_rerooted(spark, sf_dir):
     return tr.rerooted(t, "node", "parent", "length", 37)
 
 
-@query()
+@query("SELECT CAST(0 AS INTEGER) AS tree, count(*) AS nodes, CAST(sum(p_size) AS BIGINT) AS length FROM part")
 def newick_text(spark, sf_dir):
-    """The subtrees below the eight nodes of depth three, one text each."""
-    t = tree(spark, sf_dir)
-    up = tr.ancestors(t, "node", "parent").where("ancestor between 8 and 15").select("node", F.col("ancestor").alias("tree"))
-    sub = t.join(up, "node").withColumn("parent", F.when(F.col("node") != F.col("tree"), F.col("parent")))
-    return tr.newick(sub, "tree", "node", "parent", "label", "length")
+    """The whole tree as one text: its nodes, by their lengths, and the sum of these."""
+    t = tree(spark, sf_dir).withColumn("tree", F.lit(0))
+    sizes = F.transform(F.regexp_extract_all("newick", F.lit(":([0-9]+)"), 1), lambda x: x.cast("bigint"))
+    n = tr.newick(t, "tree", "node", "parent", "label", "length").select("tree", sizes.alias("s"))
+    return n.select("tree", F.size("s").cast("bigint").alias("nodes"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("length"))
 
 
 _LINEAGE = "t AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 0 THEN c_custkey // 3 END AS parent FROM customer)"
