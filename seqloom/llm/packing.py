@@ -182,3 +182,14 @@ def fill_containers(items: DataFrame, key: str, size: str, capacity: int, shard_
     fulls = pieces.select("key", "piece", alone.alias("container"), F.lit(0).alias("place"), F.lit(capacity).alias("length"))
     none = cut.where("full = 0 and rest = 0").select("key", F.lit(0).alias("piece"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("place"), F.lit(0).alias("length"))
     return rests.unionByName(fulls).unionByName(none)
+
+
+def packing_invariants(pieces: DataFrame, key: str, capacity: int) -> DataFrame:
+    """One row: how many keys there are, containers above the capacity, containers whose pieces overlap or leave a gap,
+    and keys of several pieces of which one but the last is not full."""
+    held = pieces.where("container is not null")
+    ends = held.groupBy("container").agg(F.sum("length").alias("sum"), F.max(F.col("place") + F.col("length")).alias("end"), F.count_distinct("place").alias("places"), F.count(F.lit(1)).alias("n"))
+    last = pieces.groupBy(key).agg(F.max("piece").alias("last"), F.count(F.when(F.col("length") < capacity, 1)).alias("part"), F.count(F.lit(1)).alias("n"))
+    a = ends.agg(F.count(F.when(F.col("sum") > capacity, 1)).alias("too_full"), F.count(F.when((F.col("sum") != F.col("end")) | (F.col("places") != F.col("n")), 1)).alias("overlaps"))
+    b = last.agg(F.count(F.lit(1)).alias("keys"), F.count(F.when((F.col("part") > 1) | (F.col("last") + 1 != F.col("n")), 1)).alias("wrong"))
+    return b.crossJoin(a).select("keys", "too_full", "overlaps", "wrong")

@@ -10,9 +10,9 @@ from seqloom.llm.clustering import described_clusters, pivot_clusters
 from seqloom.llm import near_duplicates as near
 from seqloom.llm.components import connected_components
 from seqloom.llm.encoding import decoded, encoded, public_vocabulary, token_counts
-from seqloom.llm.packing import fill_containers
+from seqloom.llm.packing import fill_containers, packing_invariants
 from seqloom.llm.quality import mostly_outside_sentences, outlier_scores, text_statistics
-from seqloom.llm.set_join import link_counts, record_pairs, similar_records
+from seqloom.llm.set_join import link_counts, record_pairs, similar_between, similar_records
 from seqloom.llm.sql import ORACLE
 from seqloom.llm.top_n import top_n
 from seqloom.plans.stages import Stages
@@ -49,6 +49,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_pairs(pairs, belongs).select(F.col("rec1").alias("cluster_id1"), F.col("rec2").alias("cluster_id2"))
 
 
+def p2_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar pairs of a record with a name and one without."""
+    sets = cluster_sets(spark, sf_dir)
+    named = _table(spark, sf_dir, "clusters").where("cluster_name is not null").select("cluster_id").distinct()
+    with_, without = sets.join(named, "cluster_id", "left_semi"), sets.join(named, "cluster_id", "left_anti")
+    return similar_between(with_, without, "cluster_id", "members", 0.8).select(F.col("rec1").alias("cluster_id1"), F.col("rec2").alias("cluster_id2"))
+
+
 def cluster_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(cluster_id, members)``: each record once, with its plain members."""
     rows = _table(spark, sf_dir, "clusters").select("cluster_id", F.explode("cluster").alias("member"))
@@ -108,6 +116,11 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(sizes, "key", "n_tokens", 2048).withColumnRenamed("key", "doc_id")
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of :func:`p7_pieces`: every document once, no container too full, no overlap and no gap in one, no piece cut in need."""
+    return packing_invariants(p7_pieces(spark, sf_dir), "doc_id", 2048)
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics and the outlier score of every document with visible characters."""
     t = text_statistics(_table(spark, sf_dir, "documents"), "doc_id", "text", "lang", _table(spark, sf_dir, "common_words"))
@@ -120,7 +133,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_links, p3_found, p3_described, p4_found, p5_found, p6_ids, p6_decoded, p7_pieces, p8_found, p8_scores)}
+    return {q.__name__: q for q in (p1_found, p1_groups, p2_found, p2_links, p2_between, p3_found, p3_described, p4_found, p5_found, p6_ids, p6_decoded, p7_pieces, p7_invariants, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,7 +16,7 @@ a hundred thousand copies of a set are one set in the join.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 from math import ceil, floor
 
@@ -71,10 +71,14 @@ def set_classes(sets: DataFrame, rec: str, members: str, stages: Stages) -> tupl
     return classes, belongs
 
 
-def similar_sets(classes: DataFrame, threshold: float, stages: Stages, small: int = 8) -> DataFrame:
-    """``(cls1, cls2, overlap)``, ``cls1 < cls2``, of all pairs of different sets at or above the threshold."""
+def similar_sets(classes: DataFrame, threshold: float, stages: Stages, small: int = 8, allowed: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """``(cls1, cls2, overlap)``, ``cls1 < cls2``, of all pairs of different sets at or above the threshold.
+
+    ``allowed`` says of two classes whether their pair is wanted; others are dropped where they meet.
+    """
     dice = Dice(threshold)
-    found = _by_subsets(classes, dice, small).unionByName(_by_lists(classes, dice, small, stages)).distinct()
+    wanted = allowed or (lambda x, y: F.lit(True))
+    found = _by_subsets(classes, dice, small, wanted).unionByName(_by_lists(classes, dice, small, stages, wanted)).distinct()
     left = classes.select(F.col("cls").alias("cls1"), F.col("tokens").alias("t1"))
     right = classes.select(F.col("cls").alias("cls2"), F.col("tokens").alias("t2"))
     return (
@@ -86,7 +90,7 @@ def similar_sets(classes: DataFrame, threshold: float, stages: Stages, small: in
     )
 
 
-def _by_subsets(classes: DataFrame, dice: Dice, small: int) -> DataFrame:
+def _by_subsets(classes: DataFrame, dice: Dice, small: int, wanted: Callable) -> DataFrame:
     kind = classes.schema["cls"].dataType
     schema = T.StructType(
         [T.StructField("cls", kind), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("large", T.BooleanType()), T.StructField("part", T.LongType())]
@@ -113,11 +117,12 @@ def _by_subsets(classes: DataFrame, dice: Dice, small: int) -> DataFrame:
     return (
         x.join(y, ["a", "b", "part"])
         .where("x <> y and (a < b or x < y)")
+        .where(wanted(F.col("x"), F.col("y")))
         .select(F.least("x", "y").alias("cls1"), F.greatest("x", "y").alias("cls2"))
     )
 
 
-def _by_lists(classes: DataFrame, dice: Dice, small: int, stages: Stages) -> DataFrame:
+def _by_lists(classes: DataFrame, dice: Dice, small: int, stages: Stages, wanted: Callable) -> DataFrame:
     wide = classes.where(F.col("size") >= dice.least(small + 1))
     token = wide.select("cls", "size", F.explode("tokens").alias("token"))
     counts = stages.cut(token.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "counts")
@@ -150,7 +155,7 @@ def _by_lists(classes: DataFrame, dice: Dice, small: int, stages: Stages) -> Dat
     return (
         x.join(y, "token")
         .where((F.col("x") != F.col("y")) & (a <= b) & (F.lit(d) * F.lit(2) * a >= F.lit(n) * (a + b)) & ((a < b) | (F.col("x") < F.col("y"))))
-        .where(room >= dice.need_column(a, b))
+        .where((room >= dice.need_column(a, b)) & wanted(F.col("x"), F.col("y")))
         .select(F.least("x", "y").alias("cls1"), F.greatest("x", "y").alias("cls2"))
     )
 
@@ -160,7 +165,7 @@ def similar_records(sets: DataFrame, rec: str, members: str, threshold: float, s
 
     * A null or empty set, and a record without id, has no pair.  Null members do not count; repeats and
       order mean nothing.  A record id must be unique; of a repeated one every set takes part.
-    * A pair between two tables is a pair of their union: mark the records' table in ``rec``.
+    * For pairs between two tables see :func:`similar_between`.
     * Other columns are ignored, whatever their names.  Empty in, empty out.
     """
     stages = Stages(sets.sparkSession, "set-join")
@@ -168,6 +173,31 @@ def similar_records(sets: DataFrame, rec: str, members: str, threshold: float, s
     return stages.cut(similar_sets(classes, threshold, stages, small), "pairs"), stages.cut(belongs, "members")
 
 
+def similar_between(left: DataFrame, right: DataFrame, rec: str, members: str, threshold: float, small: int = 8) -> DataFrame:
+    """``(rec1, rec2)``: every record of one table with every similar or equal one of another.
+
+    Nulls, repeats and other columns as in :func:`similar_records`; ids need be unique in their own table only.
+    Equal sets of both tables are one class, which knows the tables it comes from; classes of one and the same
+    table only never become candidates.
+    """
+    stages = Stages(left.sparkSession, "set-join")
+    tokens = F.array_sort(F.array_distinct(F.array_compact(F.col(members)))).alias("tokens")
+    sides = [t.select(F.lit(k).alias("side"), F.col(rec).cast("string").alias("id"), F.col(rec).alias(f"rec{k}"), tokens).where("id is not null and size(tokens) > 0") for k, t in ((1, left), (2, right))]
+    clean = stages.cut(sides[0].unionByName(sides[1], allowMissingColumns=True), "sets")
+    per = clean.groupBy("tokens").agg(F.min(F.struct("id", "side")).alias("first"), F.sum_distinct("side").alias("sides"))
+    name = F.struct(F.col("first.id").alias("id"), F.col("first.side").alias("side"), F.col("sides").cast("int").alias("sides"))
+    classes = stages.cut(per.select(name.alias("cls"), "tokens", F.size("tokens").alias("size")), "classes")
+    of = lambda c, k: c["sides"].bitwiseAND(F.lit(k)) > 0
+    across = lambda x, y: (of(x, 1) & of(y, 2)) | (of(x, 2) & of(y, 1))
+    pairs = stages.cut(similar_sets(classes, threshold, stages, small, across), "pairs")
+    belongs = stages.cut(clean.join(classes.select("cls", "tokens"), "tokens").select("side", "rec1", "rec2", "cls"), "members")
+    one = belongs.where("side = 1").select("rec1", F.col("cls").alias("c1"))
+    two = belongs.where("side = 2").select("rec2", F.col("cls").alias("c2"))
+    ways = pairs.select(F.inline(F.array(F.struct(F.col("cls1").alias("c1"), F.col("cls2").alias("c2")), F.struct(F.col("cls2").alias("c1"), F.col("cls1").alias("c2")))))
+    same = one.join(two, F.col("c1") == F.col("c2")).select("rec1", "rec2")
+    return ways.join(one, "c1").join(two, "c2").select("rec1", "rec2").unionByName(same)
+
+
 def record_pairs(pairs: DataFrame, belongs: DataFrame) -> DataFrame:
     """``(rec1, rec2)``, ``rec1 < rec2``: every pair of records whose sets are equal or similar."""
     x = belongs.select(F.col("rec").alias("x"), F.col("cls").alias("cls1"))

@@ -48,4 +48,11 @@ SELECT s.*, round(o.score, 6) AS outlier_score FROM s JOIN (SELECT doc_id, sum(t
 P1_GROUPS = f"""WITH RECURSIVE f AS ({P1}), e AS (SELECT id1 AS a, id2 AS b FROM f UNION SELECT id2, id1 FROM f), v AS (SELECT DISTINCT id FROM fasta WHERE length(regexp_replace(seq, '[^A-Za-z]', '', 'g')) >= 5),
 r(id, o) AS (SELECT id, id FROM v UNION SELECT r.id, e.b FROM r JOIN e ON r.o = e.a) SELECT id, min(o) AS group_id FROM r GROUP BY 1"""
 
-ORACLE = {"p8_scores": P8_SCORES, "p1_groups": P1_GROUPS, "p6_decoded": P6_DECODED, "p2_links": P2_LINKS, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}
+#: Those pairs of :data:`P2` of which one record has a name and the other has none.
+P2_BETWEEN = f"""WITH p AS ({P2}), n AS (SELECT DISTINCT cluster_id FROM clusters WHERE cluster_name IS NOT NULL)
+SELECT CASE WHEN a IN (SELECT cluster_id FROM n) THEN a ELSE b END AS cluster_id1, CASE WHEN a IN (SELECT cluster_id FROM n) THEN b ELSE a END AS cluster_id2 FROM (SELECT cluster_id1 AS a, cluster_id2 AS b FROM p)
+WHERE (a IN (SELECT cluster_id FROM n)) <> (b IN (SELECT cluster_id FROM n))"""
+
+P7_INVARIANTS = "SELECT count(*) AS keys, CAST(0 AS BIGINT) AS too_full, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS wrong FROM documents"
+
+ORACLE = {"p2_between": P2_BETWEEN, "p7_invariants": P7_INVARIANTS, "p8_scores": P8_SCORES, "p1_groups": P1_GROUPS, "p6_decoded": P6_DECODED, "p2_links": P2_LINKS, "p1_found": P1, "p2_found": P2, "p4_found": P4, "p5_found": P5}

@@ -103,6 +103,26 @@ def test_set_join_against_brute_force(spark, threshold, small):
     assert links == {i: sum(i in p for p in want) for i in sets}
 
 
+def test_set_join_between_two_tables(spark):
+    rng = random.Random(21)
+    tables = []
+    for _ in range(2):
+        base = [rng.sample(range(40), rng.randint(1, 16)) for _ in range(8)] if not tables else [r for r in tables[0][::3]]
+        records = []
+        for b in base:
+            for _ in range(3):
+                s = set(b)
+                for _ in range(rng.randint(0, 2)):
+                    s ^= {rng.randrange(40)}
+                records.append(sorted(s))
+        tables.append(records)
+    left, right = (spark.createDataFrame([(i, [f"m{x}" for x in r]) for i, r in enumerate(t)] + [(900, None), (None, ["m1"])], "rec int, ms array<string>") for t in tables)
+    got = rows(set_join.similar_between(left, right, "rec", "ms", 0.8))
+    want = [(i, j) for i, a in enumerate(tables[0]) for j, b in enumerate(tables[1]) if a and b and 2 * len({*a} & {*b}) >= 0.8 * (len(a) + len(b)) - 1e-9]
+    assert got == sorted(want) and len(want) > 20
+    assert set_join.similar_between(left.limit(0), right, "rec", "ms", 0.8).count() == 0
+
+
 def test_set_join_of_nothing(spark):
     df = spark.createDataFrame([], "rec int, members array<string>")
     pairs, belongs = set_join.similar_records(df, "rec", "members", 0.8)
@@ -307,6 +327,8 @@ def test_fill_containers(spark):
         if i not in (None, 3) and s:
             assert len(pieces[i]) == -(-s // 100) and sorted(r.piece for r in pieces[i]) == list(range(len(pieces[i])))
     assert packing.fill_containers(df.limit(0), "doc", "size", 100).count() == 0
+    found = packing.packing_invariants(packing.fill_containers(df.where("doc is not null").dropDuplicates(["doc"]), "doc", "size", 100, shard_items=60), "key", 100).head()
+    assert (found.too_full, found.overlaps, found.wrong) == (0, 0, 0) and found["keys"] == 401
 
 
 # text quality
