@@ -21,7 +21,7 @@ BLOCK = 256
 #: Tiles of a task on average.
 TILES = 16
 
-TILE = "id1 {kind}, id2 {kind}, identical int, alike int, compared int, filled int"
+COUNTS = "identical int, alike int, compared int, filled int"
 
 
 def blocks_for(n: int, block: int = BLOCK) -> int:
@@ -140,7 +140,9 @@ def profiles(left: list, right: list) -> dict[str, np.ndarray]:
     return {"distance": distance, **{n: x.astype(np.int64) for n, x in (("matched", matched), ("left_only", one.sum(1)[:, None] - matched), ("right_only", two.sum(1)[None, :] - matched))}}
 
 
-def _tiles(score: Callable, ordered: bool):
+def _tiles(score: Callable, ordered: bool, columns: str):
+    names = ["id1", "id2", *[c.split()[0] for c in columns.split(",")]]
+
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         left, right = tile[tile["side"] == 0], tile[tile["side"] == 1]
         out = []
@@ -154,7 +156,7 @@ def _tiles(score: Callable, ordered: bool):
                 if keep.any():
                     values = score(part["seq"].tolist(), other["seq"].tolist())
                     out.append(pd.DataFrame({"id1": x[keep], "id2": y[keep], **{n: c.ravel()[keep] for n, c in values.items()}}))
-        return pd.concat(out) if out else pd.DataFrame({"id1": [], "id2": []})
+        return pd.concat(out) if out else pd.DataFrame({n: [] for n in names})
 
     return run
 
@@ -167,9 +169,6 @@ def alike_matrix(alphabet: str, matrix: dict[tuple[str, str], int] | None) -> np
     return np.array([[float(a == b or matrix.get((a, b), -1) >= 0) for b in alphabet] for a in alphabet], dtype=np.float32)
 
 
-COUNTS = "identical int, alike int, compared int, filled int"
-
-
 def pairs_within(rows: DataFrame, group: str, id_: str, seq: str, alphabet: str, matrix: dict | None = None, block: int = BLOCK) -> DataFrame:
     """As :func:`all_pairs`, of the rows of each group among themselves, with the group's column; only these tiles are made."""
     return scored_pairs(rows, id_, seq, counted(alphabet, alike_matrix(alphabet, matrix)), COUNTS, group, block)
@@ -197,12 +196,11 @@ def scored_pairs(rows: DataFrame, id_: str, content: str, score: Callable, colum
     numbers = F.sequence(F.lit(0), F.col("k") - 1)
     left = own.select("g", "id", "seq", F.lit(0).alias("side"), F.col("block").alias("bi"), F.explode(numbers).alias("bj"))
     right = own.select("g", "id", "seq", F.lit(1).alias("side"), F.explode(numbers).alias("bi"), F.col("block").alias("bj"))
-    tile, names = _tiles(score, True), [c.split()[0] for c in columns.split(",")]
+    tile = _tiles(score, True, columns)
     kind, of = rows.schema[id_].dataType.simpleString(), rows.schema[group].dataType.simpleString() if group else "int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = tile(pdf).reindex(columns=["id1", "id2", *names])
-        return found.assign(g=pdf["g"].iloc[0])
+        return tile(pdf).assign(g=pdf["g"].iloc[0])
 
     out = spread(left.unionByName(right), tiles, TILES, "g", "bi", "bj").groupBy("g", "bi", "bj").applyInPandas(run, f"id1 {kind}, id2 {kind}, {columns}, g {of}")
     return out.withColumnRenamed("g", group) if group else out.drop("g")
@@ -216,7 +214,7 @@ def pairs_between(left: DataFrame, right: DataFrame, id_: str, seq: str, alphabe
     x = a.select("id", "seq", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(na)).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bj"))
     y = b.select("id", "seq", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("bi"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("bj"))
     kind = left.schema[id_].dataType.simpleString()
-    return spread(x.unionByName(y), na * nb, TILES, "bi", "bj").groupBy("bi", "bj").applyInPandas(_tiles(counted(alphabet, alike_matrix(alphabet, matrix)), False), TILE.format(kind=kind))
+    return spread(x.unionByName(y), na * nb, TILES, "bi", "bj").groupBy("bi", "bj").applyInPandas(_tiles(counted(alphabet, alike_matrix(alphabet, matrix)), False, COUNTS), f"id1 {kind}, id2 {kind}, {COUNTS}")
 
 
 def id_pairs(left: DataFrame, right: DataFrame, id_: str, block: int = BLOCK) -> DataFrame:
