@@ -192,22 +192,32 @@ def linkage(edges: DataFrame, cut_at: float, method: str = "single") -> DataFram
     inner = close.join(g, "seq1").select("grp", "seq1", "seq2", "score")
 
     def agglomerate(pdf):
+        import heapq
+
         import pandas as pd
 
-        dist = {}
+        # links between groups whose members are all close to each other, with the largest distance; both directions
+        far: dict = {}
         for a, b, s in zip(pdf["seq1"], pdf["seq2"], pdf["score"]):
-            dist[frozenset((a, b))] = 1 - s
-        groups = [[m] for m in sorted({*pdf["seq1"], *pdf["seq2"]})]
-        while True:
-            best = None
-            for x in range(len(groups)):
-                for y in range(x + 1, len(groups)):
-                    far = max(dist.get(frozenset((a, b)), 9.0) for a in groups[x] for b in groups[y])
-                    if far <= cut_at and (best is None or (far, groups[x][0], groups[y][0]) < best[0]):
-                        best = ((far, groups[x][0], groups[y][0]), x, y)
-            if best is None:
-                return pd.DataFrame([(m, g[0]) for g in groups for m in g], columns=["member", "grp"])
-            _, x, y = best
-            groups[x] = sorted(groups[x] + groups.pop(y))
+            far.setdefault(a, {})[b] = far.setdefault(b, {})[a] = 1 - s
+        groups = {m: [m] for m in far}  # by its smallest member
+        heap = [(d, a, b) for a, near in far.items() for b, d in near.items() if a < b]
+        heapq.heapify(heap)
+        while heap:
+            d, a, b = heapq.heappop(heap)
+            if a not in groups or b not in groups or far[a].get(b) != d:
+                continue  # of a group that is no more, or has grown
+            groups[a] = sorted(groups[a] + groups.pop(b))
+            gone = far.pop(b)
+            del far[a][b], gone[a]
+            for c in [c for c in far[a] if c not in gone]:
+                del far[a][c], far[c][a]
+            for c in gone:
+                far[c].pop(b, None)
+            for c in far[a]:
+                if c in gone:
+                    far[a][c] = far[c][a] = max(far[a][c], gone[c])
+                    heapq.heappush(heap, (far[a][c], min(a, c), max(a, c)))
+        return pd.DataFrame([(m, g[0]) for g in groups.values() for m in g], columns=["member", "grp"])
 
     return inner.groupBy("grp").applyInPandas(agglomerate, "member string, grp string")

@@ -117,8 +117,8 @@ def merged_small(members: DataFrame, edges: DataFrame, large_from: int = 3, alph
     pairs = Stages(members.sparkSession, "merge").cut(pairs, "pairs")
     means = pairs.groupBy("small", "large").agg(F.avg("score").alias("m"))
     top = means.groupBy("small").agg(F.max(F.struct("m", "large")).alias("t"), F.count(F.lit(1)).alias("k")).select("small", F.col("t.large").alias("top"), "k")
-    test = tukey_hsd(pairs, "small", "large", "score", alpha)
-    apart = test.join(top, "small").where("group1 = top or group2 = top").groupBy("small").agg(F.min(F.col("differs").cast("int")).alias("all_differ"))
+    test = tukey_hsd(pairs, "small", "large", "score", alpha, top)
+    apart = test.groupBy("small").agg(F.min(F.col("differs").cast("int")).alias("all_differ"))
     moves = top.join(apart, "small", "left").where("k = 1 or all_differ = 1").select(F.col("small").alias("grp"), F.col("top"))
     return members.join(moves, "grp", "left").select(F.coalesce("top", "grp").alias("grp"), "member")
 

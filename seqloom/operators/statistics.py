@@ -13,17 +13,62 @@ from seqloom.functions.stats import kde_mass, phi, scott, silverman
 from seqloom.operators.dedup import with_row_number
 
 
-def index_percentiles(values: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
-    """``(group, share, value)``: the element at index ``ceil(n p)`` of the sorted values, the last one at most.
+def _ordered(values: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """``(groups, value, n, all, before)``: every different value with its number, its group's, and how many of the group come before it.
 
-    Rows are numbered once, in order of group and value, over range partitions; a wanted element is a
-    number.  So no task holds a group, however large.
+    Values are counted, then ordered over range partitions; running sums within a partition start from those of the
+    partitions before it.  So a value, or a group, with a third of all rows is no burden.
     """
-    rows = with_row_number(values.where(F.col(value).isNotNull()).select(group, value), "__n", group, value)
-    sizes = rows.groupBy(group).agg(F.min("__n").alias("first"), F.count(F.lit(1)).alias("n"))
-    wanted = sizes.select(group, "first", "n", F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share"))
-    at = F.col("first") + F.least(F.ceil(F.round(F.col("n") * F.col("share"), 9)), F.col("n") - 1)
-    return wanted.select(group, "share", at.alias("__n")).join(rows.select("__n", value), "__n").select(group, "share", value)
+    from seqloom.plans.stages import Stages
+
+    spark = values.sparkSession
+    stages = Stages(spark, "ordered")
+    counted = values.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stages.cut(counted.repartitionByRange(parts, *groups, value).withColumn("__part", F.spark_partition_id()), "ranged")
+    own = ranged.groupBy("__part").agg(F.sum("n").alias("__s"))  # a row for each partition
+    offsets = own.select("__part", (F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")).alias("__o"))
+    inner = F.sum("n").over(Window.partitionBy("__part").orderBy(*groups, value))
+    run = ranged.withColumn("__run", inner).join(F.broadcast(offsets), "__part").withColumn("__run", F.col("__run") + F.col("__o") - F.col("n")).drop("__part", "__o")
+    sizes = ranged.groupBy(*groups).agg(F.sum("n").alias("all"))
+    first = run.groupBy(*groups).agg(F.min("__run").alias("__first"))
+    if not groups:
+        both = sizes.crossJoin(F.broadcast(first))
+        return run.crossJoin(F.broadcast(both)).withColumn("before", F.col("__run") - F.col("__first")).drop("__run", "__first")
+    named = [c for g in groups for c in (F.col(g).alias(f"__{g}"),)]
+    both = sizes.select(*named, "all").join(first.select(*[F.col(g).alias(f"___{g}") for g in groups], "__first"), _same([(f"__{g}", f"___{g}") for g in groups])).drop(*[f"___{g}" for g in groups])
+    out = run.join(both, _same([(g, f"__{g}") for g in groups]))
+    return out.withColumn("before", F.col("__run") - F.col("__first")).drop("__run", "__first", *[f"__{g}" for g in groups])
+
+
+def _same(pairs: list[tuple[str, str]]) -> Column:
+    """Null-safe equality of columns: a null group is a group."""
+    out = None
+    for a, b in pairs:
+        one = F.col(a).eqNullSafe(F.col(b))
+        out = one if out is None else out & one
+    return out
+
+
+def index_percentiles(values: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """``(group, share, value)``: the element at index ``ceil(n p)`` of the sorted values, the last one at most."""
+    rows = _ordered(values, [group], value)
+    at = lambda p: F.least(F.ceil(F.round(F.col("all") * p, 9)), F.col("all") - 1)
+    held = F.filter(F.array(*[F.lit(float(p)) for p in shares]), lambda p: (at(p) >= F.col("before")) & (at(p) < F.col("before") + F.col("n")))
+    return rows.select(group, F.explode(held).alias("share"), value)
+
+
+def quantiles(values: DataFrame, groups: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``(groups, q)``: interpolated quantiles of each group, an array in the order of the shares."""
+    rows = _ordered(values, groups, value)
+    ends = []
+    for k, p in enumerate(shares):
+        at = F.round((F.col("all") - 1) * F.lit(float(p)), 9)
+        ends += [F.struct(F.lit(k).alias("k"), f(at).cast("long").alias("i"), (1 - F.abs(at - f(at))).alias("w"), (F.floor(at) == F.ceil(at)).alias("one")) for f in (F.floor, F.ceil)]
+    held = F.filter(F.array(*ends), lambda e: (e["i"] >= F.col("before")) & (e["i"] < F.col("before") + F.col("n")))
+    x = rows.select(*groups, F.col(value).cast("double").alias("x"), F.explode(held).alias("e"))
+    per = x.groupBy(*groups, F.col("e.k").alias("k")).agg(F.sum(F.col("x") * F.when(F.col("e.one"), 0.5).otherwise(F.col("e.w"))).alias("q"))
+    return per.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda e: e["q"]).alias("q"))
 
 
 def normalised(values: DataFrame, value: str, trim: float = 1.0, by_round: bool = False) -> DataFrame:
@@ -32,10 +77,10 @@ def normalised(values: DataFrame, value: str, trim: float = 1.0, by_round: bool
     The limits are elements by index: the one at ``ceil(n t) - 1`` (or ``round(n t) - 1``) and its mirror image.
     """
     t = max(trim, 1 - trim)
-    numbered = with_row_number(values.where(F.col(value).isNotNull()).select(value), "r", value)
-    n = values.where(F.col(value).isNotNull()).count()
-    top = (round(n * t) if by_round else math.ceil(n * t)) if n else 0
-    limits = numbered.where(F.col("r").isin(top, n - top + 1)).agg(F.max(value).alias("hi"), F.min(value).alias("lo"))
+    rows = _ordered(values.select(value), [], value)
+    top = F.round(F.col("all") * t) if by_round else F.ceil(F.col("all") * F.lit(t))
+    holds = lambda i: (i > F.col("before")) & (i <= F.col("before") + F.col("n"))
+    limits = rows.agg(F.max(F.when(holds(top), F.col(value))).alias("hi"), F.min(F.when(holds(F.col("all") - top + 1), F.col(value))).alias("lo"))
     scaled = F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo"))
     clamped = F.when(scaled.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)))
     return values.crossJoin(F.broadcast(limits)).withColumn("scaled", clamped).drop("hi", "lo")
@@ -52,11 +97,14 @@ def histogram(values: DataFrame, value: str, bins: int = 100) -> DataFrame:
 
 def described(values: DataFrame, value: str, *groups: str) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles (interpolated) and greatest value."""
-    quart = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = values.groupBy(*groups).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), quart.alias("q"), F.max(value).alias("greatest")
-    )
-    return out.select(*groups, "n", "mean", "sd", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "greatest")
+    out = values.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    q = quantiles(values, list(groups), value, [0.25, 0.5, 0.75])
+    if groups:
+        named = q.select(*[F.col(g).alias(f"__{g}") for g in groups], "q")
+        both = out.join(named, _same([(g, f"__{g}") for g in groups]), "left")
+    else:
+        both = out.crossJoin(F.broadcast(q))
+    return both.select(*groups, "n", "mean", "sd", "least", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "greatest")
 
 
 def regression(values: DataFrame, x: str, y: str, above: float = 600) -> DataFrame:
@@ -208,8 +256,11 @@ def studentized_range_cdf(q: float, k: int, df: float) -> float:
     return float(min(1.0, np.sum(ws * dens * np.array([of_range(q * x) for x in s]))))
 
 
-def tukey_hsd(values: DataFrame, test: str, group: str, value: str, alpha: float = 0.05) -> DataFrame:
-    """``(test, group1, group2, diff, p, differs)``: pairwise comparisons of the groups of each test (Tukey and Kramer)."""
+def tukey_hsd(values: DataFrame, test: str, group: str, value: str, alpha: float = 0.05, against: DataFrame | None = None) -> DataFrame:
+    """``(test, group1, group2, diff, p, differs)``: pairwise comparisons of the groups of each test (Tukey and Kramer).
+
+    With ``against`` ``(test, top)`` only those of each test's ``top`` with the others.
+    """
     cells = values.groupBy(test, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     pooled = cells.groupBy(test).agg(
         F.count(F.lit(1)).alias("k"), (F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum(F.col("n") * F.col("v")).alias("ss")
@@ -217,7 +268,11 @@ def tukey_hsd(values: DataFrame, test: str, group: str, value: str, alpha: float
     a = cells.select(test, F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("m").alias("m1"))
     b = cells.select(test, F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("m").alias("m2"))
     se = F.sqrt(F.col("ss") / F.col("df") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
-    joined = a.join(b, test).where("group1 < group2").join(pooled, test).where("df > 0").select(
+    pairs = a.join(b, test).where("group1 < group2")
+    if against is not None:
+        one = a.join(against.select(test, F.col("top").alias("group1")), [test, "group1"])
+        pairs = one.join(b, test).where("group1 <> group2")
+    joined = pairs.join(pooled, test).where("df > 0").select(
         test, "group1", "group2", (F.col("m2") - F.col("m1")).alias("diff"), F.try_divide(F.abs(F.col("m2") - F.col("m1")), se).alias("q"), "k", "df"
     )
 

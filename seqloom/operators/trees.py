@@ -32,10 +32,26 @@ def ancestors(nodes: DataFrame, node: str, parent: str, with_self: bool = True)
 
 
 def depths(nodes: DataFrame, node: str, parent: str, length: str) -> DataFrame:
-    """``(node, depth, distance)``: steps to the root, and the sum of branch lengths on the way; missing lengths count 0."""
-    up = ancestors(nodes, node, parent)
-    lengths = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("ancestor"), F.coalesce(F.col(length), F.lit(0)).alias("len"))
-    return up.join(lengths, "ancestor", "left").groupBy("node").agg(F.max("steps").alias("depth"), F.coalesce(F.sum("len"), F.lit(0)).alias("distance"))
+    """``(node, depth, distance)``: steps to the root, and the sum of branch lengths on the way; missing lengths count 0.
+
+    Every node carries a pointer upward with the steps and the length to it; a round replaces it by the pointer's
+    own, so there are n rows a round and log d rounds.
+    """
+    stages = Stages(nodes.sparkSession, "depths")
+    up, kind = F.col(parent), nodes.schema[length].dataType.typeName()
+    own = F.coalesce(F.col(length), F.lit(0)).cast("bigint" if kind in ("byte", "short", "integer", "long") else "double")
+    # a pointer to null is at the root
+    state = nodes.select(F.col(node).alias("node"), up.alias("up"), F.when(up.isNotNull(), 1).otherwise(0).alias("depth"), F.when(up.isNotNull(), own).otherwise(0).alias("distance"))
+    state, n = stages.cut_counted(state, "state", F.col("up").isNotNull())
+    for _ in range(MAX_DEPTH):
+        if not n:
+            return state.select("node", "depth", "distance")
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("distance").alias("s2"))
+        moved = state.join(far, "up", "left").select("node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("distance") + F.coalesce("s2", F.lit(0))).alias("distance"))
+        old = state
+        state, n = stages.cut_counted(moved, "state", F.col("up").isNotNull())
+        stages.drop(old)
+    raise RuntimeError("the table has a cycle")
 
 
 def leaf_counts(nodes: DataFrame, node: str, parent: str) -> DataFrame:

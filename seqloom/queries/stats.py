@@ -40,7 +40,9 @@ def support_boxplot(spark, sf_dir):
 
 @query("""SELECT l_returnflag, CAST(sum(l_quantity) AS DOUBLE) AS total, round(avg(l_quantity), 2) AS mean, quantile_cont(l_quantity, 0.5) AS median FROM lineitem GROUP BY 1""")
 def support_summary(spark, sf_dir):
-    return _lines(spark, sf_dir).groupBy("l_returnflag").agg(F.sum("l_quantity").alias("total"), F.round(F.avg("l_quantity"), 2).alias("mean"), F.percentile("l_quantity", F.lit(0.5)).alias("median"))
+    li = _lines(spark, sf_dir).select("l_returnflag", "l_quantity")
+    sums = li.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("total"), F.round(F.avg("l_quantity"), 2).alias("mean"))
+    return sums.join(st.quantiles(li, ["l_returnflag"], "l_quantity", [0.5]), "l_returnflag").select("l_returnflag", "total", "mean", F.col("q")[0].alias("median"))
 
 
 @query("""SELECT round(avg(l_extendedprice), 6) AS mean, round(stddev_pop(l_extendedprice), 6) AS sd, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
