@@ -226,6 +226,15 @@ def coupled_chains(
     return pd.DataFrame(trace, columns=["gen", *[v.name for v in variables], "result"]), best_values, best_score
 
 
+def pointwise(objective: Callable, names: list[str], *params) -> Callable[[list[dict[str, float]]], list[float]]:
+    """A batch score for :func:`coupled_chains` of a plain function ``f(values)`` or ``f(values, params)``; values come in the order of names."""
+
+    def batch(proposals: list[dict[str, float]]) -> list[float]:
+        return [float(objective([p[n] for n in names], *([list(params)] if params else []))) for p in proposals]
+
+    return batch
+
+
 def parameter_grid(spark, **ranges: tuple[float, float, int]) -> DataFrame:
     """All combinations of evenly spaced parameters, given as (low, high, number)."""
     out = None

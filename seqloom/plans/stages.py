@@ -86,3 +86,32 @@ class Stages:
             if where and where.startswith(self.root):
                 path, fs = self._fs(where)
                 fs.delete(path, True)
+
+
+class Scratch:
+    """A folder of its own in the shared one, for a ``with`` block: gone at its end, but for what is saved."""
+
+    def __init__(self, spark: SparkSession, name: str = "scratch"):
+        self._stages = Stages(spark, name)
+        self.path = self._stages.root
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path, fs = self._stages._fs(self.path)
+        fs.delete(path, True)
+
+    def file(self, name: str) -> str:
+        """The place of a file or table in the folder."""
+        return f"{self.path}/{name}"
+
+    def save(self, name: str, target: str) -> None:
+        """Moves a file or table of the folder to a place that stays; an existing one is not replaced."""
+        source, fs = self._stages._fs(self.file(name))
+        to, _ = self._stages._fs(target)
+        if fs.exists(to):
+            raise FileExistsError(target)
+        fs.mkdirs(to.getParent())
+        if not fs.rename(source, to):
+            raise OSError(f"{name} cannot be moved to {target}")

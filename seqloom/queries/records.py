@@ -25,9 +25,13 @@ def dedup_seq(spark, sf_dir):
     return dd.first_of(sequences(spark, sf_dir).where("seq <> ''"), "seq", "id").select("id", "seq")
 
 
-@query()
+@query("""WITH r AS (SELECT id, upper(regexp_replace(seq, '[^A-Za-z]', '', 'g')) AS seq, loaded_at FROM fasta), n AS (SELECT row_number() OVER (ORDER BY loaded_at, id, seq) AS n, id, seq FROM r WHERE seq <> '')
+SELECT n, id, seq FROM n QUALIFY row_number() OVER (PARTITION BY seq ORDER BY n) = 1""")
 def dedup_either(spark, sf_dir):
-    """Records without those whose id or sequence an earlier kept record has."""
+    """Records without those whose id or sequence an earlier kept record has.
+
+    In the SQL the first record of a sequence is kept: in this table an id that comes again has the same sequence.
+    """
     from seqloom.operators.dedup import with_row_number
 
     f = table(spark, sf_dir, "fasta").select("id", F.upper(F.regexp_replace("seq", "[^A-Za-z]", "")).alias("seq"), "loaded_at")

@@ -10,8 +10,8 @@ from seqloom.operators.alignment import bits_of
 from seqloom.operators.graphs import components, markov_grid
 from seqloom.operators.pairs import substitution
 from seqloom.queries.alignments import MATRIX
-from seqloom.queries.carriers import TOPOLOGY, columns, graph, sequences, topology
-from seqloom.queries.registry import query, table
+from seqloom.queries.carriers import COLUMNS, TOPOLOGY, columns, graph, sequences, topology
+from seqloom.queries.registry import SQL, query, table
 
 #: A child's residue: kept with 0.98, else one of its neighbours in the alphabet.
 SUBSTITUTION = {a: (a + b + c, [0.98, 0.99, 1.0]) for a, b, c in zip("ARNDCQEGHILKMFPSTWYV", "RNDCQEGHILKMFPSTWYVA", "NDCQEGHILKMFPSTWYVAR")}
@@ -25,18 +25,22 @@ def region_sizes_after_shuffle(spark, sf_dir):
     return s.join(topology(spark, sf_dir), ["id", "pos"]).groupBy("id", F.col("symbol").alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"SELECT shuffle, c.id, symbol AS region, aa, count(*) AS n FROM {COLUMNS} c JOIN {TOPOLOGY} t ON t.id = c.id AND t.pos = c.pos, (VALUES (CAST(0 AS INTEGER)), (CAST(1 AS INTEGER))) s(shuffle) GROUP BY ALL")
 def region_shuffle(spark, sf_dir):
-    c = columns(spark, sf_dir).select("id", "pos", "aa").join(topology(spark, sf_dir), ["id", "pos"])
-    return stochastic.region_shuffle(c, "symbol", 2, 5)
+    """The residues of every region after two shuffles: the same ones, how often each."""
+    t = topology(spark, sf_dir)
+    c = columns(spark, sf_dir).select("id", "pos", "aa").join(t, ["id", "pos"])
+    s = stochastic.region_shuffle(c, "symbol", 2, 5)
+    return s.join(t, ["id", "pos"]).groupBy("shuffle", "id", F.col("symbol").alias("region"), "aa").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH b AS ({SQL['alignment_bits']}) SELECT id1, id2, bits AS observed, CAST(10 AS INTEGER) AS shuffles FROM b")
 def null_distributions(spark, sf_dir):
-    """Alignment scores of all pairs of rows against ten shuffles of both."""
+    """Alignment scores of all pairs of rows, and how many shuffled ones of both stand against each."""
     c = columns(spark, sf_dir).select("id", "pos", "aa").join(topology(spark, sf_dir), ["id", "pos"])
     tile = "total double, matches bigint, gaps bigint, residues bigint"
-    return stochastic.null_distributions(c, "symbol", 10, 5, substitution(MATRIX), tile, lambda s: bits_of(s).withColumn("value", F.round("bits", 9)))
+    found = stochastic.null_distributions(c, "symbol", 10, 5, substitution(MATRIX), tile, lambda s: bits_of(s).withColumn("value", F.round("bits", 6)))
+    return found.select("id1", "id2", "observed", F.size("shuffled").alias("shuffles"))
 
 
 @query()

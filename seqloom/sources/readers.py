@@ -27,8 +27,15 @@ def text_records(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return spark.read.option("lineSep", separator).text(path).select(_file(), "value").where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
 
 
-def whole_text(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, value)``: one row a file; invalid UTF-8 is replaced, a carriage return is a line end."""
+def whole_text(spark: SparkSession, path) -> DataFrame:
+    """``(path, value)``: one row a file; invalid UTF-8 is replaced, a carriage return is a line end.
+
+    ``path`` may be an open file of bytes or text, as standard input or a pipe is: it is read once, on the driver.
+    """
+    if hasattr(path, "read"):
+        text = path.read()
+        text = text.decode("utf-8", "replace") if isinstance(text, bytes) else text
+        return spark.createDataFrame([("-", text.replace("\r", "\n"))], "path string, value string")
     raw = spark.read.format("binaryFile").load(path)
     return raw.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r", "\n").alias("value"))
 

@@ -46,3 +46,37 @@ def test_cumulative_probabilities_and_draws(spark):
     draws = spark.range(200).select(F.col("id").alias("d"), ((F.col("id") + 0.5) / 200).alias("u"))
     p = picked(c, draws, "id")
     assert p.count() == 200 and p.where("id % 4 = 0").count() == 0
+
+
+def test_valves_and_cores(spark):
+    from seqloom.plans.guards import Valve, usable_cores
+
+    v = Valve(steps=3, unchanged=2)
+    assert [v.step() for _ in range(3)] == [1, 2, 3]
+    with pytest.raises(RuntimeError, match="more than 3 steps. here"):
+        v.step("here")
+    v = Valve(unchanged=2)
+    for x in (1, 1, 2, 2):
+        v.seen(x)
+    with pytest.raises(RuntimeError, match="without a change"):
+        v.seen(2)
+    assert usable_cores(spark) == spark.sparkContext.defaultParallelism - 2  # local[4]
+
+
+def test_scratch_is_gone_but_for_what_is_saved(spark, tmp_path):
+    from seqloom.plans.stages import Scratch
+
+    with Scratch(spark) as s:
+        spark.range(3).write.parquet(s.file("three"))
+        s.save("three", f"{tmp_path}/kept/three")
+        with pytest.raises(FileExistsError):
+            s.save("three", f"{tmp_path}/kept/three")
+    assert not os.path.exists(s.path.removeprefix("file://"))
+    assert spark.read.parquet(f"{tmp_path}/kept/three").count() == 3
+
+
+def test_more_partitions_for_a_step_only(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    out = Stages(spark, "test").cut(spark.range(100).groupBy("id").count(), "many", partitions=int(before) * 3)
+    assert spark.conf.get(key) == before and out.count() == 100

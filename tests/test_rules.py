@@ -228,3 +228,17 @@ def test_every_draw_is_picked(spark):
     draws = spark.createDataFrame([(i, u) for i, u in enumerate([0.0, 0.05, 0.1, 0.55, 0.999999999999, 1.0])], "d int, u double")
     got = rows(statistics.picked(statistics.cumulative(w, "w", "id").select("id", "share", "cumulative"), draws, "id").select("d"))
     assert [d for (d,) in got] == list(range(6))
+
+
+def test_objectives_and_open_files(spark):
+    import io
+
+    from seqloom.operators.stochastic import Variable, coupled_chains, pointwise
+
+    plain = pointwise(lambda v: -v[0] ** 2 - v[1] ** 2, ["x", "y"])
+    shifted = pointwise(lambda v, p: -(v[0] - p[0]) ** 2 - v[1] ** 2, ["x", "y"], 3.0)
+    assert plain([{"y": 2, "x": 1}]) == [-5.0] and shifted([{"x": 3, "y": 0}]) == [0.0]
+    _, best, score = coupled_chains([Variable("x", -10, 10), Variable("y", -10, 10)], shifted, 400, seed=3)
+    assert abs(best["x"] - 3) < 1.5 and score > -3
+    assert readers.whole_text(spark, io.BytesIO(b"a\r\xffb")).head().value == "a\n\ufffdb"
+    assert readers.whole_text(spark, io.StringIO("x\ry")).head().value == "x\ny"
