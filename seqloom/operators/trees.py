@@ -72,17 +72,45 @@ def lowest_common_ancestor(nodes: DataFrame, node: str, parent: str, members: Da
 
 
 def collapsed(nodes: DataFrame, long: DataFrame, node: str, parent: str) -> DataFrame:
-    """The tree without the listed nodes; their children hang on the nearest node above that stays."""
-    gone = long.select(F.col(node).alias("ancestor"), F.lit(1).alias("gone"))
-    up = ancestors(nodes, node, parent, with_self=False).join(gone, "ancestor", "left").where("gone is null")
-    nearest = up.groupBy("node").agg(F.min(F.struct("steps", "ancestor")).alias("m")).select(F.col("node").alias(node), F.col("m.ancestor").alias(parent))
-    stay = nodes.join(long.select(node), node, "left_anti")
-    return stay.drop(parent).join(nearest, node, "left").select(nodes.columns)
+    """The tree without the listed nodes; their children hang on the nearest node above that stays.
+
+    Pointers that lead to a listed node are replaced by that node's own, so a chain of them is halved every round.
+    """
+    stages = Stages(nodes.sparkSession, "collapsed")
+    gone = long.select(F.col(node).alias("node"), F.lit(True).alias("gone"))
+    state = nodes.select(F.col(node).alias("node"), F.col(parent).alias("up"))
+    for _ in range(MAX_DEPTH):
+        far = state.join(gone, "node").select(F.col("node").alias("up"), F.col("up").alias("up2"), "gone")
+        moved = state.join(far, "up", "left").select("node", F.when(F.col("gone"), F.col("up2")).otherwise(F.col("up")).alias("up"), F.coalesce("gone", F.lit(False)).alias("moved"))
+        state, n = stages.cut_counted(moved, "state", F.col("moved"))
+        state = state.drop("moved")
+        if not n:
+            stay = nodes.join(long.select(node), node, "left_anti").drop(parent)
+            return stay.join(state.select(F.col("node").alias(node), F.col("up").alias(parent)), node).select(nodes.columns)
+    raise RuntimeError("the table has a cycle")
+
+
+def way_up(nodes: DataFrame, node: str, parent: str, start) -> DataFrame:
+    """``(on, steps)``: a node and those above it.  Each round takes twice as many steps at once, over n pointers."""
+    stages = Stages(nodes.sparkSession, "way")
+    jump = stages.cut(nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("on"), F.col(parent).alias("to")), "jump")
+    way, reach = nodes.where(F.col(node) == F.lit(start)).select(F.col(node).alias("on"), F.lit(0).alias("steps")), 1
+    for _ in range(MAX_DEPTH):
+        more, n = stages.cut_counted(way.join(jump, "on").select(F.col("to").alias("on"), (F.col("steps") + reach).alias("steps")), "more")
+        if not n:
+            return way
+        way = stages.cut(way.unionByName(more), "way")
+        far = jump.select(F.col("on").alias("to"), F.col("to").alias("to2"))
+        old = jump
+        jump = stages.cut(jump.join(far, "to").select("on", F.col("to2").alias("to")), "jump")
+        stages.drop(old)
+        reach *= 2
+    raise RuntimeError("the table has a cycle")
 
 
 def rerooted(nodes: DataFrame, node: str, parent: str, length: str, root) -> DataFrame:
     """``(node, parent, length)`` with the tree hung from another node: the branches on its way up are turned."""
-    up = ancestors(nodes, node, parent).where(F.col("node") == F.lit(root)).select(F.col("ancestor").alias("on"), "steps")
+    up = way_up(nodes, node, parent, root)
     own = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(length).alias("length"))
     below = up.select((F.col("steps") + 1).alias("steps"), F.col("on").alias("next"))
     way = up.join(below, "steps", "left").join(own.select(F.col("node").alias("next"), F.col("length").alias("turned")), "next", "left")

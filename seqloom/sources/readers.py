@@ -40,9 +40,15 @@ def whole_text(spark: SparkSession, path) -> DataFrame:
     return raw.select("path", F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r", "\n").alias("value"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, n, value)``: lines with their number in the file, from 1.  A file is one partition's work."""
-    return whole_text(spark, path).select("path", F.posexplode(F.split("value", "\n", -1)).alias("n", "value")).withColumn("n", F.col("n") + 1)
+def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """``(path, n, value)``: lines with their number in the file, from 1.
+
+    Files are split for reading; their lines are put in order by block and place, a file in one task, which spills.
+    """
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    place = F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")
+    t = reader.text(path).select(_file(), *place, "value")
+    return t.select("path", F.row_number().over(Window.partitionBy("path").orderBy("b", "i")).alias("n"), "value")
 
 
 def _split_header(c: Column) -> tuple[Column, Column]:
@@ -186,8 +192,10 @@ def numbers(spark: SparkSession, path: str, *columns: int, separator: str = r"\s
 
 def clusters(spark: SparkSession, path: str, group_split: str = "\n", member_split: str = "\t") -> DataFrame:
     """``(path, grp, members)``: a group a line, numbered from 0; blank ones are skipped."""
-    t = whole_text(spark, path).select("path", F.filter(F.split("value", group_split), lambda x: F.trim(x) != "").alias("g"))
-    return t.select("path", F.posexplode("g").alias("grp", "line")).select("path", "grp", F.filter(F.split("line", member_split), lambda m: m != "").alias("members"))
+    t = lines(spark, path, None if group_split == "\n" else group_split).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    grp = F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1
+    members = F.filter(F.split(F.regexp_replace("value", r"^[\r\n]+|[\r\n]+$", ""), member_split), lambda m: m != "")
+    return t.select("path", grp.alias("grp"), members.alias("members"))
 
 
 def group_report(spark: SparkSession, path: str) -> DataFrame:
