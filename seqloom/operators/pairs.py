@@ -140,6 +140,11 @@ def profiles(left: list, right: list) -> dict[str, np.ndarray]:
     return {"distance": distance, **{n: x.astype(np.int64) for n, x in (("matched", matched), ("left_only", one.sum(1)[:, None] - matched), ("right_only", two.sum(1)[None, :] - matched))}}
 
 
+def products(left: list, right: list) -> dict[str, np.ndarray]:
+    """A tile's score ``product`` of rows of numbers: their inner product."""
+    return {"product": np.array([np.asarray(r, dtype=np.float64) for r in left]) @ np.array([np.asarray(r, dtype=np.float64) for r in right]).T}
+
+
 def _tiles(score: Callable, ordered: bool, columns: str):
     names = ["id1", "id2", *[c.split()[0] for c in columns.split(",")]]
 
@@ -208,13 +213,19 @@ def scored_pairs(rows: DataFrame, id_: str, content: str, score: Callable, colum
 
 def pairs_between(left: DataFrame, right: DataFrame, id_: str, seq: str, alphabet: str, matrix: dict | None = None, block: int = BLOCK) -> DataFrame:
     """As :func:`all_pairs`, of every row of one table with every row of another."""
-    a = left.select(F.col(id_).alias("id"), F.col(seq).alias("seq")).where("id is not null and seq is not null")
-    b = right.select(F.col(id_).alias("id"), F.col(seq).alias("seq")).where("id is not null and seq is not null")
+    return scored_between(left, right, id_, seq, counted(alphabet, alike_matrix(alphabet, matrix)), COUNTS, block)
+
+
+def scored_between(left: DataFrame, right: DataFrame, id_: str, content: str, score: Callable, columns: str, block: int = BLOCK) -> DataFrame:
+    """As :func:`scored_pairs`, of every row of one table with every row of another."""
+    a = left.select(F.col(id_).alias("id"), F.col(content).alias("seq")).where("id is not null and seq is not null")
+    b = right.select(F.col(id_).alias("id"), F.col(content).alias("seq")).where("id is not null and seq is not null")
     na, nb = blocks_for(a.count(), block), blocks_for(b.count(), block)
-    x = a.select("id", "seq", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(na)).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bj"))
-    y = b.select("id", "seq", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("bi"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("bj"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    x = a.select("id", "seq", F.lit(0).alias("side"), own(na).alias("bi"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bj"))
+    y = b.select("id", "seq", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(na - 1))).alias("bi"), own(nb).alias("bj"))
     kind = left.schema[id_].dataType.simpleString()
-    return spread(x.unionByName(y), na * nb, TILES, "bi", "bj").groupBy("bi", "bj").applyInPandas(_tiles(counted(alphabet, alike_matrix(alphabet, matrix)), False, COUNTS), f"id1 {kind}, id2 {kind}, {COUNTS}")
+    return spread(x.unionByName(y), na * nb, TILES, "bi", "bj").groupBy("bi", "bj").applyInPandas(_tiles(score, False, columns), f"id1 {kind}, id2 {kind}, {columns}")
 
 
 def id_pairs(left: DataFrame, right: DataFrame, id_: str, block: int = BLOCK) -> DataFrame:

@@ -65,14 +65,13 @@ def membrane_columns(topology: DataFrame) -> DataFrame:
 def window_products(left: DataFrame, right: DataFrame, span: int = 5) -> DataFrame:
     """``(start1, start2, score)``: for windows of ``span`` columns of two profiles ``(pos, aa, score)``, the sum of their products.
 
-    A product of columns is over the letters; windows run along both profiles at once.
+    A product of columns is over the letters, made in tiles of columns; windows run along both profiles at once.
     """
-    cells = (
-        left.select(F.col("pos").alias("p1"), "aa", F.col("score").alias("s1"))
-        .join(right.select(F.col("pos").alias("p2"), "aa", F.col("score").alias("s2")), "aa")
-        .groupBy("p1", "p2")
-        .agg(F.sum(F.col("s1") * F.col("s2")).alias("v"))
-    )
+    from seqloom.operators.pairs import products, scored_between
+
+    letters = sorted(r.aa for r in left.select("aa").union(right.select("aa")).distinct().collect())  # an alphabet
+    wide = lambda p: p.groupBy("pos").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("aa") == a, F.col("score"))), F.lit(0.0)) for a in letters]).alias("x"))
+    cells = scored_between(wide(left), wide(right), "pos", "x", products, "product double").select(F.col("id1").alias("p1"), F.col("id2").alias("p2"), F.col("product").alias("v"))
     w = Window.partitionBy(F.col("p2") - F.col("p1")).orderBy("p1").rowsBetween(0, span - 1)
     out = cells.select(F.col("p1").alias("start1"), F.col("p2").alias("start2"), F.sum("v").over(w).alias("score"), F.count("v").over(w).alias("n"))
     return out.where(F.col("n") == span).drop("n")

@@ -120,11 +120,13 @@ def running_mean(values: DataFrame, keys: list[str], value: str, *order: str) ->
 
     Written as a weighted sum: of n values the i-th weighs ``2^-(n - i + 1)``, the first one as much as the second.
     """
-    w = Window.partitionBy(*keys)
-    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order))
-    weight = F.pow(F.lit(2.0), -(F.col("n") - F.greatest(F.col("i"), F.lit(2)) + 1))
-    base = values.select(*keys, value, n.alias("n"), i.alias("i"))
-    return base.groupBy(*keys).agg(F.sum(F.when(F.col("n") == 1, F.col(value)).otherwise(F.col(value) * weight)).alias("halved"), F.avg(value).alias("mean"))
+    rows = with_row_number(values.select(*keys, value, *[c for c in dict.fromkeys(order) if c not in (*keys, value)]), "__n", *keys, *order)
+    ends = rows.groupBy(*keys).agg(F.min("__n").alias("__first"), F.max("__n").alias("__last"))
+    named = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], "__first", "__last")
+    base = rows.join(named, _same([(k, f"__{k}") for k in keys]))
+    n, i = F.col("__last") - F.col("__first") + 1, F.col("__n") - F.col("__first") + 1
+    weight = F.pow(F.lit(2.0), -(n - F.greatest(i, F.lit(2)) + 1).cast("double"))
+    return base.groupBy(*keys).agg(F.sum(F.when(n == 1, F.col(value)).otherwise(F.col(value) * weight)).alias("halved"), F.avg(value).alias("mean"))
 
 
 def null_summary(samples: DataFrame, group: str, sample: str, observed: str) -> DataFrame:
