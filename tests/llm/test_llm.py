@@ -166,6 +166,15 @@ def test_pivot_clusters_find_planted_clusters(spark):
     d = clustering.described_clusters(df, "label", "v", "n", 0.5)
     assert {c: n for c, n in rows(d.select("cluster_id", "size").distinct())} == {c: len(m) for c, m in got.items()}
     assert d.where("place = 1").count() == len(got)
+    best = {}
+    for x, y, w in e:
+        if x and y and x != y and w and w >= 0.5:
+            best[frozenset((x, y))] = max(w, best.get(frozenset((x, y)), 0))
+    for c, m in got.items():
+        typical = {x: round(sum(best.get(frozenset((x, y)), 0) for y in m if y != x) / (len(m) - 1), 6) for x in m}
+        want = [(x, k + 1, typical[x]) for k, x in enumerate(sorted(m, key=lambda x: (-typical[x], x)))]
+        found = sorted((r.seq_id, r.place, r.typicality) for r in d.where(F.col("cluster_id") == c).collect())
+        assert [x[:2] for x in found] == [x[:2] for x in sorted(want)] and all(f[2] == pytest.approx(w[2], abs=2e-6) for f, w in zip(found, sorted(want)))
     assert clustering.pivot_clusters(df.limit(0), "label", "v", "n", 0.5).count() == 0
 
 
