@@ -53,7 +53,7 @@ def tidy_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.tidy(F.col("text")).alias("text"))
 
 
-@query(r"""SELECT doc_id, list_aggregate(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), 'string_agg', ' ') AS words, true AS fits FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, list_aggregate(list_filter(regexp_split_to_array(text, '[\s\x0b]+'), lambda w: w <> ''), 'string_agg', ' ') AS words, true AS fits FROM documents WHERE text IS NOT NULL""")
 def wrap_text(spark, sf_dir):
     """Wrapped texts: their words in order, and whether no line of several words is too long."""
     t = _docs(spark, sf_dir).select("doc_id", tx.wrap(F.col("text"), 60).alias("text"))
