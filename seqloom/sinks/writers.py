@@ -94,6 +94,18 @@ def by_group(records: DataFrame, path: str, group: str, text: Column, mode: str
     records.select(F.col(group), text.alias("value")).repartition(group).write.mode(mode).partitionBy(group).text(path)
 
 
+def by_group_in_order(records: DataFrame, path: str, group: str, text: Column, head: str, end: str, mode: str = "error", compression: str = "none") -> None:
+    """As :func:`by_group`, a row for each record: every group's file has a first line, its records and a last line; no task holds a group.
+
+    Texts are made where they are written, after the shuffle of the records.
+    """
+    body = records.withColumn("__place", F.lit(1))
+    ends = records.select(group).distinct().withColumn("__place", F.explode(F.array(F.lit(0), F.lit(2))))
+    placed = body.unionByName(ends, allowMissingColumns=True).repartition(group).sortWithinPartitions(group, "__place")
+    value = F.when(F.col("__place") == 0, head).when(F.col("__place") == 2, end).otherwise(text)
+    placed.select(group, value.alias("value")).write.mode(mode).option("compression", compression).partitionBy(group).text(path)
+
+
 def monthly(log: DataFrame, path: str, month: str = "month") -> None:
     """Appends to a log that is kept by month."""
     log.write.mode("append").partitionBy(month).parquet(path)

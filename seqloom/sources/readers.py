@@ -165,12 +165,18 @@ def hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hits_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``(query, subject, identity, length, evalue, bits)``: the first alignment of every hit of a search report in XML."""
-    schema = T.StructType.fromDDL(
+    """``(query, subject, identity, length, evalue, bits)``: the first alignment of every hit of a search report in XML.
+
+    Reports are split for reading at the ends of their queries, so a task holds one query's hits and not a file.
+    """
+    schema = (
         "`Iteration_query-def` string, Iteration_hits struct<Hit: array<struct<Hit_id: string, Hit_def: string, Hit_hsps: struct<Hsp: array<struct<"
         "`Hsp_bit-score`: double, Hsp_evalue: double, Hsp_identity: int, `Hsp_align-len`: int>>>>>>"
     )
-    x = spark.read.schema(schema).option("rowTag", "Iteration").xml(path)
+    whole = spark.read.option("lineSep", end := "</Iteration>").text(path)
+    # what stands before the record is the report's head, the blanks between two records, or the report's end
+    one = F.regexp_extract("value", r"(?s)<Iteration(?:\s[^>]*)?>.*", 0)
+    x = whole.select(one.alias("one")).where("one <> ''").select(F.from_xml(F.concat("one", F.lit(end)), schema).alias("r")).select("r.*")
     h = x.select(F.col("`Iteration_query-def`").alias("query"), F.explode("Iteration_hits.Hit").alias("h"))
     p = F.col("h.Hit_hsps.Hsp")[0]
     return h.select("query", F.col("h.Hit_def").alias("subject"), p["Hsp_identity"].alias("identity"), p["Hsp_align-len"].alias("length"), p["Hsp_evalue"].alias("evalue"), p["Hsp_bit-score"].alias("bits"))

@@ -102,6 +102,23 @@ def test_xml_hits(spark, tmp_path):
     assert rows(sources.hits_xml(spark, put(tmp_path, "h.xml", xml))) == [("q1", "s1", 9, 10, 1e-5, 50.5)]
 
 
+def test_long_xml_reports_are_split(spark, tmp_path):
+    """A report of many queries is read in several tasks, each record whole, with entities; its writer makes a row a record."""
+    hit = "<Hit><Hit_def>s &amp; {0}</Hit_def><Hit_hsps><Hsp><Hsp_bit-score>{0}.5</Hsp_bit-score><Hsp_evalue>0.1</Hsp_evalue><Hsp_identity>3</Hsp_identity><Hsp_align-len>9</Hsp_align-len></Hsp></Hit_hsps></Hit>"
+    body = F.concat(F.lit("<Iteration>\n<Iteration_query-def>q"), F.col("id").cast("string"), F.lit("</Iteration_query-def>\n<Iteration_hits>\n" + "\n".join(hit.format(k) for k in range(40)) + "\n</Iteration_hits>\n</Iteration>"))
+    sinks.by_group_in_order(spark.range(300).withColumn("file", F.lit(1)), where := f"{tmp_path}/xml", "file", body, "<Output>", "</Output>")
+    text = "".join(p.read_text() for p in (tmp_path / "xml").glob("file=1/*.txt"))
+    assert text.startswith("<Output>\n<Iteration>") and text.endswith("</Iteration>\n</Output>\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        got = sources.hits_xml(spark, f"{where}/file=*")
+        assert got.rdd.getNumPartitions() > 4
+        assert rows(got.select("query", "subject", "bits")) == sorted((f"q{i}", f"s & {k}", k + 0.5) for i in range(300) for k in range(40))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_newick(spark, tmp_path):
     n = sources.newick(spark, put(tmp_path, "t.nwk", "((a:1,b:2)x:0.5,'c d':3);\n(p,q);\n"))
     got = {(r.tree, r.label): (r.length, r.parent) for r in n.collect() if r.label}
