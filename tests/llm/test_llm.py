@@ -425,6 +425,18 @@ def test_quality_between_and_outside_the_bars(spark):
         assert sorted(r.key for r in quality.mostly_outside_sentences(df, "doc", "text", "lang", w, labelled).collect()) == want
 
 
+def test_quality_looks_at_every_text(spark):
+    """A case may score like prose: its few words are frequent ones, most of its letters lie in long words outside them; a sample misses it."""
+    mixed = PROSE + "\n" + "\n".join("x" * 200 + "." for _ in range(8))
+    prose = [PROSE[:-1] + " kappa" * (i % 20) + "." for i in range(20)]
+    data = [(i, prose[i % 20], "en") for i in range(9000)] + [(9000 + i, JUNK, "en") for i in range(300)] + [(10000, mixed, "en")]
+    df = spark.createDataFrame(data, "doc int, text string, lang string")
+    common = frozenset(r.word for r in words(spark).collect() if r.word)
+    want = sorted(i for i, t, _ in data if sentences.outside_share(t, common) > 0.5)
+    assert 10000 in want
+    assert sorted(r.key for r in quality.mostly_outside_sentences(df, "doc", "text", "lang", words(spark)).collect()) == want
+
+
 def test_quality_of_nothing(spark):
     d = documents(spark).limit(0)
     assert quality.mostly_outside_sentences(d, "doc", "text", "lang", words(spark)).count() == 0
