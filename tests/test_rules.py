@@ -167,6 +167,45 @@ def test_markov_clustering_has_no_caps_and_raises(spark):
         graphs.markov_clusters(df, 1.3, rounds=1)
 
 
+def test_markov_clustering_by_joins_counts_products_of_hubs(spark, monkeypatch):
+    """Tables and tasks agree with full matrices, also where a vertex is tied to so many others that its products are only counted."""
+    import numpy as np
+
+    from seqloom.operators import markov
+
+    rng = random.Random(8)
+    edges = {("hub", f"x{i}"): round(rng.uniform(0.5, 0.99), 3) for i in range(60)}
+    edges |= {("y0", f"x{i}"): 0.55 for i in range(0, 20, 3)}
+    for g in range(4):
+        ids = [f"x{i}" for i in range(12 * g, 12 * g + 6)] + [f"z{g}{i}" for i in range(4)]
+        edges |= {(a, b): round(rng.uniform(0.6, 0.95), 3) for i, a in enumerate(ids) for b in ids[i + 1 :] if rng.random() < 0.8}
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "seq1 string, seq2 string, score double")
+    settings = [(1.5, 0.5), (2.0, 0.5), (2.0, 0.7), (4.0, 0.6)]
+    ids, at = np.unique([x for e in edges for x in e], return_inverse=True)
+    at = at.reshape(-1, 2)
+    want = []
+    for k, vertices, labels in markov.clustered(at[:, 0], at[:, 1], np.array(list(edges.values())), len(ids), settings, 1e-4, 100):
+        want += [(k, str(ids[v]), str(ids[g])) for v, g in zip(vertices, labels)]
+    assert rows(graphs.markov_grid(df, settings)) == sorted(want)
+    monkeypatch.setattr(graphs, "MOST_MEMBERS", 5)
+    for heavy in (10, 1000):
+        monkeypatch.setattr(graphs, "HEAVY", heavy)
+        assert rows(graphs.markov_grid(df, settings)) == sorted(want)
+
+
+def test_blocks_are_components(spark):
+    from seqloom.plans.stages import Stages
+
+    rng = random.Random(3)
+    edges = [(f"a{rng.randrange(300)}", f"b{rng.randrange(300)}", 0.5) for _ in range(250)] + [(f"p{i}", f"p{i + 1}", 0.5) for i in range(90)]
+    df = spark.createDataFrame(edges, "seq1 string, seq2 string, score double")
+    blocks = {r.key: r.block for r in graphs._blocks(df, Stages(spark, "test")).collect()}
+    keys = {r.id: r.k for r in df.selectExpr("explode(array(seq1, seq2)) AS id").distinct().selectExpr("id", "xxhash64(id) AS k").collect()}
+    of = dict(rows(graphs.components(df)))
+    assert len(blocks) == len(keys) == len(of)
+    assert len({(blocks[keys[m]], g) for m, g in of.items()}) == len(set(of.values())) == len(set(blocks.values()))
+
+
 def planted(seed=4):
     rng = random.Random(seed)
     taxa = [f"T{i}" for i in range(6)]
