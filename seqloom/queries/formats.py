@@ -300,7 +300,7 @@ def hits_table(spark, sf_dir):
 
 @query("SELECT o_custkey AS query, o_orderkey AS subject, o_totalprice AS bits FROM (SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_totalprice FROM orders)")
 def hits_xml_file(spark, sf_dir):
-    """A report in XML, of every hit its first alignment; its files are zipped, as a hit is some forty times its row."""
+    """A report in XML, of every hit its first alignment; its files are zipped, as a hit is much longer than its row."""
     h = lambda c: c.cast("string")
     hsp = lambda bits: F.format_string("<Hsp><Hsp_bit-score>%s</Hsp_bit-score><Hsp_evalue>0.1</Hsp_evalue><Hsp_identity>3</Hsp_identity><Hsp_align-len>9</Hsp_align-len></Hsp>", h(bits))
     other = "<Hsp><Hsp_bit-score>0</Hsp_bit-score><Hsp_evalue>9</Hsp_evalue><Hsp_identity>0</Hsp_identity><Hsp_align-len>1</Hsp_align-len></Hsp>"
