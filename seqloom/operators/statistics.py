@@ -264,6 +264,11 @@ def tukey_hsd(values: DataFrame, test: str, group: str, value: str, alpha: float
     With ``against`` ``(test, top)`` only those of each test's ``top`` with the others.
     """
     cells = values.groupBy(test, group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    return tukey_of_cells(cells, test, group, alpha, against)
+
+
+def tukey_of_cells(cells: DataFrame, test: str, group: str, alpha: float = 0.05, against: DataFrame | None = None) -> DataFrame:
+    """As :func:`tukey_hsd`, from each group's number ``n``, mean ``m`` and population variance ``v``."""
     pooled = cells.groupBy(test).agg(
         F.count(F.lit(1)).alias("k"), (F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum(F.col("n") * F.col("v")).alias("ss")
     )

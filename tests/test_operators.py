@@ -224,6 +224,35 @@ def test_small_groups_merge(spark):
     assert dict((b, a) for a, b in rows(grouping.merged_small(m, e)))["x"] == "L"
 
 
+def test_merging_makes_no_pairs_without_an_edge(spark, monkeypatch):
+    """Equal to the test over all pairs, zeros included; what is written between has no more rows than there are edges."""
+    rng = random.Random(4)
+    sizes = {"L": 40, "K": 30, "J": 4} | {f"s{i}": 1 + i % 2 for i in range(12)}
+    of = {f"{g}_{i}": g for g, n in sizes.items() for i in range(n)}
+    edges = {}
+    for a, g in of.items():
+        if g[0] == "s":
+            # every third group is close to L, the others have a few edges to each
+            near = int(g[1:]) % 3 == 0
+            for h, n in {"L": 35, "K": 5, "J": 1}.items() if near else {"L": 4, "K": 4, "J": 1}.items():
+                for b in rng.sample([x for x, k in of.items() if k == h], n):
+                    edges[a, b] = None if rng.random() < 0.02 else 0.4 + 0.1 * rng.random()
+    m = spark.createDataFrame([(g, a) for a, g in of.items()], "grp string, member string")
+    e = spark.createDataFrame([(a, b, s) if i % 2 else (b, a, s) for i, ((a, b), s) in enumerate(edges.items())], "seq1 string, seq2 string, score double")
+    linked = {(of[a], of[b]) for a, b in edges}
+    every = [(of[a], of[b], edges.get((a, b)) or 0.0) for a in of for b in of if (of[a], of[b]) in linked]
+    mean = {k: sum(s for *x, s in every if tuple(x) == k) / sum(tuple(x) == k for *x, _ in every) for k in linked}
+    top = {g: max((v, h) for (f, h), v in mean.items() if f == g)[1] for g, _ in linked}
+    test = statistics.tukey_hsd(spark.createDataFrame(every, "t string, g string, v double"), "t", "g", "v").collect()
+    moved = {g for g in top if all(r.differs for r in test if r.t == g and top[g] in (r.group1, r.group2))}
+    assert 0 < len(moved) < len(top)
+
+    written, cut = [], grouping.Stages.cut_counted
+    monkeypatch.setattr(grouping.Stages, "cut_counted", lambda *a, **k: written.append(cut(*a, **k)) or written[-1])
+    assert rows(grouping.merged_small(m, e)) == sorted((top[g] if g in moved else g, a) for a, g in of.items())
+    assert len(every) > len(edges) >= max(n for _, n in written)
+
+
 def test_external_programs(spark):
     import pandas as pd
 
