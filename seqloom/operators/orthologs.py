@@ -39,7 +39,7 @@ def orthogroups(edges: DataFrame, members: DataFrame, steps: int = 100, seed: in
     large = members.join(sizes.where(F.col("n") > most).select("grp"), "grp", "left_semi")
     first = members.join(sizes.where(F.col("n") <= most).select("grp"), "grp", "left_semi").select("grp", "member")
     if large.head(1):
-        first = first.unionByName(subdivided(edges, large, settings or SETTINGS, most + 1, separator, large))
+        first = first.unionByName(subdivided(edges, large, settings or SETTINGS, most + 1, separator))
     first = stages.cut(first, "first")
     n = first.select("grp").distinct().count()
     inner = first.select(F.col("member").alias("seq1"), F.col("grp").alias("g1"))

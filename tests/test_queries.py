@@ -45,3 +45,16 @@ def test_history_search_sees_every_process(spark, tmp_path):
     events = [(i, i, datetime(2026, 1, 1 + i), "click" if i else "view") for i in range(4)]
     d = written(spark, tmp_path, events=(events, "event_id bigint, user_id bigint, ts timestamp, event_type string"))
     assert [r.event_id for r in QUERIES["history_search"](spark, d).collect()] == [3, 2, 1]
+
+
+def test_recursive_groups_begin_with_components(spark, tmp_path):
+    clique = lambda ids: [(a, b, 0.9) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+    one, two = [[f"{t}-{g}" for t in "ABCDEF"] for g in (1, 2)]
+    three = ["G-1", "H-1", "I-1"]
+    # the first tie makes one component of two families, the second one is too weak for that
+    ties = [("A-1", "B-2", 0.75), ("C-1", "G-1", 0.65)]
+    d = written(spark, tmp_path, sim_scores=(clique(one) + clique(two) + clique(three) + ties, "seq1 string, seq2 string, score double"), id_map=([("h", "A-9")], ID_MAP))
+    got = {}
+    for r in QUERIES["recursive_groups"](spark, d).collect():
+        got.setdefault(r.grp, []).append(r.member)
+    assert {g: sorted(m) for g, m in got.items()} == {"group_0_0": one, "group_0_1": two, "group_1": three}
