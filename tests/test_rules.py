@@ -242,6 +242,27 @@ def test_subdivision_goes_on_to_the_end(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, ids))
 
 
+def test_subdivision_keeps_whole_groups_whatever_their_rounding(spark):
+    """A setting that leaves a group whole may sum its large score in another order, to a little more."""
+    rng = random.Random(1)
+    edges, members = [], []
+    for g in range(8):
+        ids = [f"T{t}-{g}x{i}" for t in range(40) for i in range(rng.choice([3, 5, 7]))]
+        members += [(f"g{g}", m) for m in ids]
+        edges += [(ids[0], m, 0.9) for m in ids[1:]]
+    e = spark.createDataFrame(edges, "seq1 string, seq2 string, score double")
+    settings = [grouping.Setting(1.5, 0.0), grouping.Setting(1.5, 0.5)]
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        got = rows(grouping.subdivided(e, spark.createDataFrame(members, "grp string, member string"), settings))
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert got == sorted(members)
+
+
 def test_guessed_formats_and_zip(spark, tmp_path):
     aligned = spark.createDataFrame([("a", "AC-GT"), ("b", "ACCGT")], "id string, seq string")
     writers.phylip(aligned, f"{tmp_path}/phylip")
